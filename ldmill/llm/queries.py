@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ldmill.llm import components, topn
+from ldmill.llm import components, percentiles, topn
 from ldmill.sources.tables import table
 
 
@@ -14,12 +14,29 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.marker_groups(pairs, components.spelling(table(spark, sf_dir, "map_snp")))
 
 
+QS = [0.05, 0.25, 0.5, 0.75, 0.95]
+PARAMETERS = ["c", "a", "b", "rho_slide_raw", "a_pred", "c_pred"]
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of r2 by first chromosome and of the decay parameters by chromosome, selected for all groups at once."""
+    r2 = percentiles.unit_values(table(spark, sf_dir, "el")).select("chr", F.lit("r2").alias("field"), "value")
+    decay = percentiles.long_parameters(table(spark, sf_dir, "decay_sum"), PARAMETERS).select("chr", "field", "value")
+    return percentiles.percentiles(r2.unionByName(decay), ["chr", "field"], "value", QS)
+
+
+def p2_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of r2 by chromosome from separate summaries of each day of ``computed_at``, combined; rank error at most 1 %."""
+    days = percentiles.day_summaries(percentiles.unit_values(table(spark, sf_dir, "el")), ["chr"], "value", "computed_at")
+    return percentiles.combined(days, ["chr"], QS)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(topn.latest_valid(table(spark, sf_dir, "map_snp")), "grp", "median_ld", "is_core", "marker", 3)
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p2_combined_days": p2_combined_days, "p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -36,6 +53,11 @@ def oracle_sql() -> dict[str, str]:
                 UNION
                 SELECT e.v, min(cc.grp_snp) FROM cc JOIN e ON e.u = cc.snp JOIN recurring.cc AS old ON old.snp = e.v GROUP BY e.v HAVING min(cc.grp_snp) < min(old.grp_snp))
             SELECT grp_snp, snp FROM cc""",
+        "p2_percentiles": f"""
+            WITH v AS (SELECT chr1 AS chr, 'r2' AS field, r2 AS value FROM el WHERE isfinite(r2) AND r2 BETWEEN 0 AND 1
+                       {" ".join(f"UNION ALL SELECT chr, '{p}', CAST({p} AS DOUBLE) FROM decay_sum WHERE isfinite({p})" for p in PARAMETERS)}),
+            r AS (SELECT *, row_number() OVER (PARTITION BY chr, field ORDER BY value) AS k, count(*) OVER (PARTITION BY chr, field) AS n FROM v)
+            SELECT chr, field, q, value, n FROM r, (SELECT unnest([{", ".join(f"CAST({q} AS DOUBLE)" for q in QS)}]) AS q) WHERE k = greatest(1, CAST(ceil(q * n) AS BIGINT))""",
         "p3_found": """
             WITH ok AS (SELECT * FROM map_snp WHERE grp IS NOT NULL AND median_ld IS NOT NULL AND isfinite(median_ld) AND median_ld BETWEEN 0 AND 1),
             last AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY marker ORDER BY loaded_at DESC) = 1)
