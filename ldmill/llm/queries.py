@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ldmill.llm import components, percentiles, topn
+from ldmill.llm import components, mixture, percentiles, topn
+from ldmill.session import Tables
 from ldmill.sources.tables import table
 
 
@@ -35,8 +36,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(topn.latest_valid(table(spark, sf_dir, "map_snp")), "grp", "median_ld", "is_core", "marker", 3)
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counts = Tables(spark, "tokens").cut(mixture.token_counts(table(spark, sf_dir, "documents")))
+    return mixture.mix(counts, table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn and repeated to the target shares of as many tokens as all sources hold, in their interleaved order (slot)."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.reached_shares(*_mixed(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p2_combined_days": p2_combined_days, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p2_combined_days": p2_combined_days, "p3_found": p3_found, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 def oracle_sql() -> dict[str, str]:
