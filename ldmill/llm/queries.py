@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ldmill.llm import components, mixture, percentiles, topn
+from ldmill.llm import components, encoding, mixture, percentiles, topn
 from ldmill.session import Tables
 from ldmill.sources.tables import table
 
@@ -50,8 +50,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.reached_shares(*_mixed(spark, sf_dir))
 
 
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected documents with their original text where the states have an inverse, and the states found in them."""
+    docs = table(spark, sf_dir, "documents")
+    return encoding.restore_documents(docs, encoding.fit(docs))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_restored(spark, sf_dir).select("doc_id").distinct()
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p2_combined_days": p2_combined_days, "p3_found": p3_found, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p2_combined_days": p2_combined_days, "p3_found": p3_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:
