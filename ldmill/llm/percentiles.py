@@ -23,8 +23,9 @@ def _finish(rows: DataFrame, want: DataFrame) -> DataFrame:
     part = Window.partitionBy("grp", "part")
     placed = rows.withColumn("pos", F.col("part") + F.sum("w").over(part.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).select("grp", "part", "pos", "v")
     both = placed.unionByName(want.select("grp", "part", F.col("k").alias("pos"), F.lit(None).cast("double").alias("v")))
-    ahead = part.orderBy("pos", F.col("v").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn("next", F.first("v", ignorenulls=True).over(ahead)).where("v IS NULL").select("grp", F.col("pos").alias("k"), F.col("next").alias("v"))
+    # from the top down, each wanted rank takes the last value seen: the lowest one at or above it
+    ahead = part.orderBy(F.desc("pos"), F.col("v").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("next", F.last("v", ignorenulls=True).over(ahead)).where("v IS NULL").select("grp", F.col("pos").alias("k"), F.col("next").alias("v"))
 
 
 def multi_select(values: DataFrame, ranks: DataFrame, tables: Tables, finish: int = 20_000, accuracy: int = 200) -> DataFrame:
