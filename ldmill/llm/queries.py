@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ldmill.llm import components, encoding, mixture, percentiles, topn
+from ldmill.llm import components, contamination, encoding, mixture, percentiles, topn
 from ldmill.session import Tables
 from ldmill.sources.tables import table
 
@@ -36,6 +36,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(topn.latest_valid(table(spark, sf_dir, "map_snp")), "grp", "median_ld", "is_core", "marker", 3)
 
 
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items they contain, wholly, partly or in another order, with tiles and coverage."""
+    docs = table(spark, sf_dir, "documents")
+    return contamination.leaks(docs, table(spark, sf_dir, "test_items"), encoding.fit(docs))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those with at least 12 consecutive words of the passage, or all of a shorter one, in one tile."""
+    return p6_leaks(spark, sf_dir).where(F.col("longest") >= F.least(F.lit(12), F.col("n_words"))).select("doc_id", "item_id")
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     counts = Tables(spark, "tokens").cut(mixture.token_counts(table(spark, sf_dir, "documents")))
     return mixture.mix(counts, table(spark, sf_dir, "mix_targets"))
@@ -61,7 +72,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p2_combined_days": p2_combined_days, "p3_found": p3_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p2_combined_days": p2_combined_days, "p3_found": p3_found, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:
