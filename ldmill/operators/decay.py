@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ldmill.functions.scalar import d_from_rho, decayed, log_stratum, pair_hash
 from ldmill.operators.genotypes import allele_frequencies
 from ldmill.operators.pairs import edge_list
-from ldmill.session import broadcast_if_small
+from ldmill.session import Tables, broadcast_if_small
 
 
 def sampled_markers(geno: DataFrame, n_sub: int, min_maf: float) -> DataFrame:
@@ -28,7 +28,7 @@ def sampled_markers(geno: DataFrame, n_sub: int, min_maf: float) -> DataFrame:
 def background_ld(geno: DataFrame, q: float = 0.95, n_sub: int = 5000, min_maf: float = 0.1) -> DataFrame:
     """``n_pairs, b``: the q-quantile of r2 between sampled markers of different chromosomes; b is null where there is no such pair."""
     sample = sampled_markers(geno, n_sub, min_maf)
-    pairs = edge_list(geno.join(broadcast_if_small(sample), ["chr", "snp_idx"], "left_semi"), slide=0, by_chr=False).where("chr1 <> chr2")
+    pairs = edge_list(geno.join(broadcast_if_small(sample), ["chr", "snp_idx"], "left_semi"), slide=0, by_chr=False, across_only=True)
     return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.percentile("r2", q).alias("b"))
 
 
@@ -45,7 +45,8 @@ def decay_pairs(edges: DataFrame, scale: DataFrame, maf: DataFrame | None = None
     if maf is not None:
         ok = maf.where(F.col("maf") > min_maf).select("marker")
         e = e.join(ok.withColumnRenamed("marker", "snp1"), "snp1", "left_semi").join(ok.withColumnRenamed("marker", "snp2"), "snp2", "left_semi")
-    return e.withColumnRenamed("chr1", "chr").join(broadcast_if_small(scale.select("chr", "window_size", "step")), "chr").where("d < window_size")
+    near = e.withColumnRenamed("chr1", "chr").join(broadcast_if_small(scale.select("chr", "window_size", "step")), "chr").where("d < window_size")
+    return Tables(edges.sparkSession, "decay").cut(near.select("chr", "pos1", "pos2", "d", "r2", "window_size", "step"))
 
 
 def windowed(pairs: DataFrame, min_pairs: int = 100) -> DataFrame:

@@ -31,6 +31,7 @@ def ranked_markers(geno: DataFrame) -> DataFrame:
 
 
 def packed(geno: DataFrame) -> DataFrame:
-    """``chr, snp_idx, pos, inds, calls``: one row a marker, its non-missing calls in the order of individuals."""
-    calls = geno.where("dosage IS NOT NULL").groupBy("chr", "snp_idx", "pos").agg(F.sort_array(F.collect_list(F.struct("ind_id", F.col("dosage").cast("double").alias("g")))).alias("x"))
-    return calls.select("chr", "snp_idx", "pos", F.col("x.ind_id").alias("inds"), F.col("x.g").alias("calls"))
+    """``chr, snp_idx, pos, inds, calls``: one row a marker, its non-missing calls in the order of individuals (none: empty arrays)."""
+    call = F.when(F.col("dosage").isNotNull(), F.struct("ind_id", F.col("dosage").cast("double").alias("g")))
+    rows = geno.groupBy("chr", "snp_idx", "pos").agg(F.sort_array(F.collect_list(call)).alias("x"))
+    return rows.select("chr", "snp_idx", "pos", F.col("x.ind_id").alias("inds"), F.col("x.g").alias("calls"))

@@ -8,29 +8,59 @@ from pyspark.sql import functions as F
 from ldmill.session import Tables
 
 
+def hashed(pairs: DataFrame, a: str, b: str, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """The ``pairs`` as a table of 64-bit vertex ids ``(u, v)``, and the vertices' own table ``(id, name)``.
+
+    Ids are hashes, and so in no order that a graph could be built against; should two names ever share one, another seed is taken, so equal ids mean equal names.
+    """
+    rows = tables.cut(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL"))
+    for seed in range(64):
+        vid = lambda c: F.xxhash64(F.lit(seed), F.col(c))  # noqa: B023, E731
+        names = tables.cut(rows.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.lit(0).alias("z")).select(vid("name").alias("id"), "name"))
+        if names.groupBy("id").count().where("count > 1").isEmpty():
+            return rows.select(vid("a").alias("u"), vid("b").alias("v")), names
+        tables.drop(names)
+    raise RuntimeError("no collision-free seed")
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
     """``v, component``: the smallest vertex each vertex of the undirected ``edges (u, v)`` is linked to; isolated ``vertices (v)`` are their own component.
 
-    Each round takes the smallest label of the neighbourhood and then the label of that label, so that long chains halve. Rounds end in tables of the shared folder.
+    Contraction: every vertex hangs below the smallest of its neighbourhood, these short trees collapse onto their roots, and only edges between different roots
+    stay for the next round, so the graph shrinks geometrically. Vertices are 64-bit ids until the end; rounds end in tables of the shared folder.
     """
     tables = Tables(edges.sparkSession, "graph")
-    both = tables.cut(edges.where("u IS NOT NULL AND v IS NOT NULL").select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
-    labels = tables.cut(both.select(F.col("u").alias("w")).distinct().withColumn("label", F.col("w")))
+    ids, names = hashed(edges, "u", "v", tables)
+    graph = tables.cut(ids.where("u <> v").select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").distinct())
+    levels: list[DataFrame] = []
     for _ in range(max_rounds):
-        heard = both.join(labels.select(F.col("w").alias("v"), "label"), "v").groupBy(F.col("u").alias("w")).agg(F.min("label").alias("heard"))
-        near = tables.cut(labels.join(heard, "w").select("w", "label", F.least("label", "heard").alias("new")))
-        jump = near.join(near.select(F.col("w").alias("new"), F.col("new").alias("far")), "new").select("w", "label", F.least("new", "far").alias("new"))
-        jump = tables.cut(jump)
-        tables.drop(labels, near)
-        labels = jump.select("w", F.col("new").alias("label"))
-        labels._table_path = jump._table_path
-        if jump.where("label <> new").isEmpty():
+        if graph.isEmpty():
             break
+        up = tables.cut(graph.groupBy(F.col("u").alias("w")).agg(F.least(F.col("u"), F.min("v")).alias("root")))
+        while True:
+            above = up.select(F.col("w").alias("root"), F.col("root").alias("next"))
+            jump = tables.cut(up.join(above, "root").select("w", F.col("next").alias("root"), (F.col("next") < F.col("root")).alias("moved")))
+            tables.drop(up)
+            up = jump.select("w", "root")
+            up._table_path = jump._table_path
+            if jump.where("moved").isEmpty():
+                break
+        levels.append(up)
+        moved = graph.join(up.select(F.col("w").alias("u"), F.col("root").alias("ru")), "u").join(up.select(F.col("w").alias("v"), F.col("root").alias("rv")), "v")
+        after = tables.cut(moved.where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
+        tables.drop(graph)
+        graph = after
     else:
         raise RuntimeError("components did not settle")
-    out = labels.select(F.col("w").alias("v"), F.col("label").alias("component"))
+    labels = names.select(F.col("id").alias("w"), F.col("id").alias("root")) if not levels else levels[-1]
+    for level in reversed(levels[:-1]):
+        higher = labels.select(F.col("w").alias("root"), F.col("root").alias("top"))
+        labels = tables.cut(level.join(higher, "root", "left").select("w", F.coalesce("top", "root").alias("root")))
+    rows = tables.cut(names.join(labels, names["id"] == labels["w"], "left").select("name", F.coalesce("root", "id").alias("root")))
+    heads = rows.groupBy("root").agg(F.min("name").alias("component"))
+    out = rows.join(heads, "root").select(F.col("name").alias("v"), "component")
     if vertices is not None:
-        alone = vertices.select("v").distinct().join(out, "v", "left_anti").select("v", F.col("v").alias("component"))
+        alone = vertices.select("v").distinct().join(rows.select(F.col("name").alias("v")), "v", "left_anti").select("v", F.col("v").alias("component"))
         out = out.unionByName(alone)
     return out
 

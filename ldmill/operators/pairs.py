@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ldmill.operators.genotypes import packed, ranked_markers
-from ldmill.session import broadcast_if_small
+from ldmill.session import Tables, broadcast_if_small
 
 
 def matrix(pdf: pd.DataFrame, inds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Markers x individuals: calls (0 where missing) and which are present."""
     x, m = np.zeros((len(pdf), len(inds))), np.zeros((len(pdf), len(inds)))
     for i, (who, g) in enumerate(zip(pdf["inds"], pdf["calls"], strict=True)):
-        at = np.searchsorted(inds, who)
+        at = np.searchsorted(inds, np.asarray(who, dtype=inds.dtype))
         x[i, at], m[i, at] = g, 1
     return x, m
 
@@ -56,10 +56,10 @@ def r2_em(x: np.ndarray, m: np.ndarray, y: np.ndarray, k: np.ndarray, rounds: in
         return n, np.where(bottom > 1e-12, np.minimum(1.0, d * d / bottom), np.nan)
 
 
-def edge_list(geno: DataFrame, slide: int = 1000, method: str = "corr", by_chr: bool = True, block: int = 512) -> DataFrame:
+def edge_list(geno: DataFrame, slide: int = 1000, method: str = "corr", by_chr: bool = True, block: int = 512, across_only: bool = False) -> DataFrame:
     """``snp1, snp2, chr1, chr2, pos1, pos2, n, r2, d`` of marker pairs with a finite r2; snp1 is the later marker.
 
-    ``slide`` > 0: pairs at most so many ranks apart on their chromosome; <= 0: all pairs, within chromosomes (``by_chr``) or also across.
+    ``slide`` > 0: pairs at most so many ranks apart on their chromosome; <= 0: all pairs, within chromosomes (``by_chr``), also across, or only across.
     ``method``: ``corr`` (Pearson on calls) or ``r`` (gametic, by iteration; calls are rounded to hard ones). Constant markers and pairs without common calls give no edge.
     """
     if method not in ("corr", "r"):
@@ -67,8 +67,9 @@ def edge_list(geno: DataFrame, slide: int = 1000, method: str = "corr", by_chr:
     kernel = r2_corr if method == "corr" else r2_em
     if method == "r":
         geno = geno.withColumn("dosage", F.rint(F.col("dosage").cast("double")))
-    markers = ranked_markers(geno)
-    rows = packed(geno).join(broadcast_if_small(markers), ["chr", "snp_idx", "pos"])
+    vectors = Tables(geno.sparkSession, "vectors").cut(packed(geno))
+    markers = ranked_markers(vectors)
+    rows = vectors.join(broadcast_if_small(markers), ["chr", "snp_idx", "pos"])
     block = max(1, slide) if slide > 0 else block
     own = F.floor(F.col("rk") / block).cast("int")
     if slide > 0:
@@ -79,6 +80,7 @@ def edge_list(geno: DataFrame, slide: int = 1000, method: str = "corr", by_chr:
         a, b = blocks.select(F.col("chr").alias("ca"), F.col("b").alias("ba")), blocks.select(F.col("chr").alias("cb"), F.col("b").alias("bb"))
         ordered = F.struct("ca", "ba") <= F.struct("cb", "bb")
         tiles = a.join(b, ordered & (F.col("ca") == F.col("cb")) if by_chr else ordered)  # pairs of blocks, not of markers
+        tiles = tiles.where("ca <> cb") if across_only else tiles
         tiles = tiles.withColumn("tile", F.concat_ws(":", "ca", "ba", "cb", "bb"))
         first = tiles.select(F.col("ca").alias("chr"), F.col("ba").alias("b"), "tile", F.lit(0).alias("side"))
         second = tiles.where("ca <> cb OR ba <> bb").select(F.col("cb").alias("chr"), F.col("bb").alias("b"), "tile", F.lit(1).alias("side"))
@@ -86,7 +88,7 @@ def edge_list(geno: DataFrame, slide: int = 1000, method: str = "corr", by_chr:
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "chr", "pos", "snp_idx"], ignore_index=True)
-        inds = np.unique(np.concatenate(pdf["inds"].to_list()))
+        inds = np.unique(np.concatenate([np.asarray(i, dtype=np.int64) for i in pdf["inds"]]))
         x, m = matrix(pdf, inds)
         left = np.flatnonzero(pdf["side"] == 0)
         right = np.flatnonzero(pdf["side"] == 1)

@@ -12,9 +12,9 @@ from pyspark.sql.window import Window
 
 from ldmill.functions.numerics import average_linkage, pairwise_r2
 from ldmill.functions.scalar import d_from_rho
-from ldmill.operators.emlg import consensus, scores
+from ldmill.operators.emlg import consensus, correlations, scores
 from ldmill.operators.genmap import interpolate_cm
-from ldmill.session import broadcast_if_small
+from ldmill.session import Tables, broadcast_if_small
 
 
 def flag_clusters(clustered: DataFrame, ld_w: str, threshold: float, min_n_loci_flag: float = float("inf")) -> DataFrame:
@@ -140,8 +140,6 @@ def pick_representative(cons: DataFrame, members: DataFrame) -> DataFrame:
     """``group_id, cluster`` for ``members (group_id, cluster)``: the cluster with the highest median r2 of its consensus to the others', the first of equals."""
     left = cons.join(members, "cluster")
     pairs = left.select("group_id", "ind_id", F.col("cluster").alias("c1"), F.col("value").alias("v1")).join(left.select("group_id", "ind_id", F.col("cluster").alias("c2"), F.col("value").alias("v2")), ["group_id", "ind_id"]).where("c1 <> c2")
-    from ldmill.operators.emlg import correlations
-
     r = correlations(pairs, ["group_id", "c1", "c2"], "v1", "v2").groupBy("group_id", "c1").agg(F.round(F.percentile(F.coalesce(F.col("r") * F.col("r"), F.lit(0.0)), 0.5), 12).alias("m"))
     best = r.groupBy("group_id").agg(F.min(F.struct((-F.col("m")).alias("k"), F.col("c1"))).alias("b")).select("group_id", F.col("b.c1").alias("cluster"))
     single = members.groupBy("group_id").agg(F.min("cluster").alias("first"))
@@ -157,8 +155,10 @@ def stage2(geno: DataFrame, clustered: DataFrame, ld_w: str, ld_w_threshold: flo
     flagged, start, end = gaps(flags.where("flagged"), params, rho, distance_threshold, genetic_map, cm_threshold)
     runs = split_runs(flagged, "gap", start, end)
     calls = geno.join(broadcast_if_small(clustered.select("marker", "cluster", F.struct("pos", "marker").alias("ord"))), "marker").select("cluster", "ord", "ind_id", "dosage")
-    cons = consensus(calls)
+    tables = Tables(geno.sparkSession, "stage2")
+    cons = tables.cut(consensus(calls))
     cut, merged = cut_runs(cons, runs.select("chr", "run", F.col("cluster").cast("string").alias("cluster"), "n_loci"), score_threshold, min_r2)
+    cut, merged = tables.cut(cut), tables.cut(merged)
     named = cut.select("cluster", F.concat(F.lit("F"), F.concat_ws(":", "chr", F.col("run").cast("string"), F.col("piece").cast("string"))).alias("group_id"), "chr")
     heads = clustered.where("is_core").select(F.col("cluster").cast("string").alias("cluster"), "core")
     sizes = flags.select(F.col("cluster").cast("string").alias("cluster"), "n_loci", "flagged", "chr")
