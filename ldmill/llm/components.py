@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ldmill.operators.graph import hashed
 from ldmill.session import Tables
 
 
@@ -30,22 +31,6 @@ def linked_pairs(el: DataFrame, min_r2: float = 0.5) -> DataFrame:
     return last.where(F.col("m.r2") >= min_r2).select("a", "b")
 
 
-def hashed(pairs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """``pairs (a, b)`` of names as a table of 64-bit vertex ids ``(u, v)`` and the names' own table ``(id, name)``.
-
-    Ids are hashes; should two names ever share one, another seed is taken, so equal ids always mean equal names.
-    """
-    pairs = tables.cut(pairs)
-    for seed in range(64):
-        vid = lambda c: F.xxhash64(F.lit(seed), F.col(c))  # noqa: B023, E731
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("name"))
-        names = tables.cut(ends.groupBy("name").agg(F.lit(0).alias("z")).select(vid("name").alias("id"), "name"))
-        if names.groupBy("id").count().where("count > 1").isEmpty():
-            return pairs.select(vid("a").alias("u"), vid("b").alias("v")), names
-        tables.drop(names)
-    raise RuntimeError("no collision-free seed")
-
-
 def seed_tree_components(edges: DataFrame, tables: Tables) -> DataFrame:
     """``(id, seed)`` for every vertex of the undirected edges ``(u, v)`` of longs; loops and repeated edges don't matter, no edge gives no row."""
     graph = tables.cut(edges.where("u <> v").select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").distinct())
@@ -82,7 +67,7 @@ def marker_groups(pairs: DataFrame, spelled: DataFrame | None = None) -> DataFra
     or through others, and the marker. ``spelled (key, marker)`` gives the spelling for each upper-case key; names without one stay as they are.
     """
     tables = Tables(pairs.sparkSession, "components")
-    edges, names = hashed(pairs, tables)
+    edges, names = hashed(pairs, "a", "b", tables)
     labels = seed_tree_components(edges, tables)
     if spelled is not None:
         names = names.join(spelled, names["name"] == spelled["key"], "left").select("id", F.coalesce("marker", "name").alias("name"))

@@ -418,4 +418,6 @@ def restore_documents(docs: DataFrame, lp: np.ndarray) -> DataFrame:
             hit = [i for i, s in enumerate(states) if s]
             yield pd.DataFrame({"doc_id": b["doc_id"].iloc[hit], "text": [texts[i] for i in hit], "states": [", ".join(sorted(states[i], key=lambda k: (-states[i][k], k))) for i in hit]})  # noqa: B023
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id bigint, text string, states string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(work, "doc_id string, text string, states string")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -43,7 +43,9 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": n})
 
-    return docs.select("doc_id", "source", "text").mapInPandas(count, "doc_id bigint, source string, n_tokens bigint")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text").mapInPandas(count, "doc_id string, source string, n_tokens bigint")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def source_key(c: Column | str) -> Column:

@@ -75,14 +75,19 @@ def multi_select(values: DataFrame, ranks: DataFrame, tables: Tables, finish: in
 
 
 def _coded(df: DataFrame, keys: list[str], value: str, weight: str | None, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """Tables ``(grp, v, w)`` of the finite values and ``(keys..., grp, n)`` of the groups, ``grp`` a number of its own for each."""
+    """Tables ``(grp, v, w)`` of the finite values and ``(keys..., g__, n__)`` of the groups, ``g__`` a number of its own for each."""
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).select(*keys, v.alias("v__"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w__"))
     groups = tables.cut(rows.groupBy(*keys).agg(F.sum("w__").alias("n__")))
-    groups = tables.cut(groups.withColumn("grp", F.monotonically_increasing_id()))
-    named = broadcast_if_small(groups.select(*[F.col(k).alias(f"{k}__") for k in keys], "grp"))
+    groups = tables.cut(groups.withColumn("g__", F.monotonically_increasing_id()))
+    named = broadcast_if_small(groups.select(*[F.col(k).alias(f"{k}__") for k in keys], "g__"))
     same = [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys]
-    return tables.cut(rows.join(named, same).select("grp", F.col("v__").alias("v"), F.col("w__").alias("w"))), groups
+    return tables.cut(rows.join(named, same).select(F.col("g__").alias("grp"), F.col("v__").alias("v"), F.col("w__").alias("w"))), groups
+
+
+def _looked_up(marks: DataFrame, got: DataFrame) -> DataFrame:
+    """``marks`` (g__, k__, ...) with the value ``v__`` found at each rank."""
+    return marks.join(got.select(F.col("grp").alias("g__"), F.col("k").alias("k__"), F.col("v").alias("v__")), ["g__", "k__"])
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, qs: list[float], weight: str | None = None, finish: int = 20_000) -> DataFrame:
@@ -92,22 +97,24 @@ def percentiles(df: DataFrame, keys: list[str], value: str, qs: list[float], wei
     """
     tables = Tables(df.sparkSession, "percentiles")
     rows, groups = _coded(df, keys, value, weight, tables)
-    marks = groups.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n__"))).cast("long"))
-    got = multi_select(rows, marks.select("grp", "k"), tables, finish)
-    return marks.join(got, ["grp", "k"]).select(*keys, "q", F.col("v").alias("value"), F.col("n__").alias("n"))
+    marks = groups.withColumn("q__", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("k__", F.greatest(F.lit(1), F.ceil(F.col("q__") * F.col("n__"))).cast("long"))
+    got = multi_select(rows, marks.select(F.col("g__").alias("grp"), F.col("k__").alias("k")), tables, finish)
+    return _looked_up(marks, got).select(*keys, F.col("q__").alias("q"), F.col("v__").alias("value"), F.col("n__").alias("n"))
 
 
 def day_summaries(df: DataFrame, keys: list[str], value: str, time: str, points: int = 100, finish: int = 20_000) -> DataFrame:
     """``keys..., day, value, weight``: of every group and day ``points`` order statistics with the rows they stand for, to be stored and combined.
 
-    A day with fewer rows keeps them all. The statistics are the exact values at ranks ``ceil(i * n / points)``.
+    A day with fewer rows keeps them all; a null time is a day of its own. The statistics are the exact values at ranks ``ceil(i * n / points)``.
     """
     tables = Tables(df.sparkSession, "summaries")
-    rows, groups = _coded(df.withColumn("day", F.to_date(time)), [*keys, "day"], value, None, tables)
+    rows, groups = _coded(df.select(*keys, F.to_date(time).alias("day"), F.col(value).alias("value__")), [*keys, "day"], "value__", None, tables)
     m = F.least(F.lit(points).cast("long"), F.col("n__"))
-    i = F.explode(F.transform(F.sequence(F.lit(1).cast("long"), m), lambda j: F.struct(F.ceil(j * F.col("n__") / m).cast("long").alias("k"), (F.ceil(j * F.col("n__") / m) - F.ceil((j - 1) * F.col("n__") / m)).cast("long").alias("weight")))).alias("i")
-    marks = groups.select(*keys, "day", "grp", i).select(*keys, "day", "grp", "i.k", "i.weight")
-    return marks.join(multi_select(rows, marks.select("grp", "k"), tables, finish), ["grp", "k"]).select(*keys, "day", F.col("v").alias("value"), "weight")
+    rank = lambda j: F.ceil(j * F.col("n__") / m).cast("long")
+    i = F.explode(F.transform(F.sequence(F.lit(1).cast("long"), m), lambda j: F.struct(rank(j).alias("k"), (rank(j) - rank(j - 1)).alias("w")))).alias("i__")
+    marks = groups.select(*keys, "day", "g__", i).select(*keys, "day", "g__", F.col("i__.k").alias("k__"), F.col("i__.w").alias("w__"))
+    got = multi_select(rows, marks.select(F.col("g__").alias("grp"), F.col("k__").alias("k")), tables, finish)
+    return _looked_up(marks, got).select(*keys, "day", F.col("v__").alias("value"), F.col("w__").alias("weight"))
 
 
 def combined(summaries: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:
