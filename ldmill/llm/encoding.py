@@ -39,6 +39,7 @@ ENTER_UTF8, ENTER_SINGLE, LEAVE = -7.0, -14.0, -4.0
 EXPLAINED, EXPLAINED_WIDE = 0.1, 0.5  # the share of a bigram's count that one pair may have misread, with one non-ASCII character and with two
 RARE = -9.0  # a text all of whose bigrams are likelier than this is clean
 UNKNOWN = -10.0  # for the character itself where the alphabet only has "another"
+_SCATTER = np.random.default_rng(0).integers(1, 2**63, 4096, dtype=np.uint64)  # fixed random numbers to tell runs apart by
 PIECE = 1_000_000  # characters of a text, and of a block of texts, that are scored together
 
 
@@ -237,36 +238,52 @@ def run_gains(codes: np.ndarray, lp: np.ndarray, starts: np.ndarray) -> tuple[np
     begin, end, piece = begin[hot[piece]], end[hot[piece]], piece[hot[piece]]
     if not len(begin):
         return begin, end, piece, np.zeros((0, len(STATES)), dtype=np.float32)
-    # each run with the character before and after it, one after the other
+    # each run with the character before and after it, one after the other; equal ones are scored once
     length = end - begin + 2
     first = np.cumsum(length) - length
     run = np.repeat(np.arange(len(begin)), length)
     local = ids[np.arange(length.sum()) - first[run] + begin[run] - 1]
+    at = np.arange(len(local)) - first[run]
+    key = np.add.reduceat(_SCATTER[local] * _SCATTER[at % len(_SCATTER)], first)
+    _, one, same = np.unique(key, return_index=True, return_inverse=True)
+    chosen = np.zeros(len(begin), dtype=bool)
+    chosen[one] = True
+    gains, strange = _state_gains(local[chosen[run]], np.repeat(np.arange(len(one)), length[chosen]), lp)
+    place = np.empty(len(one), dtype=np.int64)
+    place[np.argsort(one)] = np.arange(len(one))
+    same = place[same]
+    # the nearest letter on either side, beyond what is no letter
+    latin = ((codes | 32) >= 97) & ((codes | 32) <= 122) & (codes < 128)
+    letter = latin | wide
+    before = np.maximum.accumulate(np.where(letter, np.arange(len(codes)), 0))[begin - 1]
+    after = np.minimum.accumulate(np.where(letter, np.arange(len(codes)), len(codes) - 1)[::-1])[::-1][end]
+    beside = latin[before].astype(np.float32) + latin[after]
+    return begin, end, piece, gains[same] + FOREIGN * beside[:, None] * strange[same]
+
+
+def _state_gains(local: np.ndarray, run: np.ndarray, lp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs with their neighbours (ids and run numbers): every state's log probability above the clean one's, and whether the state
+    makes letters of another script of a run that has none."""
+    a = alphabet()
+    runs = run[-1] + 1
 
     def score(x: np.ndarray, r: np.ndarray) -> np.ndarray:
         same = np.flatnonzero(r[1:] == r[:-1])
-        return np.bincount(r[same], weights=lp[x[same], x[same + 1]], minlength=len(begin))
+        return np.bincount(r[same], weights=lp[x[same], x[same + 1]], minlength=runs)
 
     clean = score(local, run)
     inner = local >= 128
-    gains = np.full((len(begin), len(STATES)), -1e3, dtype=np.float32)
+    gains = np.full((runs, len(STATES)), -1e3, dtype=np.float32)
     gains[:, 0] = 0
-    # the nearest letter on either side, beyond what is no letter
-    latin = ((codes | 32) >= 97) & ((codes | 32) <= 122) & (codes < 128)
-    letter = latin | wide
-    before = np.maximum.accumulate(np.where(letter, np.arange(len(codes)), 0))[begin - 1]
-    after = np.minimum.accumulate(np.where(letter, np.arange(len(codes)), len(codes) - 1)[::-1])[::-1][end]
-    beside = latin[before].astype(np.float32) + latin[after]
+    foreign = np.zeros((runs, len(STATES)), dtype=bool)
+    already = np.zeros(runs, dtype=bool)
+    already[run[a.foreign[local]]] = True
 
     def put(state: int, x: np.ndarray, r: np.ndarray, unused: np.ndarray) -> None:
-        new = score(x, r) - clean + INVALID * np.bincount(unused, minlength=len(begin))
-        strange = np.zeros(len(begin), dtype=bool)
-        strange[r[a.foreign[x]]] = True
-        already = np.zeros(len(begin), dtype=bool)
-        already[run[a.foreign[local]]] = True
-        gains[:, state] = new + FOREIGN * beside * (strange & ~already)
-
-    k = 0
+        gains[:, state] = score(x, r) - clean + INVALID * np.bincount(unused, minlength=runs)
+        foreign[r[a.foreign[x]], state] = True
+        foreign[already, state] = False
+
     for k, read in enumerate([*UTF8_READ_AS, *TWICE], 1):
         keep, out, part = _utf8(local, a.bytes_of[read], a)
         if not part.any():
@@ -280,16 +297,16 @@ def run_gains(codes: np.ndarray, lp: np.ndarray, starts: np.ndarray) -> tuple[np
             unused = np.concatenate([unused, r[wide2 & ~part]])
             x, r = out[keep], r[keep]
         put(k, x, r, unused)
-        untouched = np.ones(len(begin), dtype=bool)
+        untouched = np.ones(runs, dtype=bool)
         untouched[run[part] if k <= len(UTF8_READ_AS) else r] = False
         gains[untouched, k] = INVALID
     base = len(UTF8_READ_AS) + len(TWICE) + 1
     for j, inv in enumerate(a.inverse):
         to = inv[local]
         put(base + j, np.where(to >= 0, to, local), run, run[(to < 0) & inner])
-    lost = np.bincount(run[local == a.ids[LOST]], minlength=len(begin))
+    lost = np.bincount(run[local == a.ids[LOST]], minlength=runs)
     gains[:, -1] = np.where(lost > 0, 20.0 * lost, -20.0)
-    return begin, end, piece, gains
+    return gains, foreign
 
 
 def label_runs(piece: np.ndarray, gains: np.ndarray) -> np.ndarray:
