@@ -12,24 +12,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def group_stats(usable: DataFrame, keys: Sequence[str], value: str, kind: str, min_support: int, out: str) -> DataFrame:
+def group_stats(usable: DataFrame, keys: Sequence[str], value: str, kind: str, min_support: int, out: str, tag: str = "__") -> DataFrame:
     """One row per key: the median or mode ``out`` over its usable values where there are at least ``min_support``.
 
     Median: the lower middle value, from Spark's mergeable quantile summary (rank error at most 1/10000 of the group, none in small groups),
     so a group with a third of all rows sends a bounded state per map task. Mode: the most frequent value, the smallest of equals, from a count
     per (key, value) that combines in the map tasks.
     """
+    n, top, support = f"n{tag}", f"top{tag}", f"s{tag}"
     rows = usable.where(F.col(value).isNotNull())
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
     if kind == "median":
-        stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("s__"), F.percentile_approx(F.col(value).cast("double"), 0.5, 10000).alias(out))
-        return stats.where(F.col("s__") >= min_support).drop("s__")
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n__"))
+        stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(support), F.percentile_approx(F.col(value).cast("double"), 0.5, 10000).alias(out))
+        return stats.where(F.col(support) >= min_support).drop(support)
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(n))
     # of equals the smallest: the mode is the value with the most rows, then the first in order
-    top = counts.groupBy(*keys).agg(F.max("n__").alias("top__"), F.sum("n__").alias("s__"))
-    tied = counts.join(top, list(keys)) if keys else counts.crossJoin(F.broadcast(top))  # keyless: one row
-    return tied.where((F.col("n__") == F.col("top__")) & (F.col("s__") >= min_support)).groupBy(*keys).agg(F.min(value).alias(out))
+    most = counts.groupBy(*keys).agg(F.max(n).alias(top), F.sum(n).alias(support))
+    tied = counts.join(most, list(keys)) if keys else counts.crossJoin(F.broadcast(most))  # keyless: one row
+    return tied.where((F.col(n) == F.col(top)) & (F.col(support) >= min_support)).groupBy(*keys).agg(F.min(value).alias(out))
 
 
 def fill_missing(df: DataFrame, usable: dict[str, Column], levels: dict[str, Sequence[Sequence[str]]], kinds: dict[str, str], min_support: int = 2, last_resort: dict[str, Column] | None = None) -> DataFrame:
@@ -37,22 +38,24 @@ def fill_missing(df: DataFrame, usable: dict[str, Column], levels: dict[str, Seq
     levels for the last resort, null where the cell was usable or nothing could fill it).
 
     ``usable``: per field, whether its value counts (null counts as no). ``levels``: per field, key lists from fine to coarse; ``[]`` is the whole table.
-    Integer fields come back rounded to their own type. A key that is null has no group; the row then backs off.
+    Integer fields come back rounded to their own type. A key that is null has no group; the row then backs off. Output columns that the input already has are replaced.
     Empty tables come back empty; repeated rows each count.
     """
-    out = df
+    out, tag = df, "__"
+    while any(c.endswith(tag) for c in df.columns):  # inner columns keep clear of the caller's
+        tag += "_"
     for field, ok in usable.items():
         kind, typ = kinds[field], df.schema[field].dataType
         good = F.coalesce(ok, F.lit(False))
-        values = df.select(*{k for keys in levels[field] for k in keys}, F.when(good, F.col(field)).alias("v__")).where(F.col("v__").isNotNull())
+        values = df.select(*{k for keys in levels[field] for k in keys}, F.when(good, F.col(field)).alias(f"v{tag}")).where(F.col(f"v{tag}").isNotNull())
         picks = []
         for i, keys in enumerate(levels[field]):
-            stats = group_stats(values, list(keys), "v__", kind, 1 if not keys else min_support, f"p{i}__")
+            stats = group_stats(values, list(keys), f"v{tag}", kind, 1 if not keys else min_support, f"p{i}{tag}", tag)
             out = out.join(stats, list(keys), "left") if keys else out.join(F.broadcast(stats), how="left")  # keyless: one row
-            picks.append(F.col(f"p{i}__"))
+            picks.append(F.col(f"p{i}{tag}"))
         if last_resort and field in last_resort:
             picks.append(last_resort[field])
         pick = F.coalesce(*[p if kind == "mode" else F.round(p) for p in picks]).cast(typ)
         level = F.coalesce(*[F.when(p.isNotNull(), F.lit(i)) for i, p in enumerate(picks)])
-        out = out.withColumns({f"{field}_filled": F.when(good, F.col(field)).otherwise(pick), f"{field}_is_filled": ~good & pick.isNotNull(), f"{field}_level": F.when(~good, level)}).drop(*[f"p{i}__" for i in range(len(levels[field]))])
+        out = out.withColumns({f"{field}_filled": F.when(good, F.col(field)).otherwise(pick), f"{field}_is_filled": ~good & pick.isNotNull(), f"{field}_level": F.when(~good, level)}).drop(*[f"p{i}{tag}" for i in range(len(levels[field]))])
     return out

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,13 +114,9 @@ def background_exact(background: DataFrame, clusters: DataFrame, pcut: float, b:
 
 def background_sampled(background: DataFrame, clusters: DataFrame, pcut: float, b: int = 1000, seed: int = 0) -> DataFrame:
     """As ``background_exact``, with ``b`` rotations drawn by seed: the number that reach n_sig is binomial with the exact share."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("double")
     def draw(frac: pd.Series, name: pd.Series) -> pd.Series:
-        import zlib
-
         return pd.Series([np.nan if pd.isna(f) else (1 + np.random.default_rng([seed, zlib.crc32(n.encode())]).binomial(b, f)) / (b + 1) for f, n in zip(frac, name, strict=True)])
 
     exact = background_exact(background, clusters, pcut, b)

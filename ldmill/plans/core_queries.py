@@ -22,15 +22,15 @@ def filled_best_snp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     stats = table(spark, sf_dir, "best_snp")
     groups = table(spark, sf_dir, "ld_groups")
-    members = groups.select("group_id", F.explode("members").alias("best_marker")).distinct().withColumn("is_member", F.lit(True))
+    members = groups.select("group_id", F.explode("members").alias("best_marker")).distinct().withColumn("_is_member_", F.lit(True))
     rows = stats.join(members, ["group_id", "best_marker"], "left")
-    heads = groups.select("group_id", F.col("representative").alias("group_head"))
+    heads = groups.select("group_id", F.col("representative").alias("_group_head_"))
     rows = rows.join(heads, "group_id", "left")
-    usable = {f: (F.col(f) >= 0) & (F.col(f) <= F.col("n_ind")) for f in FILLED[:2]} | {"best_marker": F.col("is_member")}
+    usable = {f: (F.col(f) >= 0) & (F.col(f) <= F.col("n_ind")) for f in FILLED[:2]} | {"best_marker": F.col("_is_member_")}
     numeric = [["group_id"], ["run_no"], []]
-    out = fill_missing(rows, usable, {f: numeric for f in FILLED[:2]} | {"best_marker": [["group_id"]]}, {f: "median" for f in FILLED[:2]} | {"best_marker": "mode"}, last_resort={"best_marker": F.col("group_head")})
+    out = fill_missing(rows, usable, {f: numeric for f in FILLED[:2]} | {"best_marker": [["group_id"]]}, {f: "median" for f in FILLED[:2]} | {"best_marker": "mode"}, last_resort={"best_marker": F.col("_group_head_")})
     # a count from elsewhere can't exceed the row's own number of individuals
-    return out.withColumns({f"{f}_filled": F.least(f"{f}_filled", "n_ind") for f in FILLED[:2]}).drop("is_member", "group_head")
+    return out.withColumns({f"{f}_filled": F.least(f"{f}_filled", "n_ind") for f in FILLED[:2]}).drop("_is_member_", "_group_head_")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
