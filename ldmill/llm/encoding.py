@@ -40,7 +40,7 @@ EXPLAINED, EXPLAINED_WIDE = 0.1, 0.5  # the share of a bigram's count that one p
 RARE = -9.0  # a text all of whose bigrams are likelier than this is clean
 UNKNOWN = -10.0  # for the character itself where the alphabet only has "another"
 _SCATTER = np.random.default_rng(0).integers(1, 2**63, 4096, dtype=np.uint64)  # fixed random numbers to tell runs apart by
-PIECE = 1_000_000  # characters of a text, and of a block of texts, that are scored together
+PIECE, BLOCK = 20_000, 1_000_000  # characters of a text that are labelled as one sequence, and of texts that are scored together
 
 
 def byte_chars(codec: str) -> list[int]:
@@ -198,7 +198,8 @@ def clean_model(counts: pd.DataFrame) -> np.ndarray:
     case = np.zeros((3, 3))
     np.add.at(case, (a.case[:, None], a.case[None, :]), left)
     case[:, 1:] += 1
-    case = np.log(case / case[:, 1:].sum(axis=1, keepdims=True))
+    with np.errstate(divide="ignore"):
+        case = np.log(case / case[:, 1:].sum(axis=1, keepdims=True))
     case[:, 0] = 0  # no letter
     p += case[a.case][:, a.case]
     p[:, -1] += UNKNOWN
@@ -206,7 +207,7 @@ def clean_model(counts: pd.DataFrame) -> np.ndarray:
 
 
 def blocks(texts: pd.Series) -> Iterator[tuple[list[str], list[int]]]:
-    """Texts in blocks of about PIECE characters, a longer one in pieces that end at a line or word; with the row number of each piece."""
+    """Texts in blocks of about BLOCK characters, one longer than PIECE in pieces that end at a blank where they can; with the row number of each piece."""
     out, rows, size = [], [], 0
     for i, t in enumerate(texts):
         if not t:
@@ -215,7 +216,7 @@ def blocks(texts: pd.Series) -> Iterator[tuple[list[str], list[int]]]:
             out.append(piece)
             rows.append(i)
             size += len(piece)
-            if size >= PIECE:
+            if size >= BLOCK:
                 yield out, rows
                 out, rows, size = [], [], 0
     if out:
@@ -433,7 +434,7 @@ def restore_documents(docs: DataFrame, lp: np.ndarray) -> DataFrame:
         for b in batches:
             texts, states = repaired(b["text"], model.value)
             hit = [i for i, s in enumerate(states) if s]
-            yield pd.DataFrame({"doc_id": b["doc_id"].iloc[hit], "text": [texts[i] for i in hit], "states": [", ".join(sorted(states[i], key=lambda k: (-states[i][k], k))) for i in hit]})  # noqa: B023
+            yield pd.DataFrame({"doc_id": b["doc_id"].iloc[hit], "text": [texts[i] for i in hit], "states": [", ".join(sorted(states[i], key=lambda k: (-states[i][k], k))) for i in hit]}, dtype=object)  # noqa: B023
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(work, "doc_id string, text string, states string")

@@ -80,7 +80,7 @@ class Words:
     raw: np.ndarray  # polynomial hash of the folded letters
     size: np.ndarray  # number of folded letters
     text: np.ndarray  # number of the text
-    lost: np.ndarray  # has a replacement character inside
+    lost: np.ndarray  # has or had a replacement character
 
 
 def words_of(texts: list[str], mask: bool = False) -> Words:
@@ -95,16 +95,20 @@ def words_of(texts: list[str], mask: bool = False) -> Words:
     f = fold_table()[codes]
     f[codes == 0] = CUT
     f = f[f > 0]
+    lost = f == LOST
     while True:
         gap = np.concatenate([[True], f <= CUT, [True]])
         edge = (f == LOST) & (gap[:-2] | gap[2:])
         if not edge.any():
             break
-        f = f[~edge]
+        lost[1:] |= edge[:-1] & ~gap[2:-1]
+        lost[:-1] |= edge[1:] & ~gap[1:-2]
+        f, lost = f[~edge], lost[~edge]
     gap = f <= CUT
     same = np.zeros(len(f), dtype=bool)
     same[1:] = (f[1:] == f[:-1]) & ~gap[1:] & (f[1:] != LOST)  # doubled letters count once
-    f, gap = f[~same], gap[~same]
+    lost[:-1] |= lost[1:] & same[1:]
+    f, gap, lost = f[~same], gap[~same], lost[~same]
     begin = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]])) if len(f) else np.zeros(0, dtype=np.int64)
     if not len(begin):
         empty = np.zeros(0, dtype=np.int64)
@@ -113,7 +117,7 @@ def words_of(texts: list[str], mask: bool = False) -> Words:
     at = np.arange(len(f)) - begin[np.maximum(np.cumsum(~gap & np.concatenate([[True], gap[:-1]])) - 1, 0)]
     powers = _powers()
     value = np.where(gap, np.uint64(0), f.astype(np.uint64) * powers[at % len(powers)])
-    return Words(np.add.reduceat(value, begin), np.add.reduceat((~gap).astype(np.int64), begin), text[begin], np.logical_or.reduceat(f == LOST, begin))
+    return Words(np.add.reduceat(value, begin), np.add.reduceat((~gap).astype(np.int64), begin), text[begin], np.logical_or.reduceat(lost & ~gap, begin))
 
 
 def joined(w: Words) -> tuple[np.ndarray, np.ndarray]:
