@@ -25,8 +25,8 @@ def by_first_appearance(rows: DataFrame, key: str, order: str, within: list[str]
     return rows.join(broadcast_if_small(ranked), [*keys, key], "left").withColumn("colour", palette_index(F.col("appearance")))
 
 
-def stage_points(clustered: DataFrame, groups: DataFrame, chromosome: str, ld_w: str, threshold: float, direction: str = "high", min_n_loci_flag: float = float("inf"), result_params: dict | None = None) -> DataFrame:
-    """``panel, marker, pos, value, id, colour`` of one chromosome: the markers of flagged (``high``) or all other (``low``) clusters by their Stage-1 cluster and
+def stage_points(clustered: DataFrame, groups: DataFrame, chromosome: str | None, ld_w: str, threshold: float, direction: str = "high", min_n_loci_flag: float = float("inf"), result_params: dict | None = None) -> DataFrame:
+    """``panel, chr, marker, pos, value, id, colour`` of one chromosome, or of each (null): the markers of flagged (``high``) or all other (``low``) clusters by their Stage-1 cluster and
     by their Stage-2 group. ``clustered (marker, chr, pos, cluster, <ld_w>)``, ``groups (group_id, members)``. Nothing that matches is an empty result.
     Warns where the parameters differ from those the groups were made with."""
     if direction not in ("high", "low"):
@@ -34,14 +34,14 @@ def stage_points(clustered: DataFrame, groups: DataFrame, chromosome: str, ld_w:
     for k, v in (("ld_w_threshold", threshold), ("min_n_loci_flag", min_n_loci_flag)):
         if result_params and k in result_params and result_params[k] != v:
             warnings.warn(f"{k} = {v}, but the groups were made with {result_params[k]}", stacklevel=2)
-    m = clustered.where(F.col("chr") == chromosome)
-    flag = m.groupBy("cluster").agg((F.coalesce(F.bool_or(F.col(ld_w) > threshold), F.lit(False)) | (F.lit(min_n_loci_flag != float("inf")) & (F.count(F.lit(1)) >= F.lit(min_n_loci_flag)))).alias("flagged"))
-    m = m.join(broadcast_if_small(flag.where(F.col("flagged") == (direction == "high")).select("cluster")), "cluster", "left_semi")
-    points = m.select("marker", "pos", F.col(ld_w).alias("value"), F.col("cluster").cast("string").alias("id"))
-    stage1 = by_first_appearance(points, "id", "pos").withColumn("panel", F.lit("stage1"))
+    m = clustered.where("chr IS NOT NULL") if chromosome is None else clustered.where(F.col("chr") == chromosome)
+    flag = m.groupBy("chr", "cluster").agg((F.coalesce(F.bool_or(F.col(ld_w) > threshold), F.lit(False)) | (F.lit(min_n_loci_flag != float("inf")) & (F.count(F.lit(1)) >= F.lit(min_n_loci_flag)))).alias("flagged"))
+    m = m.join(broadcast_if_small(flag.where(F.col("flagged") == (direction == "high")).select("chr", "cluster")), ["chr", "cluster"], "left_semi")
+    points = m.select("chr", "marker", "pos", F.col(ld_w).alias("value"), F.col("cluster").cast("string").alias("id"))
+    stage1 = by_first_appearance(points, "id", "pos", ["chr"]).withColumn("panel", F.lit("stage1"))
     member = groups.select(F.col("group_id").alias("id"), F.explode("members").alias("marker"))
-    stage2 = by_first_appearance(points.drop("id").join(member, "marker"), "id", "pos").withColumn("panel", F.lit("stage2"))
-    cols = ["panel", "marker", "pos", "value", "id", "colour"]
+    stage2 = by_first_appearance(points.drop("id").join(member, "marker"), "id", "pos", ["chr"]).withColumn("panel", F.lit("stage2"))
+    cols = ["panel", "chr", "marker", "pos", "value", "id", "colour"]
     return stage1.select(*cols).unionByName(stage2.select(*cols))
 
 

@@ -462,7 +462,7 @@ def joint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return popgen.joint_counts(_near_pairs(spark, sf_dir), calls(spark, sf_dir))
 
 
-@query(f"""
+_OHTA = f"""
     WITH {GENO_TABLE}, {_NEAR}, c AS (SELECT * FROM h WHERE dosage IS NOT NULL AND pop IS NOT NULL),
     tm AS (SELECT marker, avg(dosage) AS mu FROM c GROUP BY marker), pm AS (SELECT marker, pop, avg(dosage) AS mu FROM c GROUP BY marker, pop),
     kp AS (SELECT snp1, snp2, p.pop FROM prs JOIN tm t ON t.marker = snp1 AND t.mu BETWEEN 0.2 AND 1.8 JOIN tm u ON u.marker = snp2 AND u.mu BETWEEN 0.2 AND 1.8
@@ -480,14 +480,17 @@ def joint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
           sum((tb - pb) * (tb - pb)) / max(k) / 4 AS dp2st, sum((t - tb) * (t - tb)) / max(k) / 4 AS dp2is FROM lo JOIN av USING (snp1, snp2, st) GROUP BY snp1, snp2),
     rr AS (SELECT snp1, snp2, CASE WHEN count(*) >= 3 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN pow(corr(x, y), 2) END AS r2 FROM jo GROUP BY snp1, snp2)
     SELECT snp1, snp2, CAST(n_pops AS DOUBLE) AS n_pops, round(d2it, 6) AS d2it, round(d2is, 6) AS d2is, round(d2st, 6) AS d2st, round(dp2st, 6) AS dp2st, round(dp2is, 6) AS dp2is, round(r2, 6) AS r2
-    FROM prs LEFT JOIN d USING (snp1, snp2) LEFT JOIN rr USING (snp1, snp2)""")
+    FROM prs LEFT JOIN d USING (snp1, snp2) LEFT JOIN rr USING (snp1, snp2)"""
+
+
+@query(_OHTA)
 def ohta_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return popgen.ohta_scan(_near_pairs(spark, sf_dir), calls(spark, sf_dir)).drop("r2_pop_mean", "fst_mean")
 
 
-@query()
+@query(_OHTA.replace(" / max(k) / 4 AS dp2st", " / max(k) AS dp2st").replace(" / max(k) / 4 AS dp2is", " / max(k) AS dp2is"))
 def ohta_original(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return popgen.ohta_scan(_near_pairs(spark, sf_dir), calls(spark, sf_dir), variant="original")
+    return popgen.ohta_scan(_near_pairs(spark, sf_dir), calls(spark, sf_dir), variant="original").drop("r2_pop_mean", "fst_mean")
 
 
 # association
@@ -610,19 +613,19 @@ def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # data behind figures
 
-_FIRST = "SELECT id, dense_rank() OVER (ORDER BY min(pos), id) AS k FROM {0} GROUP BY id"
+_FIRST = "SELECT chr, id, dense_rank() OVER (PARTITION BY chr ORDER BY min(pos), id) AS k FROM {0} GROUP BY chr, id"
 
 
 @query(f"""
     WITH {MAP}, gr AS (SELECT group_id AS id, upper(unnest(members)) AS marker FROM ld_groups),
-    c AS (SELECT marker, pos, ld_w AS value, cl_id FROM mp WHERE chr = 'Chr1' AND cl_id IS NOT NULL AND cl_id IN (SELECT cl_id FROM mp WHERE chr = 'Chr1' AND ld_w > 0.4e0)),
-    s1 AS (SELECT marker, pos, value, CAST(cl_id AS VARCHAR) AS id FROM c), s2 AS (SELECT c.marker, pos, value, gr.id FROM c JOIN gr USING (marker))
-    SELECT 'stage1' AS panel, marker, pos, value, id, (k - 1) % 12 + 1 AS colour FROM s1 JOIN ({_FIRST.format("s1")}) USING (id)
-    UNION ALL SELECT 'stage2', marker, pos, value, id, (k - 1) % 12 + 1 FROM s2 JOIN ({_FIRST.format("s2")}) USING (id)""")
+    c AS (SELECT chr, marker, pos, ld_w AS value, cl_id FROM mp WHERE cl_id IS NOT NULL AND (chr, cl_id) IN (SELECT (chr, cl_id) FROM mp WHERE ld_w > 0.4e0)),
+    s1 AS (SELECT chr, marker, pos, value, CAST(cl_id AS VARCHAR) AS id FROM c), s2 AS (SELECT c.chr, c.marker, pos, value, gr.id FROM c JOIN gr USING (marker))
+    SELECT 'stage1' AS panel, chr, marker, pos, value, id, (k - 1) % 12 + 1 AS colour FROM s1 JOIN ({_FIRST.format("s1")}) USING (chr, id)
+    UNION ALL SELECT 'stage2', chr, marker, pos, value, id, (k - 1) % 12 + 1 FROM s2 JOIN ({_FIRST.format("s2")}) USING (chr, id)""")
 def plot_stage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = markers(spark, sf_dir).where("cl_id IS NOT NULL").withColumnRenamed("cl_id", "cluster")
     groups = table(spark, sf_dir, "ld_groups").select("group_id", F.transform("members", F.upper).alias("members"))
-    return plotdata.stage_points(m, groups, "Chr1", "ld_w", 0.4)
+    return plotdata.stage_points(m, groups, None, "ld_w", 0.4)
 
 
 @query(" UNION ALL ".join(f"SELECT '{p}' AS panel, chr, CAST(chr_size AS DOUBLE) AS x, CAST({c} AS DOUBLE) AS y FROM decay_sum WHERE chr IS NOT NULL AND {c} IS NOT NULL AND NOT isnan({c})" for p, c in (("rate", "a"), ("predicted_rate", "a_pred"), ("start", "c"), ("reached", "rho_slide_pred"))))

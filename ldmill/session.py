@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +28,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, what: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", 0
+        _WRITTEN.append(self.root)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -47,3 +49,11 @@ class Tables:
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """``df`` with a broadcast hint where a count proves it small, unchanged (any join strategy) otherwise."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def clean_tables(spark: SparkSession) -> None:
+    """Delete every table the operators of this process wrote to the shared folder; results not yet stored elsewhere can't be read any more."""
+    jvm = spark._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
