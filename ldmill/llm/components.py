@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ldmill.operators.graph import hashed
 from ldmill.session import Tables
 
+BLANKS = " \t\r\n\xa0"
+
 
 def linked_pairs(el: DataFrame, min_r2: float = 0.5) -> DataFrame:
     """The unordered marker pairs ``a < b`` of an edge list that are linked by their latest usable r2.
@@ -24,7 +26,7 @@ def linked_pairs(el: DataFrame, min_r2: float = 0.5) -> DataFrame:
     Usable: r2 finite, within 0..1, two different markers after trimming blanks and ignoring case; names come out in upper case.
     Of rows with the same latest time the highest r2 counts. Null names, times and r2: a null name or r2 is unusable, a null time is the earliest.
     """
-    name = lambda c: F.upper(F.trim(F.col(c)))
+    name = lambda c: F.upper(F.trim(F.col(c), F.lit(BLANKS)))
     a, b = F.least("x", "y"), F.greatest("x", "y")
     rows = el.select(name("snp1").alias("x"), name("snp2").alias("y"), "r2", "computed_at").where(F.col("r2").between(0.0, 1.0) & (F.col("x") != F.col("y")) & (F.col("x") != "") & (F.col("y") != ""))
     last = rows.groupBy(a.alias("a"), b.alias("b")).agg(F.max(F.struct(F.unix_micros("computed_at").alias("t"), "r2")).alias("m"))
@@ -78,4 +80,4 @@ def marker_groups(pairs: DataFrame, spelled: DataFrame | None = None) -> DataFra
 
 def spelling(map_snp: DataFrame) -> DataFrame:
     """``key, marker``: the spelling of each marker in the map, keyed by its upper-case name."""
-    return map_snp.where("marker IS NOT NULL").groupBy(F.upper(F.trim("marker")).alias("key")).agg(F.min("marker").alias("marker"))
+    return map_snp.where("marker IS NOT NULL").groupBy(F.upper(F.trim(F.col("marker"), F.lit(BLANKS))).alias("key")).agg(F.min("marker").alias("marker"))
