@@ -65,8 +65,29 @@ _KEYS = " UNION ALL ".join(
 )
 
 
+def _median_sql(f: str) -> str:
+    ok = f"{f} BETWEEN 0 AND n_ind"
+    return f"""
+        {f}_g AS (SELECT group_id, quantile_disc({f}, 0.5) AS v FROM r WHERE {ok} GROUP BY group_id HAVING count(*) >= 2),
+        {f}_r AS (SELECT run_no, quantile_disc({f}, 0.5) AS v FROM r WHERE {ok} AND run_no IS NOT NULL GROUP BY run_no HAVING count(*) >= 2),
+        {f}_a AS (SELECT quantile_disc({f}, 0.5) AS v FROM r WHERE {ok}),
+        {f}_x AS (SELECT stat_id, CASE WHEN {ok} THEN {f} ELSE least(coalesce(g.v, n.v, a.v), n_ind) END AS {f}_filled, NOT coalesce({ok}, false) AND coalesce(g.v, n.v, a.v) IS NOT NULL AS {f}_is_filled,
+            CASE WHEN coalesce({ok}, false) THEN NULL WHEN g.v IS NOT NULL THEN 0 WHEN n.v IS NOT NULL THEN 1 WHEN a.v IS NOT NULL THEN 2 END AS {f}_level
+            FROM r LEFT JOIN {f}_g g USING (group_id) LEFT JOIN {f}_r n USING (run_no), {f}_a a)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_filled": f"""
+            WITH m AS (SELECT DISTINCT group_id, unnest(members) AS marker FROM ld_groups),
+            r AS (SELECT b.*, m.marker IS NOT NULL AS named, h.representative AS head FROM best_snp b LEFT JOIN m ON m.group_id = b.group_id AND m.marker = b.best_marker LEFT JOIN ld_groups h ON h.group_id = b.group_id),
+            {_median_sql("n_filled")}, {_median_sql("n_resid_na")},
+            c AS (SELECT group_id, best_marker, count(*) AS n FROM r WHERE named GROUP BY 1, 2),
+            o AS (SELECT group_id, min(best_marker) AS v FROM (SELECT *, max(n) OVER (PARTITION BY group_id) AS top, sum(n) OVER (PARTITION BY group_id) AS s FROM c) WHERE n = top AND s >= 2 GROUP BY group_id)
+            SELECT r.stat_id, r.group_id, r.run_no, r.n_ind, n_filled_filled, n_filled_is_filled, n_filled_level, n_resid_na_filled, n_resid_na_is_filled, n_resid_na_level,
+                CASE WHEN named THEN best_marker ELSE coalesce(o.v, head) END AS best_marker_filled, NOT named AND coalesce(o.v, head) IS NOT NULL AS best_marker_is_filled,
+                CASE WHEN named THEN NULL WHEN o.v IS NOT NULL THEN 0 WHEN head IS NOT NULL THEN 1 END AS best_marker_level
+            FROM r JOIN n_filled_x USING (stat_id) JOIN n_resid_na_x USING (stat_id) LEFT JOIN o ON o.group_id = r.group_id""",
         "p4_found": """
             WITH m AS (SELECT DISTINCT group_id, unnest(members) AS marker FROM ld_groups)
             SELECT stat_id, 'n_filled' AS field_name FROM best_snp WHERE n_filled IS NULL OR NOT (n_filled BETWEEN 0 AND n_ind)
