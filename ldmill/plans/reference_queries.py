@@ -548,10 +548,10 @@ def rmsc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(outlier.rmsc_curve(outlier.usable(pvalues(spark, sf_dir))), "threshold", places=9)
 
 
-_CAND = f"""
-    {PVALUES}, ok AS (SELECT * FROM pv WHERE pval IS NOT NULL AND ld_w IS NOT NULL), th AS (SELECT quantile_cont(ld_w, 0.5) AS t FROM ok),
+_CAND_OF = """
     k AS (SELECT ok.*, count(*) OVER (ORDER BY pval) AS rk, count(*) OVER () AS m FROM ok, th WHERE ld_w >= t),
     cand AS (SELECT marker, chr, pos, pval, ld_w, least(1, min(pval * m / rk) OVER (ORDER BY pval DESC)) AS q_snp FROM k)"""
+_CAND = f"{PVALUES}, ok AS (SELECT * FROM pv WHERE pval IS NOT NULL AND ld_w IS NOT NULL), th AS (SELECT quantile_cont(ld_w, 0.5) AS t FROM ok), {_CAND_OF}"
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -566,8 +566,8 @@ def outlier_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_candidates(spark, sf_dir)[1], "q_snp", places=9)
 
 
-_OUTLIER = f"""
-    {_CAND}, {EDGES}, th2 AS (SELECT snp1 AS u, snp2 AS v FROM edges WHERE chr1 = chr2 AND r2 >= 0.5e0 AND snp1 IN (SELECT marker FROM cand) AND snp2 IN (SELECT marker FROM cand)),
+_TABLE_OF = f"""
+    {EDGES}, th2 AS (SELECT snp1 AS u, snp2 AS v FROM edges WHERE chr1 = chr2 AND r2 >= 0.5e0 AND snp1 IN (SELECT marker FROM cand) AND snp2 IN (SELECT marker FROM cand)),
     ee AS (SELECT u, v FROM th2 UNION SELECT v, u FROM th2), {_CC},
     lab AS (SELECT cand.*, coalesce(component, marker) AS component FROM cand LEFT JOIN cc ON cc.v = marker),
     br AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chr, component ORDER BY pos, marker) > 500000 THEN 1 ELSE 0 END AS new FROM lab),
@@ -575,19 +575,24 @@ _OUTLIER = f"""
     tab AS (SELECT chr, cluster, count(*) AS n, count(*) FILTER (q_snp < 0.05e0) AS n_sig, min(pos) AS "start", max(pos) AS "end" FROM mem GROUP BY chr, cluster)"""
 
 
+_OUTLIER = f"{_CAND}, {_TABLE_OF}"
+
+
 @query(f"WITH RECURSIVE {_OUTLIER} SELECT * FROM tab")
 def outlier_cluster_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlier.cluster_counts(outlier.ld_clusters(_candidates(spark, sf_dir)[1], edges(spark, sf_dir), 0.5, gap=500_000))
 
 
-@query(f"""
-    WITH RECURSIVE {_OUTLIER}, pc AS (SELECT max(pval) AS pcut FROM cand WHERE q_snp < 0.05e0),
+_NULL_OF = """
+    pc AS (SELECT max(pval) AS pcut FROM cand WHERE q_snp < 0.05e0),
     bg AS (SELECT chr, list(CASE WHEN pval <= pcut THEN 1 ELSE 0 END ORDER BY pos, marker) AS h, count(*) AS nb FROM pv, pc WHERE pval IS NOT NULL AND marker NOT IN (SELECT marker FROM cand) GROUP BY chr HAVING count(*) >= 2),
     sh AS (SELECT DISTINCT chr, n, n_sig FROM tab),
     ro AS (SELECT chr, n, n_sig, unnest(range(1, nb + 1)) AS st, nb, h FROM sh JOIN bg USING (chr)),
     su AS (SELECT chr, n, n_sig, (n // nb) * list_sum(h) + CASE WHEN n % nb = 0 THEN 0 ELSE list_sum(list_slice(h || h, st, st + n % nb - 1)) END AS hits FROM ro),
-    fr AS (SELECT chr, n, n_sig, avg(CASE WHEN hits >= n_sig THEN 1.0e0 ELSE 0 END) AS frac FROM su GROUP BY chr, n, n_sig)
-    SELECT cluster, round(frac, 9) AS frac, round((1 + 1000 * frac) / 1001, 9) AS emp_p FROM tab LEFT JOIN fr USING (chr, n, n_sig)""")
+    fr AS (SELECT chr, n, n_sig, avg(CASE WHEN hits >= n_sig THEN 1.0e0 ELSE 0 END) AS frac FROM su GROUP BY chr, n, n_sig)"""
+
+
+@query(f"WITH RECURSIVE {_OUTLIER}, {_NULL_OF} SELECT cluster, round(frac, 9) AS frac, round((1 + 1000 * frac) / 1001, 9) AS emp_p FROM tab LEFT JOIN fr USING (chr, n, n_sig)")
 def background_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, cand = _candidates(spark, sf_dir)
     pcut = cand.where("sig").agg(F.max("pval").alias("p")).first()["p"]
@@ -595,9 +600,14 @@ def background_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(outlier.background_exact(rows.join(cand.select("marker"), "marker", "left_anti"), counts, pcut), "frac", "emp_p", places=9)
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {_RMSC}, th AS (SELECT threshold AS t FROM curve ORDER BY rejections DESC, q LIMIT 1), {_CAND_OF}, {_TABLE_OF}, {_NULL_OF},
+    te AS (SELECT tab.*, CASE WHEN n_sig >= 1 THEN (1 + 1000 * frac) / 1001 END AS emp_p FROM tab LEFT JOIN fr USING (chr, n, n_sig)),
+    rk AS (SELECT cluster, emp_p, count(*) OVER (ORDER BY emp_p) AS rk, count(*) OVER () AS m FROM te WHERE emp_p IS NOT NULL),
+    ad AS (SELECT cluster, least(1, min(emp_p * m / rk) OVER (ORDER BY emp_p DESC)) AS emp_q FROM rk)
+    SELECT chr, cluster, n, n_sig, "start", "end", round(emp_p, 9) AS emp_p, round(emp_q, 9) AS emp_q, coalesce(emp_q < 0.05e0, false) AS significant FROM te LEFT JOIN ad USING (cluster)""")
 def outlier_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outlier.outlier_clusters(pvalues(spark, sf_dir), edges(spark, sf_dir), gap=500_000).clusters
+    return rounded(outlier.outlier_clusters(pvalues(spark, sf_dir), edges(spark, sf_dir), gap=500_000).clusters, "emp_p", "emp_q", places=9)
 
 
 @query()
