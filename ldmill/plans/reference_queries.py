@@ -54,8 +54,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.clean_edges(table(spark, sf_dir, "el"))
 
 
-def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.clean_map(table(spark, sf_dir, "map_snp"))
+def markers(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return derived.clean_map(table(spark, sf_dir, "map_snp"), *columns)
 
 
 def params(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = 1 - F.col("median_ld")
-    return markers(spark, sf_dir).select("marker", "chr", "pos", F.round(one * one * one * one, 12).alias("pval"), "ld_w")
+    return markers(spark, sf_dir, "chr", "pos", "ld_w", "median_ld").select("marker", "chr", "pos", F.round(one * one * one * one, 12).alias("pval"), "ld_w")
 
 
 # genotypes and pairs
@@ -133,7 +133,7 @@ _SCALE = """
 
 @query(f"WITH {MAP}, {_SCALE} SELECT chr, chr_size, n_snp_chr, round(bp_per_snp, 6) AS bp_per_snp, round(bp_per_snp * 1000, 2) AS slide_bp, round(window_size, 6) AS window_size, round(step, 6) AS step FROM scale")
 def chr_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rounded(decay.chromosome_scale(markers(spark, sf_dir), n_win=4), "bp_per_snp", "window_size", "step"), "slide_bp", places=2)
+    return rounded(rounded(decay.chromosome_scale(markers(spark, sf_dir, "chr", "pos"), n_win=4), "bp_per_snp", "window_size", "step"), "slide_bp", places=2)
 
 
 _WINDOWS = f"""
@@ -146,8 +146,8 @@ _WINDOWS = f"""
 
 
 def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scale = decay.chromosome_scale(markers(spark, sf_dir), n_win=4)
-    return decay.windowed(decay.decay_pairs(edges(spark, sf_dir), scale, markers(spark, sf_dir)))
+    scale = decay.chromosome_scale(markers(spark, sf_dir, "chr", "pos"), n_win=4)
+    return decay.windowed(decay.decay_pairs(edges(spark, sf_dir), scale, markers(spark, sf_dir, "maf")))
 
 
 @query(f'WITH {_WINDOWS} SELECT chr, win, round(min("start"), 6) AS "start", round(min("end"), 6) AS "end", count(*) AS n_pairs FROM w GROUP BY chr, win')
@@ -219,7 +219,7 @@ def rho_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def size_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trimmed summary of every chromosome with its rate as the robust size model predicts it."""
-    scale = decay.chromosome_scale(markers(spark, sf_dir))
+    scale = decay.chromosome_scale(markers(spark, sf_dir, "chr", "pos"))
     summary, _ = decay.size_model(decay.summarize(table(spark, sf_dir, "decay_sum")).join(broadcast_if_small(scale), "chr"))
     return decay.reached_rho(summary)
 
@@ -232,12 +232,12 @@ _LDW = f"""
 
 @query("WITH " + _LDW.replace("{rhos}", dbl([0.95])))
 def ld_w(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ldw.ld_support(edges(spark, sf_dir), markers(spark, sf_dir), params(spark, sf_dir), [0.95]), "ld_w", places=9)
+    return rounded(ldw.ld_support(edges(spark, sf_dir), markers(spark, sf_dir, "chr"), params(spark, sf_dir), [0.95]), "ld_w", places=9)
 
 
 @query("WITH " + _LDW.replace("{rhos}", dbl(RHOS)))
 def ld_w_multi_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ldw.ld_support(edges(spark, sf_dir), markers(spark, sf_dir), params(spark, sf_dir), RHOS), "ld_w", places=9)
+    return rounded(ldw.ld_support(edges(spark, sf_dir), markers(spark, sf_dir, "chr"), params(spark, sf_dir), RHOS), "ld_w", places=9)
 
 
 # graph and stage 1
@@ -253,11 +253,11 @@ _TH = f"""
 
 @query(f"WITH RECURSIVE {_TH}, {_CC}, {MAP} SELECT v, component FROM cc UNION ALL SELECT marker, marker FROM mp WHERE marker NOT IN (SELECT v FROM cc)")
 def ld_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(cluster.threshold_edges(edges(spark, sf_dir), params(spark, sf_dir), 0.5), markers(spark, sf_dir).select(F.col("marker").alias("v")))
+    return connected_components(cluster.threshold_edges(edges(spark, sf_dir), params(spark, sf_dir), 0.5), markers(spark, sf_dir, "chr").select(F.col("marker").alias("v")))
 
 
 def _stage1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.stage1(markers(spark, sf_dir).select("marker", "chr", "pos"), edges(spark, sf_dir), params(spark, sf_dir), 0.5, on_missing="singletons")
+    return cluster.stage1(markers(spark, sf_dir, "chr", "pos"), edges(spark, sf_dir), params(spark, sf_dir), 0.5, on_missing="singletons")
 
 
 @query()
@@ -296,7 +296,7 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MAP} SELECT cl_id, min(chr) AS chr, min(pos) AS pos_min, max(pos) AS pos_max, quantile_cont(pos, 0.5) AS pos_median, count(*) AS n_loci, max(pos) - min(pos) AS span FROM mp WHERE cl_id IS NOT NULL GROUP BY cl_id")
 def cluster_level_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_level_map(markers(spark, sf_dir))
+    return cluster.cluster_level_map(markers(spark, sf_dir, "chr", "pos", "cl_id"))
 
 
 @query(f"WITH {MAP}, {GENO_TABLE}, r AS (SELECT DISTINCT marker, chr, pos FROM h) SELECT r.marker, r.chr, r.pos, mp.cl_id, mp.grp FROM mp RIGHT JOIN r ON mp.marker = r.marker AND mp.chr = r.chr AND mp.pos = r.pos")
@@ -311,7 +311,7 @@ _FLAG = f"{MAP}, fl AS (SELECT chr, cl_id AS cluster, min(pos) AS pos_min, max(p
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prune.flag_clusters(markers(spark, sf_dir).where("cl_id IS NOT NULL AND chr IS NOT NULL").withColumnRenamed("cl_id", "cluster"), "ld_w", 0.4, 20)
+    return prune.flag_clusters(markers(spark, sf_dir, "chr", "pos", "ld_w", "cl_id").where("cl_id IS NOT NULL AND chr IS NOT NULL").withColumnRenamed("cl_id", "cluster"), "ld_w", 0.4, 20)
 
 
 @query(f"WITH {_FLAG} SELECT * FROM fl")
@@ -337,7 +337,7 @@ def _genetic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A made-up recombination map: a tenth of a centimorgan a marker, known every half megabase."""
     from pyspark.sql.window import Window
 
-    bins = markers(spark, sf_dir).where("chr IS NOT NULL AND pos IS NOT NULL").groupBy("chr", F.expr("pos DIV 500000").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    bins = markers(spark, sf_dir, "chr", "pos").where("chr IS NOT NULL AND pos IS NOT NULL").groupBy("chr", F.expr("pos DIV 500000").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return bins.select("chr", (F.col("k") * 500000).alias("pos"), (F.sum("n").over(Window.partitionBy("chr").orderBy("k")) / 10).alias("cm"))
 
 
@@ -347,7 +347,7 @@ def _genetic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT marker, mp.chr, mp.pos, round(CASE WHEN pos <= f THEN cf WHEN pos >= l THEN cl ELSE c0 + (c1 - c0) * (pos - p0) / (p1 - p0) END, 6) AS cm
     FROM mp LEFT JOIN en ON en.chr = mp.chr LEFT JOIN seg ON seg.chr = mp.chr AND p1 IS NOT NULL AND pos >= p0 AND pos < p1""")
 def interpolate_cm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(genmap.interpolate_cm(_genetic_map(spark, sf_dir), markers(spark, sf_dir).select("marker", "chr", "pos")), "cm")
+    return rounded(genmap.interpolate_cm(_genetic_map(spark, sf_dir), markers(spark, sf_dir, "chr", "pos")), "cm")
 
 
 def clustered_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -633,7 +633,7 @@ _FIRST = "SELECT chr, id, dense_rank() OVER (PARTITION BY chr ORDER BY min(pos),
     SELECT 'stage1' AS panel, chr, marker, pos, value, id, (k - 1) % 12 + 1 AS colour FROM s1 JOIN ({_FIRST.format("s1")}) USING (chr, id)
     UNION ALL SELECT 'stage2', chr, marker, pos, value, id, (k - 1) % 12 + 1 FROM s2 JOIN ({_FIRST.format("s2")}) USING (chr, id)""")
 def plot_stage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = markers(spark, sf_dir).where("cl_id IS NOT NULL").withColumnRenamed("cl_id", "cluster")
+    m = markers(spark, sf_dir, "chr", "pos", "ld_w", "cl_id").where("cl_id IS NOT NULL").withColumnRenamed("cl_id", "cluster")
     groups = table(spark, sf_dir, "ld_groups").select("group_id", F.transform("members", F.upper).alias("members"))
     return plotdata.stage_points(m, groups, None, "ld_w", 0.4)
 
@@ -659,12 +659,12 @@ def plot_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MAP} SELECT marker, chr, pos, round(median(ld_w) OVER (PARTITION BY chr ORDER BY pos, marker ROWS BETWEEN 100 PRECEDING AND 100 FOLLOWING), 9) AS rolling FROM mp")
 def rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(plotdata.rolling_median(markers(spark, sf_dir).select("marker", "chr", "pos", "ld_w"), "ld_w"), "rolling", places=9).drop("ld_w")
+    return rounded(plotdata.rolling_median(markers(spark, sf_dir, "chr", "pos", "ld_w"), "ld_w"), "rolling", places=9).drop("ld_w")
 
 
 @query(f"WITH {MAP} SELECT marker, ld_w, round(cume_dist() OVER (ORDER BY ld_w), 9) AS ecdf FROM mp WHERE ld_w IS NOT NULL")
 def ecdf_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(plotdata.ecdf(markers(spark, sf_dir).select("marker", "ld_w"), "ld_w"), "ecdf", places=9)
+    return rounded(plotdata.ecdf(markers(spark, sf_dir, "ld_w"), "ld_w"), "ecdf", places=9)
 
 
 @query("SELECT CAST(least(20, floor(r2 * 20) + 1) AS INT) AS bin, count(*) AS n FROM el WHERE isfinite(r2) AND r2 BETWEEN 0 AND 1 GROUP BY 1")

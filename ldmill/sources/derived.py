@@ -41,11 +41,20 @@ def clean_edges(el: DataFrame) -> DataFrame:
     return last.select("snp1", "snp2", F.col("m.hi.chr").alias("chr1"), F.col("m.lo.chr").alias("chr2"), F.col("m.hi.pos").alias("pos1"), F.col("m.lo.pos").alias("pos2"), F.col("m.r2").alias("r2"), F.when(same, F.col("m.hi.pos") - F.col("m.lo.pos")).alias("d"))
 
 
-def clean_map(map_snp: DataFrame) -> DataFrame:
-    """``marker, chr, pos, maf, ld_w, cl_id, n_loci, is_core, median_ld, grp`` with the latest load of each marker, unusable numbers null, names in upper case."""
+MAP_COLUMNS = ["chr", "pos", "maf", "ld_w", "cl_id", "n_loci", "is_core", "median_ld", "grp"]
+
+
+def clean_map(map_snp: DataFrame, *columns: str) -> DataFrame:
+    """``marker`` and ``columns`` (all of ``MAP_COLUMNS`` if none are named) with the latest load of each marker, unusable numbers null, names in upper case.
+
+    Loads of one time are told apart by their values in the order of ``MAP_COLUMNS``; what lies beyond the last column asked for is not read.
+    """
     num = lambda c, lo, hi: F.when(F.col(c).between(lo, hi), F.col(c)).alias(c)
-    rows = map_snp.where("marker IS NOT NULL").select(F.upper(F.trim("marker")).alias("marker"), F.struct(F.unix_micros("loaded_at").alias("t"), "chr", "pos", num("maf", 0.0, 0.5), num("ld_w", 0.0, 1.0), "cl_id", "n_loci", "is_core", num("median_ld", 0.0, 1.0), "grp").alias("m"))
-    return rows.groupBy("marker").agg(F.max("m").alias("m")).select("marker", "m.chr", "m.pos", "m.maf", "m.ld_w", "m.cl_id", "m.n_loci", "m.is_core", "m.median_ld", "m.grp")
+    values = {c: F.col(c) for c in MAP_COLUMNS} | {"maf": num("maf", 0.0, 0.5), "ld_w": num("ld_w", 0.0, 1.0), "median_ld": num("median_ld", 0.0, 1.0)}
+    wanted = list(columns) or MAP_COLUMNS
+    read = MAP_COLUMNS[: 1 + max(MAP_COLUMNS.index(c) for c in wanted)]
+    rows = map_snp.where("marker IS NOT NULL").select(F.upper(F.trim("marker")).alias("marker"), F.struct(F.unix_micros("loaded_at").alias("t"), *[values[c] for c in read]).alias("m"))
+    return rows.groupBy("marker").agg(F.max("m").alias("m")).select("marker", *[f"m.{c}" for c in wanted])
 
 
 def chromosome_parameters(decay_sum: DataFrame) -> DataFrame:
