@@ -66,7 +66,8 @@ def seed_tree_components(edges: DataFrame, tables: Tables) -> DataFrame:
 
 def marker_groups(pairs: DataFrame, spelled: DataFrame | None = None) -> DataFrame:
     """``grp_snp, snp`` for every marker of the linked ``pairs (a, b)``: the smallest marker name (code-point order) it is linked to directly
-    or through others, and the marker. ``spelled (key, marker)`` gives the spelling for each upper-case key; names without one stay as they are.
+    or through others, and the marker. Pairs with a null are left out, repeated pairs and either order don't matter, other columns are ignored, no pair
+    gives no row. ``spelled (key, marker)`` gives the spelling for each upper-case key; names without one stay as they are.
     """
     tables = Tables(pairs.sparkSession, "components")
     edges, names = hashed(pairs, "a", "b", tables)
