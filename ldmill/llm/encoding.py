@@ -38,6 +38,7 @@ KEPT = -2.5  # for a run that stays as it is inside a span, as characters do tha
 ENTER_UTF8, ENTER_SINGLE, LEAVE = -7.0, -14.0, -4.0
 EXPLAINED, EXPLAINED_WIDE = 0.1, 0.5  # the share of a bigram's count that one pair may have misread, with one non-ASCII character and with two
 RARE = -9.0  # a text all of whose bigrams are likelier than this is clean
+STRANGE, SEEN = -6.0, 2e-6  # for a decoded character that clean text hardly has: less than this share of its counted bigrams
 UNKNOWN = -10.0  # for the character itself where the alphabet only has "another"
 _SCATTER = np.random.default_rng(0).integers(1, 2**63, 4096, dtype=np.uint64)  # fixed random numbers to tell runs apart by
 PIECE, BLOCK = 20_000, 1_000_000  # characters of a text that are labelled as one sequence, and of texts that are scored together
@@ -170,7 +171,8 @@ def bigram_counts(docs: DataFrame) -> DataFrame:
 
 
 def clean_model(counts: pd.DataFrame) -> np.ndarray:
-    """Log probabilities of the next character in clean text, an array of alphabet size squared."""
+    """Log probabilities of the next character in clean text, an array of alphabet size squared, and a last row with what a state loses for making a character
+    that clean text hardly has."""
     a = alphabet()
     n = np.zeros((a.size, a.size))
     own = np.zeros(a.size)
@@ -203,7 +205,9 @@ def clean_model(counts: pd.DataFrame) -> np.ndarray:
     case[:, 0] = 0  # no letter
     p += case[a.case][:, a.case]
     p[:, -1] += UNKNOWN
-    return np.maximum(FLOOR + np.where(np.arange(a.size) == a.size - 1, UNKNOWN, 0)[None, :], p).astype(np.float32)
+    p = np.maximum(FLOOR + np.where(np.arange(a.size) == a.size - 1, UNKNOWN, 0)[None, :], p)
+    seen = np.bincount(a.fold, weights=left.sum(axis=0), minlength=a.size)[a.fold]
+    return np.vstack([p, np.where(seen > SEEN * left.sum(), 0, STRANGE)]).astype(np.float32)
 
 
 def blocks(texts: pd.Series) -> Iterator[tuple[list[str], list[int]]]:
@@ -280,8 +284,9 @@ def _state_gains(local: np.ndarray, run: np.ndarray, lp: np.ndarray) -> tuple[np
     already = np.zeros(runs, dtype=bool)
     already[run[a.foreign[local]]] = True
 
-    def put(state: int, x: np.ndarray, r: np.ndarray, unused: np.ndarray) -> None:
-        gains[:, state] = score(x, r) - clean + INVALID * np.bincount(unused, minlength=runs)
+    def put(state: int, x: np.ndarray, r: np.ndarray, unused: np.ndarray, made: np.ndarray) -> None:
+        strange = np.bincount(r[made], weights=lp[-1][x[made]], minlength=runs)
+        gains[:, state] = score(x, r) - clean + INVALID * np.bincount(unused, minlength=runs) + strange
         foreign[r[a.foreign[x]], state] = True
         foreign[already, state] = False
 
@@ -289,22 +294,23 @@ def _state_gains(local: np.ndarray, run: np.ndarray, lp: np.ndarray) -> tuple[np
         keep, out, part = _utf8(local, a.bytes_of[read], a)
         if not part.any():
             continue
-        x, r, unused = out[keep], run[keep], run[inner & ~part]
+        x, r, unused, made = out[keep], run[keep], run[inner & ~part], part[keep]
         if k > len(UTF8_READ_AS):
             wide2 = x >= 128
             keep, out, part = _utf8(x, a.bytes_of[read], a)
             if not part.any():
                 continue
             unused = np.concatenate([unused, r[wide2 & ~part]])
-            x, r = out[keep], r[keep]
-        put(k, x, r, unused)
+            x, r, made = out[keep], r[keep], part[keep]
+        put(k, x, r, unused, made)
         untouched = np.ones(runs, dtype=bool)
         untouched[run[part] if k <= len(UTF8_READ_AS) else r] = False
         gains[untouched, k] = INVALID
     base = len(UTF8_READ_AS) + len(TWICE) + 1
     for j, inv in enumerate(a.inverse):
         to = inv[local]
-        put(base + j, np.where(to >= 0, to, local), run, run[(to < 0) & inner])
+        x = np.where(to >= 0, to, local)
+        put(base + j, x, run, run[(to < 0) & inner], x != local)
     lost = np.bincount(run[local == a.ids[LOST]], minlength=runs)
     gains[:, -1] = np.where(lost > 0, 20.0 * lost, -20.0)
     return gains, foreign
