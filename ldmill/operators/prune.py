@@ -34,8 +34,10 @@ def split_runs(clusters: DataFrame, gap: str = "gap", start: str = "pos_min", en
     return clusters.withColumn("new_", new.cast("int")).withColumn("run", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
 
 
-def gaps(clusters: DataFrame, params: DataFrame | None = None, rho: float | None = 0.95, distance_threshold: float | None = None, genetic_map: DataFrame | None = None, cm_threshold: float | None = None) -> tuple[DataFrame, str, str]:
-    """``clusters`` with ``gap`` and the columns to compare: a genetic map (with its threshold) goes before a fixed distance, that before the distance at ``rho``."""
+def gaps(clusters: DataFrame, params: DataFrame | None = None, rho: float | None = 0.95, distance_threshold: float | None = None, genetic_map: DataFrame | None = None, cm_threshold: float | None = None, on_missing: str = "error") -> tuple[DataFrame, str, str]:
+    """``clusters`` with ``gap`` and the columns to compare: a genetic map (with its threshold) goes before a fixed distance, that before the distance at ``rho``.
+
+    ``on_missing``: on chromosomes without parameters ``error`` raises; ``singletons`` leaves the gap null, which makes each of their clusters a run of its own."""
     if genetic_map is not None:
         if cm_threshold is None:
             raise ValueError("a genetic map needs cm_threshold")
@@ -46,10 +48,13 @@ def gaps(clusters: DataFrame, params: DataFrame | None = None, rho: float | None
         return clusters.withColumn("gap", F.lit(float(distance_threshold))), "pos_min", "pos_max"
     if params is None or rho is None:
         raise ValueError("give a genetic map, a distance threshold, or decay parameters and rho")
-    lost = clusters.join(params.select("chr"), "chr", "left_anti").select("chr").distinct().limit(5).collect()
-    if lost:
-        raise ValueError(f"no decay parameters for {[r['chr'] for r in lost]}")
-    return clusters.join(broadcast_if_small(params.select("chr", F.col("a_pred"))), "chr").withColumn("gap", d_from_rho(F.col("a_pred"), float(rho))).drop("a_pred"), "pos_min", "pos_max"
+    if on_missing not in ("error", "singletons"):
+        raise ValueError(f"unknown on_missing {on_missing}")
+    if on_missing == "error":
+        lost = clusters.join(params.select("chr"), "chr", "left_anti").select("chr").distinct().limit(5).collect()
+        if lost:
+            raise ValueError(f"no decay parameters for {[r['chr'] for r in lost]}")
+    return clusters.join(broadcast_if_small(params.select("chr", F.col("a_pred"))), "chr", "left").withColumn("gap", d_from_rho(F.col("a_pred"), float(rho))).drop("a_pred"), "pos_min", "pos_max"
 
 
 def _corr(x: np.ndarray, y: np.ndarray) -> float:

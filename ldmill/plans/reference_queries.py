@@ -330,6 +330,14 @@ def run_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prune.split_runs(clusters, "gap", start, end).select("chr", "cluster", "run")
 
 
+@query(SQL["run_split"].replace("fl JOIN params USING (chr)", "fl LEFT JOIN params USING (chr)"))
+def run_split_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``run_split``, with the flagged clusters of chromosomes without a usable fit, each as a run of its own."""
+    p = params(spark, sf_dir).withColumnRenamed("a", "a_pred")
+    clusters, start, end = prune.gaps(_flags(spark, sf_dir).where("flagged"), p, 0.95, on_missing="singletons")
+    return prune.split_runs(clusters, "gap", start, end).select("chr", "cluster", "run")
+
+
 _GENMAP = "gm AS (SELECT chr, pos, CAST(max(cm) AS DOUBLE) AS cm FROM (SELECT chr, (pos // 500000) * 500000 AS pos, count(*) OVER (PARTITION BY chr ORDER BY pos // 500000) / 10.0e0 AS cm FROM mp WHERE chr IS NOT NULL AND pos IS NOT NULL) GROUP BY chr, pos)"
 
 

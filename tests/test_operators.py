@@ -9,6 +9,7 @@ from ldmill.functions.numerics import average_linkage, f_tail, pairwise_r2
 from ldmill.functions.ordered import bh_adjust, running_sum
 from ldmill.functions.scalar import d_from_rho, ld_from_rho
 from ldmill.operators import assoc, cluster, decay, emlg, genmap, genotypes, graph, ldw, outlier, pairs, plotdata, popgen, prune
+from ldmill.plans import reference_queries
 from ldmill.sources import tables
 
 
@@ -345,6 +346,21 @@ def test_stage2_distance_runs(spark):
         prune.gaps(clustered)
 
 
+def test_runs_keep_clusters_without_parameters(spark):
+    flagged = spark.createDataFrame([("A", 1, 0, 10), ("A", 2, 50, 60), ("B", 3, 0, 10), ("B", 4, 11, 12), ("B", 5, None, None)], "chr string, cluster int, pos_min bigint, pos_max bigint")
+    p = spark.createDataFrame([("A", 0.19)], "chr string, a_pred double")  # exactly 100 bp
+    with pytest.raises(ValueError):
+        prune.gaps(flagged, p)
+    runs = prune.split_runs(*prune.gaps(flagged, p, on_missing="singletons")[:1])
+    assert {(r["chr"], r["cluster"]): r["run"] for r in runs.collect()} == {("A", 1): 1, ("A", 2): 1, ("B", 3): 1, ("B", 4): 2, ("B", 5): 3}
+
+
+def test_every_flagged_cluster_has_a_run(spark, data, monkeypatch):
+    monkeypatch.setattr(reference_queries, "params", lambda spark, sf_dir: spark.createDataFrame([("none", 1.0)], "chr string, a double"))
+    flagged = reference_queries.flag_clusters(spark, data).where("flagged").count()
+    assert reference_queries.run_split_all(spark, data).count() == flagged > 0
+
+
 def test_nested_cluster_in_runs(spark):
     rows = [("A", 1, 0, 1000), ("A", 2, 10, 20), ("A", 3, 900, 950), ("A", 4, None, None)]
     df = spark.createDataFrame(rows, "chr string, cluster int, pos_min bigint, pos_max bigint").withColumn("gap", F.lit(100.0))
