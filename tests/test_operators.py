@@ -426,6 +426,29 @@ def test_emmax_with_unrelated_individuals_is_regression(spark):
     assert step[0] <= 0.1 and max(step.values()) > 0.5
 
 
+@pytest.fixture
+def causal_pair(spark, monkeypatch):
+    """Calls of 30 unlinked markers, of which M00 and M25 are the same and decide the phenotype."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, (80, 30))
+    x[:, 25] = x[:, 0]
+    g = long_calls(spark, x.tolist()).select("ind_id", "chr", "pos", "dosage", F.format_string("M%02d", "snp_idx").alias("marker")).withColumn("snp_idx", F.col("marker"))
+    y = spark.createDataFrame([(i, int(v)) for i, v in enumerate((x[:, 0] > 0) ^ (rng.random(80) < 0.05))], "ind_id bigint, y int")
+    monkeypatch.setattr(reference_queries, "calls", lambda spark, sf_dir: g)
+    monkeypatch.setattr(reference_queries, "phenotype", lambda spark, sf_dir: y)
+
+
+def test_stepdown_query_reaches_small_p(spark, causal_pair):
+    p = {r["snp_idx"]: r["p_corr"] for r in reference_queries.emmax_stepdown(spark, "").collect()}
+    assert len(p) == 30 and max(p["M00"], p["M25"]) < 1 / 21
+    assert all(v * 1001 == pytest.approx(round(v * 1001)) for v in p.values())
+
+
+def test_permutation_query_links_far_markers_and_reaches_small_p(spark, causal_pair):
+    found = [r for r in reference_queries.permutation_null(spark, "").collect() if r["significant"]]
+    assert [(r["n"], r["n_sig"], r["start"], r["end"]) for r in found] == [(2, 2, 0, 25)] and found[0]["emp_p"] < 1 / 51
+
+
 # ordered helpers and outliers
 
 
