@@ -3,18 +3,23 @@
 Every source's documents form one stream in a hashed order, repeated up to its cap; the stream is drawn up to the source's share of the total and
 cut into blocks of equal token counts. Block j of a source of weight w is released at slot floor(j / w) and due at ceil((j + 1) / w); taking the
 released block with the earliest deadline in every slot keeps each source within one block of its share at every point of the sequence.
-With weights in multiples of 1/period the schedule repeats, so one period fixes it for any number of blocks. Document positions are prefix
-sums over hashed buckets, so a source with a third of all documents is never sorted in one task.
+Weights are the drawn tokens themselves, in whole numbers, so no rounding adds up. One task writes the schedule as a table of a row a block and holds
+one block a source; documents join it by source and block. Document positions are prefix sums over hashed buckets, so a source with a third of all
+documents is never sorted in one task.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import islice
+from math import lcm
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,26 +58,48 @@ def source_key(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[\s\-]+", "_")
 
 
-def pfair_slots(weights: dict[str, float], period: int) -> dict[str, list[int]]:
-    """The slots 0..period-1 of each source in one period, by earliest deadline among released blocks; every source gets at least one."""
+def pfair(weights: dict[str, int], blocks: dict[str, int] | None = None) -> Iterator[tuple[int, str, int]]:
+    """``(slot, source, block)`` in order, by earliest deadline among released blocks, for positive whole weights; endless without the sources' numbers of ``blocks``."""
     total = sum(weights.values())
-    names = sorted(weights)
-    share = {s: max(1, int(weights[s] / total * period)) for s in names}
-    spare = period - sum(share.values())
-    for s in sorted(names, key=lambda s: (int(weights[s] / total * period) - weights[s] / total * period, s))[: max(0, spare)]:
-        share[s] += 1
-    while sum(share.values()) > period:
-        share[max(names, key=lambda s: (share[s], s))] -= 1
-    done, slots = dict.fromkeys(names, 0), {s: [] for s in names}
-    for t in range(period):
-        ready = [s for s in names if done[s] < share[s] and done[s] * period // share[s] <= t]
-        if ready:
-            s = min(ready, key=lambda s: (-(-(done[s] + 1) * period // share[s]), s))
-            slots[s].append(t)
-            done[s] += 1
+    waiting = [(0, s, 0) for s in sorted(weights) if blocks is None or blocks[s] > 0]
+    heapify(waiting)
+    ready: list[tuple[int, str, int]] = []
+    t = 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            _, s, j = heappop(waiting)
+            heappush(ready, (-(-(j + 1) * total // weights[s]), s, j))
+        _, s, j = heappop(ready)
+        yield t, s, j
+        t += 1
+        if blocks is None or j + 1 < blocks[s]:
+            heappush(waiting, ((j + 1) * total // weights[s], s, j + 1))
+
+
+def pfair_slots(weights: dict[str, float], n: int) -> dict[str, list[int]]:
+    """The slots 0..n-1 of each source; weights count as the decimal numbers they are written as."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    scale = lcm(*[w.denominator for w in exact.values()])
+    slots: dict[str, list[int]] = {s: [] for s in weights}
+    for t, s, _ in islice(pfair({s: int(w * scale) for s, w in exact.items()}), n):
+        slots[s].append(t)
     return slots
 
 
+def schedule(spark: SparkSession, budgets: dict[str, int], block: int, rows: int = 10_000) -> DataFrame:
+    """``key, j, slot`` of every block of the sources with tokens to draw; the last block of a source may be a part of one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            order = pfair(budgets, {k: -(-n // block) for k, n in budgets.items()})
+            while part := list(islice(order, rows)):
+                yield pd.DataFrame(part, columns=["slot", "key", "j"])[["key", "j", "slot"]]
+
+    return spark.range(0, 1, 1, 1).mapInPandas(run, "key string, j long, slot long")
+
+
 def supplies(counts: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
     """A row per target source: what it has (``n_docs, size``), its ``target_share`` and cap, and the tokens to draw: its share of ``total`` (default: all
     tokens of target sources) or all it may give, ``max_repeats`` times its size. Sources without documents stay, with nothing to draw."""
@@ -84,7 +111,7 @@ def supplies(counts: DataFrame, targets: DataFrame, total: int | None = None) ->
     return both.withColumn("total", goal.cast("long")).withColumn("budget", F.floor(F.least(asked, F.col("size") * F.coalesce("max_repeats", F.lit(1)))))
 
 
-def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, block: int = 4096, period: int = 1000, seed: int = 0, bucket_docs: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, block: int = 4096, seed: int = 0, bucket_docs: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """The mixture ``source, doc_id, repeat_no, n_tokens, slot`` (read in order of slot) and the table of ``supplies`` behind it.
 
     ``counts`` must be a table of ``doc_id, source, n_tokens``. Documents without tokens, without a source or of a source without a target aren't drawn.
@@ -94,10 +121,8 @@ def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, block:
     tables = Tables(counts.sparkSession, "mixture")
     plan = tables.cut(supplies(counts, targets, total))
     rows = plan.where("budget > 0").select("key", "budget").collect()  # one a source of the targets
-    slots = pfair_slots({r["key"]: float(r["budget"]) for r in rows}, max(period, 4 * len(rows))) if rows else {}
-    period = max(period, 4 * len(rows))
-    pattern = counts.sparkSession.createDataFrame([(k, v, len(v)) for k, v in slots.items()], "key string, slots array<int>, per_period int")
-    live = broadcast_if_small(plan.where("budget > 0").join(pattern, "key").select("key", F.col("source").alias("name"), "size", "budget", "slots", "per_period", F.ceil(F.col("n_docs") / F.lit(bucket_docs)).alias("buckets")))
+    slots = broadcast_if_small(tables.cut(schedule(counts.sparkSession, {r["key"]: r["budget"] for r in rows}, block)))
+    live = broadcast_if_small(plan.where("budget > 0").select("key", F.col("source").alias("name"), "size", "budget", F.ceil(F.col("n_docs") / F.lit(bucket_docs)).alias("buckets")))
     hashed = counts.where("n_tokens > 0").select("doc_id", "n_tokens", source_key("source").alias("key"), F.xxhash64(F.lit(seed), "doc_id").alias("h")).join(live, "key")
     placed = hashed.withColumn("bucket", F.pmod("h", "buckets"))
     sums = placed.groupBy("key", "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
@@ -107,8 +132,7 @@ def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, block:
     passes = F.ceil(F.col("budget") / F.col("size")).cast("int")
     copies = start.withColumn("repeat_no", F.explode(F.sequence(F.lit(1), passes))).withColumn("at", (F.col("repeat_no") - 1) * F.col("size") + F.col("start"))
     drawn = copies.where("2 * at + n_tokens <= 2 * budget").withColumn("j", F.floor(F.col("at") / F.lit(block)))
-    slot = F.floor(F.col("j") / F.col("per_period")) * period + F.get("slots", F.pmod("j", "per_period").cast("int"))
-    return drawn.select(F.col("name").alias("source"), "doc_id", "repeat_no", "n_tokens", slot.cast("long").alias("slot")), plan
+    return drawn.join(slots, ["key", "j"]).select(F.col("name").alias("source"), "doc_id", "repeat_no", "n_tokens", "slot"), plan
 
 
 def reached_shares(mixture: DataFrame, plan: DataFrame) -> DataFrame:

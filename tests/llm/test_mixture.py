@@ -16,6 +16,17 @@ def test_pfair_deviation():
             assert abs(sum(s < t for s in slots[name]) - w * t) < 1
 
 
+def test_pfair_deviation_of_any_weights():
+    weights = {"a": 0.6123457, "b": 0.3, "c": 0.0776543, "d": 0.0099, "e": 0.0001}
+    slots = mixture.pfair_slots(weights, 50_000)
+    assert sorted(s for v in slots.values() for s in v) == list(range(50_000))
+    for name, w in weights.items():
+        for k, t in enumerate(slots[name]):  # the deviation is largest just before and just after a source's own slot
+            assert abs(k - w * t) < 1 + 1e-6 and abs(k + 1 - w * (t + 1)) < 1 + 1e-6
+    ended = list(mixture.pfair({"a": 1000, "b": 1}, {"a": 10, "b": 1}))
+    assert sorted((s, j) for _, s, j in ended) == [("a", j) for j in range(10)] + [("b", 0)] and len({t for t, _, _ in ended}) == 11
+
+
 def counts(spark, sizes, each=50):
     rows = [(k * 10_000 + i, s, each) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
     return spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
@@ -43,6 +54,18 @@ def test_shares_caps_and_order(spark):
             assert abs(seen[s] - total * n / sum(whole.values())) <= 3 * 500
 
 
+def test_mixture_stays_within_a_block_over_many_blocks(spark):
+    sizes = {"a": 8003, "b": 3993, "c": 3}  # a document is a block; c has less than 1/1000
+    t = spark.createDataFrame([(s, n / 11_999, 1) for s, n in sizes.items()], "source string, target_share double, max_repeats int")
+    mixed, _ = mixture.mix(counts(spark, sizes), t, block=50, bucket_docs=5000)
+    order = [r["source"] for r in mixed.sort("slot", "source").collect()]
+    whole, seen = {s: order.count(s) for s in sizes}, dict.fromkeys(sizes, 0)
+    assert all(abs(whole[s] - n) <= 1 for s, n in sizes.items())
+    for k, s in enumerate(order, 1):
+        seen[s] += 1
+        assert all(abs(seen[x] - k * whole[x] / len(order)) < 1.5 for x in sizes)
+
+
 def test_empty_and_one_document(spark):
     t = spark.createDataFrame([("a", 1.0, 2), (None, 0.5, 1), ("b", None, None)], "source string, target_share double, max_repeats int")
     mixed, plan = mixture.mix(counts(spark, {}), t)
