@@ -97,6 +97,12 @@ def ld_edges_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pairs.edge_list(calls(spark, sf_dir), slide=10), "r2")
 
 
+@query(SQL["ld_edges_band"].replace("a.rk - b.rk <= 10", "a.rk - b.rk <= 1000"))
+def ld_edges_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``ld_edges_band``, with the band of default width."""
+    return rounded(pairs.edge_list(calls(spark, sf_dir)), "r2")
+
+
 @query(f"""
     WITH {GENO_FIXTURE}, t AS (SELECT * FROM g WHERE dosage IS NOT NULL),
     p AS (SELECT a.snp_idx AS snp1, b.snp_idx AS snp2, a.chr AS chr1, b.chr AS chr2, a.pos AS pos1, b.pos AS pos2, {R2_SUMS}
@@ -107,7 +113,7 @@ def ld_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ld_edges_gametic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pairs.edge_list(calls(spark, sf_dir), slide=10, method="r"), "r2")
+    return rounded(pairs.edge_list(calls(spark, sf_dir), method="r"), "r2")
 
 
 # decay

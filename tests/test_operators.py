@@ -426,6 +426,16 @@ def test_emmax_with_unrelated_individuals_is_regression(spark):
     assert step[0] <= 0.1 and max(step.values()) > 0.5
 
 
+@pytest.mark.parametrize("name", ["ld_edges_default", "ld_edges_gametic"])
+def test_edge_queries_reach_far_markers(spark, monkeypatch, name):
+    x = np.random.default_rng(9).integers(0, 3, (50, 40))
+    monkeypatch.setattr(reference_queries, "calls", lambda spark, sf_dir: long_calls(spark, x.tolist()))
+    got = {(r["snp1"], r["snp2"]): r["r2"] for r in getattr(reference_queries, name)(spark, "").collect()}
+    assert got.keys() == {(i, j) for i in range(40) for j in range(i)}
+    if name == "ld_edges_default":
+        assert all(r2 == pytest.approx(np.corrcoef(x[:, i], x[:, j])[0, 1] ** 2, abs=1e-6) for (i, j), r2 in got.items())
+
+
 @pytest.fixture
 def causal_pair(spark, monkeypatch):
     """Calls of 30 unlinked markers, of which M00 and M25 are the same and decide the phenotype."""
