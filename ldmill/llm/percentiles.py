@@ -129,4 +129,4 @@ def unit_values(el: DataFrame) -> DataFrame:
 
 def long_parameters(decay_sum: DataFrame, fields: list[str]) -> DataFrame:
     """``chr, field, value, computed_at``: the parameters of the decay table one to a row, in one scan."""
-    return decay_sum.unpivot(["chr", "computed_at"], fields, "field", "value")
+    return decay_sum.select("chr", "computed_at", *[F.col(f).cast("double").alias(f) for f in fields]).unpivot(["chr", "computed_at"], fields, "field", "value")

@@ -17,6 +17,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QS = [0.05, 0.25, 0.5, 0.75, 0.95]
 PARAMETERS = ["c", "a", "b", "rho_slide_raw", "a_pred", "c_pred"]
+#: All that is estimated of a chromosome's decay.
+ALL_PARAMETERS = [*PARAMETERS, "rho_slide_pred", "bp_per_snp", "slide_bp", "slide_snp"]
 
 
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +28,21 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles(r2.unionByName(decay), ["chr", "field"], "value", QS)
 
 
+def _all_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chr, field, value, computed_at`` of r2 and of all decay parameters."""
+    r2 = percentiles.unit_values(table(spark, sf_dir, "el")).select("chr", F.lit("r2").alias("field"), "value", "computed_at")
+    return r2.unionByName(percentiles.long_parameters(table(spark, sf_dir, "decay_sum"), ALL_PARAMETERS))
+
+
+def p2_percentiles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``p2_percentiles``, of all decay parameters."""
+    return percentiles.percentiles(_all_values(spark, sf_dir), ["chr", "field"], "value", QS)
+
+
 def p2_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of r2 by chromosome from separate summaries of each day of ``computed_at``, combined; rank error at most 1 %."""
-    days = percentiles.day_summaries(percentiles.unit_values(table(spark, sf_dir, "el")), ["chr"], "value", "computed_at")
-    return percentiles.combined(days, ["chr"], QS)
+    """Percentiles of r2 and of all decay parameters by chromosome from separate summaries of each day of ``computed_at``, combined; rank error at most 1 %."""
+    days = percentiles.day_summaries(_all_values(spark, sf_dir), ["chr", "field"], "value", "computed_at")
+    return percentiles.combined(days, ["chr", "field"], QS)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,11 +85,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p2_combined_days": p2_combined_days, "p3_found": p3_found, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p2_combined_days": p2_combined_days, "p2_percentiles_all": p2_percentiles_all, "p3_found": p3_found, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    sql = {
         "p1_found": """
             WITH RECURSIVE rows AS (
                 SELECT upper(trim(snp1)) AS x, upper(trim(snp2)) AS y, r2, computed_at FROM el WHERE isfinite(r2) AND r2 BETWEEN 0 AND 1 AND upper(trim(snp1)) <> upper(trim(snp2))),
@@ -100,3 +113,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT grp, marker FROM last
             QUALIFY row_number() OVER (PARTITION BY grp ORDER BY median_ld DESC, coalesce(is_core, false) DESC, marker) <= 3""",
     }
+    more = " ".join(f"UNION ALL SELECT chr, '{p}', CAST({p} AS DOUBLE) FROM decay_sum WHERE isfinite(CAST({p} AS DOUBLE))" for p in ALL_PARAMETERS[len(PARAMETERS) :])
+    return sql | {"p2_percentiles_all": sql["p2_percentiles"].replace("WHERE isfinite(c_pred)", f"WHERE isfinite(c_pred) {more}")}

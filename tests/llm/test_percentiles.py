@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from ldmill.llm import percentiles as P
+from ldmill.llm import queries
 
 QS = [0.0, 0.05, 0.5, 0.95, 1.0]
 
@@ -56,3 +57,11 @@ def test_sources(spark):
     assert {(r["chr"], r["value"]) for r in P.unit_values(el).collect()} == {("A", 0.5), (None, 0.1)}
     ds = spark.createDataFrame([("A", None, 1.0, 2.0)], "chr string, computed_at timestamp, a double, c double")
     assert {(r["field"], r["value"]) for r in P.long_parameters(ds, ["a", "c"]).collect()} == {("a", 1.0), ("c", 2.0)}
+
+
+def test_days_combine_for_every_parameter(spark, data):
+    exact = {(r["chr"], r["field"], r["q"]): (r["value"], r["n"]) for r in queries.p2_percentiles_all(spark, data).collect()}
+    days = {(r["chr"], r["field"], r["q"]): (r["value"], r["n"]) for r in queries.p2_combined_days(spark, data).collect()}
+    assert {k[1] for k in days} == {"r2", *queries.ALL_PARAMETERS} and {"rho_slide_pred", "bp_per_snp", "slide_bp", "slide_snp"} <= {k[1] for k in days}
+    assert days.keys() == exact.keys() and all(days[k][1] == exact[k][1] for k in exact)
+    assert all(days[k] == exact[k] for k in exact if k[1] != "r2")  # days this small keep all their values
