@@ -2,6 +2,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ldmill.llm import topn
 
@@ -26,6 +27,24 @@ def test_against_sorting(spark, n, bits):
     assert len(got) == len(set(got)) and set(got) == by_hand(rows, n)
 
 
+def test_codes_are_the_stored_doubles(spark):
+    two = 2.0 ** np.arange(-1074, 1024)
+    x = np.concatenate([two, -two, np.nextafter(two, 0), np.nextafter(two, np.inf), np.random.default_rng(1).normal(size=500) * 1e300, [0.0, -0.0, np.inf, -np.inf]])
+    got = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", topn.score_code(F.col("x")).alias("code")).toPandas()
+    bits = np.abs(got["x"].to_numpy()).view(np.int64)
+    assert (np.where(got["x"] < 0, -bits, bits) == got["code"]).all()
+
+
+def test_any_score_and_repeated_rows(spark):
+    rows = [("g", "a", 0.5, None)] * 4 + [("h", f"x{i}", v, None) for i, v in enumerate([1e300, -1e300, 5.0, -3.0, 1e308, -1e308, -0.0])]
+    rows += [("t", "b" * 20, 0.5, True)] * 5 + [("t", "b" * 20 + "\0", 0.5, True), ("t", "b" * 20 + "a", 0.5, True), ("neg", "a", -2.0, None), ("neg", "b", -1.0, None), ("neg", "c", -1.5, None)]
+    rows += [(None, "a", 1.0, None), ("g", None, 1.0, None), ("g", "n", None, None), ("g", "n", float("nan"), None)]
+    got = sorted(tuple(r) for r in topn.top_n(spark.createDataFrame(rows, SCHEMA), "g", "score", "flag", "item", 2).collect())
+    assert got == [("g", "a"), ("g", "a"), ("h", "x0"), ("h", "x4"), ("neg", "b"), ("neg", "c"), ("t", "b" * 20), ("t", "b" * 20)]
+    six = sorted(r["item"] for r in topn.top_n(spark.createDataFrame(rows, SCHEMA).where("g = 't'"), "g", "score", "flag", "item", 6).collect())
+    assert six == ["b" * 20] * 5 + ["b" * 20 + "\0"]
+
+
 def test_code_point_order_and_long_names(spark):
     rows = [("g", x, 0.5, None) for x in ("z" * 30_000, "z" * 29_999, "é", "Z", "a", "\U0001f600", "￿", "zz")]
     got = {r["item"] for r in topn.top_n(spark.createDataFrame(rows, SCHEMA), "g", "score", "flag", "item", 5).collect()}
