@@ -3,7 +3,7 @@
 Multi-select: every wanted order statistic of every group sits in an interval of values. A round lets each partition propose its local median of
 each interval; the median of these, weighted by the partitions' counts, becomes the pivot; a combining count three ways (below, equal, above)
 tells in which part each wanted rank lies, and all other values are discarded. This repeats for all groups at once until every rank is found.
-Groups of any size work: per round a partition sends one median and three counts an interval.
+Groups of any size work: per round a partition sends one median and three counts an interval. A round is two jobs, and reads only what the last one left.
 
 Days: a summary keeps, per group and day, ``points`` order statistics evenly spaced in rank with the number of rows each stands for; percentiles of any
 union of summaries come from the same multi-select over the weighted points, with a rank error of at most 1/points of the rows together.
@@ -15,59 +15,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ldmill.session import Tables, broadcast_if_small
+from ldmill.session import Tables, broadcast_if_small, figure
 
 
-def _finish(rows: DataFrame, want: DataFrame) -> DataFrame:
-    """``grp, k, v`` within parts of bounded size: each part is sorted once, with the wanted ranks among its values."""
-    part = Window.partitionBy("grp", "part")
-    placed = rows.withColumn("pos", F.col("part") + F.sum("w").over(part.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).select("grp", "part", "pos", "v")
-    both = placed.unionByName(want.select("grp", "part", F.col("k").alias("pos"), F.lit(None).cast("double").alias("v")))
-    # from the top down, each wanted rank takes the last value seen: the lowest one at or above it
-    ahead = part.orderBy(F.desc("pos"), F.col("v").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("next", F.last("v", ignorenulls=True).over(ahead)).where("v IS NULL").select("grp", F.col("pos").alias("k"), F.col("next").alias("v"))
+def pivots(live: DataFrame, accuracy: int) -> DataFrame:
+    """``grp, part, pivot``: the weighted median of the partitions' medians of every interval, each weighted by the rows behind it."""
+    local = live.groupBy("grp", "part", F.spark_partition_id().alias("p")).agg(F.percentile_approx("v", 0.5, accuracy).alias("m"), F.sum("w").alias("w"))
+    order = Window.partitionBy("grp", "part").orderBy("m")
+    ranked = local.withColumns({"upto": F.sum("w").over(order), "all": F.sum("w").over(Window.partitionBy("grp", "part"))})
+    return ranked.where("2 * upto >= all").groupBy("grp", "part").agg(F.min("m").alias("pivot"))
 
 
-def multi_select(values: DataFrame, ranks: DataFrame, tables: Tables, finish: int = 20_000, accuracy: int = 200) -> DataFrame:
+def multi_select(values: DataFrame, ranks: DataFrame, tables: Tables, accuracy: int = 200) -> DataFrame:
     """``values (grp, v, w)`` with positive integer weights and ``ranks (grp, k)``, 1 <= k <= sum of the group's w: ``grp, k, v``, the value at weighted rank k.
 
     ``values`` must be a table; null groups and values must have been left out. Ties and repeated rows each count. Exact.
-    A part is named by the weight below it in its group; parts of at most ``finish`` rows are sorted instead of split further.
+    A part is named by the weight below it in its group. Each round finds a pivot that occurs in every part, so each makes them smaller.
     """
     start = F.lit(0).cast("long").alias("part")
-    want = tables.cut(ranks.distinct().select("grp", start, "k"))
+    want = tables.cut(ranks.distinct().select("grp", start, "k", F.lit(None).cast("double").alias("v")))
     live = values.select("grp", start, "v", "w")
-    sizes = tables.cut(live.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("rows")))
     found: list[DataFrame] = []
-    while True:
-        small, large = broadcast_if_small(sizes.where(F.col("rows") <= finish).drop("rows")), broadcast_if_small(sizes.where(F.col("rows") > finish).drop("rows"))
-        found.append(tables.cut(_finish(live.join(small, ["grp", "part"]), want.join(small, ["grp", "part"]))))
-        want = tables.cut(want.join(large, ["grp", "part"], "left_semi"))
-        if want.isEmpty():
-            break
-        live = live.join(large, ["grp", "part"], "left_semi")
-        # every partition's median of every part, and its weight; one row per part and partition leaves the map side
-        local = live.groupBy("grp", "part", F.spark_partition_id().alias("p")).agg(F.percentile_approx("v", 0.5, accuracy).alias("m"), F.sum("w").alias("w"))
-        order = Window.partitionBy("grp", "part").orderBy("m")
-        middle = local.withColumns({"upto": F.sum("w").over(order), "all": F.sum("w").over(Window.partitionBy("grp", "part"))}).where("2 * upto >= all")
-        pivots = broadcast_if_small(tables.cut(middle.groupBy("grp", "part").agg(F.min("m").alias("pivot"))))
-        split = live.join(pivots, ["grp", "part"])
+    below, equal, above = F.col("v") < F.col("pivot"), F.col("v") == F.col("pivot"), F.col("v") > F.col("pivot")
+    left = figure(want)
+    while left:
+        split = live.join(broadcast_if_small(pivots(live, accuracy), within=want), ["grp", "part"])
         side = lambda cond: F.sum(F.when(cond, F.col("w")).otherwise(0))
-        rows = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-        below, equal, above = F.col("v") < F.col("pivot"), F.col("v") == F.col("pivot"), F.col("v") > F.col("pivot")
-        counts = tables.cut(split.groupBy("grp", "part").agg(side(below).alias("c0"), side(equal).alias("c1"), rows(below).alias("n0"), rows(above).alias("n2"), F.max("pivot").alias("pivot")))
-        counts = broadcast_if_small(counts)
+        counts = split.groupBy("grp", "part").agg(side(below).alias("c0"), side(equal).alias("c1"), F.max("pivot").alias("pivot"))
+        asked = want.where("v IS NULL").select("grp", "part", "k")
+        placed = broadcast_if_small(asked, within=want).join(counts, ["grp", "part"])
         upper = F.col("part") + F.col("c0") + F.col("c1")
-        placed = tables.cut(want.join(counts, ["grp", "part"]))
-        found.append(placed.where((F.col("k") > F.col("part") + F.col("c0")) & (F.col("k") <= upper)).select("grp", "k", F.col("pivot").alias("v")))
-        low, high = placed.where(F.col("k") <= F.col("part") + F.col("c0")), placed.where(F.col("k") > upper)
-        want = tables.cut(low.select("grp", "part", "k").unionByName(high.select("grp", upper.alias("part"), "k")))
-        sizes = tables.cut(low.select("grp", "part", F.col("n0").alias("rows")).unionByName(high.select("grp", upper.alias("part"), F.col("n2").alias("rows"))).distinct())
-        kept = split.where(~equal).join(counts.drop("pivot"), ["grp", "part"]).select("grp", F.when(below, F.col("part")).otherwise(upper).alias("part"), "v", "w")
-        after = tables.cut(kept.join(broadcast_if_small(sizes.drop("rows")), ["grp", "part"], "left_semi"))
+        low, high = F.col("k") <= F.col("part") + F.col("c0"), F.col("k") > upper
+        hit = F.when(~low & ~high, F.col("pivot"))
+        # a rank is found, or goes on below or above the pivot
+        placed = placed.select("grp", F.when(high, upper).otherwise(F.col("part")).alias("part"), "k", hit.alias("v"), F.col("part").alias("old"), "pivot", upper.alias("upper"))
+        want = tables.cut(placed, left=F.count_if(F.col("v").isNull()))
+        found.append(want.where("v IS NOT NULL").select("grp", "k", "v"))
+        left = figure(want, "left")
+        if not left:
+            break
+        on = want.where("v IS NULL").groupBy("grp", F.col("old").alias("part")).agg(F.max("pivot").alias("pivot"), F.max("upper").alias("upper"), F.bool_or(F.col("part") == F.col("old")).alias("low"), F.bool_or(F.col("part") != F.col("old")).alias("high"))
+        kept = live.join(broadcast_if_small(on, within=want), ["grp", "part"]).where((below & F.col("low")) | (above & F.col("high")))
+        after = tables.cut(kept.select("grp", F.when(below, F.col("part")).otherwise(F.col("upper")).alias("part"), "v", "w"))
         if hasattr(live, "_table_path"):
             tables.drop(live)
         live = after
+    if not found:
+        return want.select("grp", "k", "v")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -80,7 +74,7 @@ def _coded(df: DataFrame, keys: list[str], value: str, weight: str | None, table
     rows = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).select(*keys, v.alias("v__"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w__"))
     groups = tables.cut(rows.groupBy(*keys).agg(F.sum("w__").alias("n__")))
     groups = tables.cut(groups.withColumn("g__", F.monotonically_increasing_id()))
-    named = broadcast_if_small(groups.select(*[F.col(k).alias(f"{k}__") for k in keys], "g__"))
+    named = broadcast_if_small(groups.select(*[F.col(k).alias(f"{k}__") for k in keys], "g__"), within=groups)
     same = [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys]
     return tables.cut(rows.join(named, same).select(F.col("g__").alias("grp"), F.col("v__").alias("v"), F.col("w__").alias("w"))), groups
 
@@ -90,7 +84,7 @@ def _looked_up(marks: DataFrame, got: DataFrame) -> DataFrame:
     return marks.join(got.select(F.col("grp").alias("g__"), F.col("k").alias("k__"), F.col("v").alias("v__")), ["g__", "k__"])
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, qs: list[float], weight: str | None = None, finish: int = 20_000) -> DataFrame:
+def percentiles(df: DataFrame, keys: list[str], value: str, qs: list[float], weight: str | None = None) -> DataFrame:
     """``keys..., q, value, n``: the exact lower percentile (the value at rank ``ceil(q * n)``, at least 1) of the finite values of every group.
 
     Null and NaN or infinite values are left out; a null key is a group of its own; an empty table gives no rows; other columns are ignored.
@@ -98,11 +92,11 @@ def percentiles(df: DataFrame, keys: list[str], value: str, qs: list[float], wei
     tables = Tables(df.sparkSession, "percentiles")
     rows, groups = _coded(df, keys, value, weight, tables)
     marks = groups.withColumn("q__", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("k__", F.greatest(F.lit(1), F.ceil(F.col("q__") * F.col("n__"))).cast("long"))
-    got = multi_select(rows, marks.select(F.col("g__").alias("grp"), F.col("k__").alias("k")), tables, finish)
+    got = multi_select(rows, marks.select(F.col("g__").alias("grp"), F.col("k__").alias("k")), tables)
     return _looked_up(marks, got).select(*keys, F.col("q__").alias("q"), F.col("v__").alias("value"), F.col("n__").alias("n"))
 
 
-def day_summaries(df: DataFrame, keys: list[str], value: str, time: str, points: int = 100, finish: int = 20_000) -> DataFrame:
+def day_summaries(df: DataFrame, keys: list[str], value: str, time: str, points: int = 100) -> DataFrame:
     """``keys..., day, value, weight``: of every group and day ``points`` order statistics with the rows they stand for, to be stored and combined.
 
     A day with fewer rows keeps them all; a null time is a day of its own. The statistics are the exact values at ranks ``ceil(i * n / points)``.
@@ -113,7 +107,7 @@ def day_summaries(df: DataFrame, keys: list[str], value: str, time: str, points:
     rank = lambda j: F.ceil(j * F.col("n__") / m).cast("long")
     i = F.explode(F.transform(F.sequence(F.lit(1).cast("long"), m), lambda j: F.struct(rank(j).alias("k"), (rank(j) - rank(j - 1)).alias("w")))).alias("i__")
     marks = groups.select(*keys, "day", "g__", i).select(*keys, "day", "g__", F.col("i__.k").alias("k__"), F.col("i__.w").alias("w__"))
-    got = multi_select(rows, marks.select(F.col("g__").alias("grp"), F.col("k__").alias("k")), tables, finish)
+    got = multi_select(rows, marks.select(F.col("g__").alias("grp"), F.col("k__").alias("k")), tables)
     return _looked_up(marks, got).select(*keys, "day", F.col("v__").alias("value"), F.col("w__").alias("weight"))
 
 

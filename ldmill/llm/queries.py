@@ -114,4 +114,14 @@ def oracle_sql() -> dict[str, str]:
             QUALIFY row_number() OVER (PARTITION BY grp ORDER BY median_ld DESC, coalesce(is_core, false) DESC, marker) <= 3""",
     }
     more = " ".join(f"UNION ALL SELECT chr, '{p}', CAST({p} AS DOUBLE) FROM decay_sum WHERE isfinite(CAST({p} AS DOUBLE))" for p in ALL_PARAMETERS[len(PARAMETERS) :])
-    return sql | {"p2_percentiles_all": sql["p2_percentiles"].replace("WHERE isfinite(c_pred)", f"WHERE isfinite(c_pred) {more}")}
+    days = f"""
+            WITH v AS (SELECT chr1 AS chr, 'r2' AS field, r2 AS value, CAST(computed_at AS DATE) AS day FROM el WHERE isfinite(r2) AND r2 BETWEEN 0 AND 1
+                       {" ".join(f"UNION ALL SELECT chr, '{p}', CAST({p} AS DOUBLE), CAST(computed_at AS DATE) FROM decay_sum WHERE isfinite(CAST({p} AS DOUBLE))" for p in ALL_PARAMETERS)}),
+            r AS (SELECT *, row_number() OVER (PARTITION BY chr, field, day ORDER BY value) AS k, count(*) OVER (PARTITION BY chr, field, day) AS n FROM v),
+            s AS (SELECT *, unnest(range(1, least(100, n) + 1)) AS j, least(100, n) AS m FROM (SELECT DISTINCT chr, field, day, n FROM r)),
+            t AS (SELECT *, CAST(ceil(j * n / m) AS BIGINT) AS k, CAST(ceil(j * n / m) AS BIGINT) - CAST(ceil((j - 1) * n / m) AS BIGINT) AS w FROM s),
+            p AS (SELECT t.chr, t.field, r.value, t.w FROM t JOIN r ON r.chr IS NOT DISTINCT FROM t.chr AND r.field = t.field AND r.day IS NOT DISTINCT FROM t.day AND r.k = t.k),
+            c AS (SELECT *, CAST(sum(w) OVER (PARTITION BY chr, field ORDER BY value, w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, CAST(sum(w) OVER (PARTITION BY chr, field) AS BIGINT) AS n FROM p)
+            SELECT chr, field, q, value, n FROM c, (SELECT unnest([{", ".join(f"CAST({q} AS DOUBLE)" for q in QS)}]) AS q)
+            WHERE upto >= greatest(1, CAST(ceil(q * n) AS BIGINT)) AND upto - w < greatest(1, CAST(ceil(q * n) AS BIGINT))"""
+    return sql | {"p2_percentiles_all": sql["p2_percentiles"].replace("WHERE isfinite(c_pred)", f"WHERE isfinite(c_pred) {more}"), "p2_combined_days": days}
