@@ -3,9 +3,10 @@
 Every source's documents form one stream in a hashed order, repeated up to its cap; the stream is drawn up to the source's share of the total and
 cut into blocks of equal token counts. Block j of a source of weight w is released at slot floor(j / w) and due at ceil((j + 1) / w); taking the
 released block with the earliest deadline in every slot keeps each source within one block of its share at every point of the sequence.
-Weights are the drawn tokens themselves, in whole numbers, so no rounding adds up. One task writes the schedule as a table of a row a block and holds
-one block a source; documents join it by source and block. Document positions are prefix sums over hashed buckets, so a source with a third of all
-documents is never sorted in one task.
+Weights are the drawn tokens themselves, in whole numbers, so no rounding adds up. The schedule is a table of a row a block, written by tasks of a part of the
+slots each: at any slot a source has at most one block released but not taken, and how many do is known, so a task can start anywhere; whichever it supposes
+to be waiting, it agrees with the one schedule from the last of their deadlines on, and starts that much before its part. Documents join the schedule by
+source and block. Document positions are prefix sums over hashed buckets, so a source with a third of all documents is never sorted in one task.
 """
 
 from __future__ import annotations
@@ -58,26 +59,43 @@ def source_key(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[\s\-]+", "_")
 
 
-def pfair(weights: dict[str, int], blocks: dict[str, int] | None = None) -> Iterator[tuple[int, str, int]]:
-    """``(slot, source, block)`` in order, by earliest deadline among released blocks, for positive whole weights; endless without the sources' numbers of ``blocks``."""
+def pfair(weights: dict[str, int], blocks: dict[str, int] | None = None, start: int = 0) -> Iterator[tuple[int, str, int]]:
+    """``(slot, source, block)`` in order, by earliest deadline among released blocks, for positive whole weights; endless without the sources' numbers of ``blocks``.
+
+    From a ``start`` beyond 0 the blocks with the latest deadlines are taken to be waiting there; ``settled`` says from which slot on that makes no difference."""
     total = sum(weights.values())
-    waiting = [(0, s, 0) for s in sorted(weights) if blocks is None or blocks[s] > 0]
+    due = lambda s, j: -(-(j + 1) * total // weights[s])
+    has = lambda s, j: blocks is None or j < blocks[s]
+    ready = sorted((due(s, start * w // total), s, start * w // total) for s, w in weights.items() if start * w % total)
+    ready = ready[max(0, len(ready) - (sum(-(-start * w // total) for w in weights.values()) - start)) :]
+    behind = {s for _, s, _ in ready}
+    ready = [x for x in ready if has(x[1], x[2])]
+    nexts = {s: -(-start * w // total) for s, w in weights.items()}
+    waiting = [(j * total // weights[s], s, j) for s, j in nexts.items() if s not in behind and has(s, j)]
     heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    t = 0
+    t = start
     while waiting or ready:
         if not ready:
             t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
             _, s, j = heappop(waiting)
-            heappush(ready, (-(-(j + 1) * total // weights[s]), s, j))
+            heappush(ready, (due(s, j), s, j))
         _, s, j = heappop(ready)
         yield t, s, j
         t += 1
-        if blocks is None or j + 1 < blocks[s]:
+        if has(s, j + 1):
             heappush(waiting, ((j + 1) * total // weights[s], s, j + 1))
 
 
+def settled(weights: dict[str, int]) -> int:
+    """The slots after which a schedule is the same whatever waited at its start: the last of the deadlines that could be open there.
+
+    Of two sets of waiting blocks of one size, the block that only one of them takes next is due no later than all in which they still differ; so these never get
+    later, and when the last is due both have taken them all."""
+    total = sum(weights.values())
+    return max((-(-total // w) for w in weights.values()), default=0) + 1
+
+
 def pfair_slots(weights: dict[str, float], n: int) -> dict[str, list[int]]:
     """The slots 0..n-1 of each source; weights count as the decimal numbers they are written as."""
     exact = {s: Fraction(str(w)) for s, w in weights.items()}
@@ -88,16 +106,33 @@ def pfair_slots(weights: dict[str, float], n: int) -> dict[str, list[int]]:
     return slots
 
 
-def schedule(spark: SparkSession, budgets: dict[str, int], block: int, rows: int = 10_000) -> DataFrame:
-    """``key, j, slot`` of every block of the sources with tokens to draw; the last block of a source may be a part of one."""
+def schedule(spark: SparkSession, budgets: dict[str, int], block: int, rows: int = 200_000) -> DataFrame:
+    """``key, j, slot`` of every block of the sources with tokens to draw; the last block of a source may be a part of one.
+
+    A task writes ``rows`` slots, or as many as it takes to settle if that is more (where a source has less than one block in ``rows``)."""
+    blocks = {k: -(-n // block) for k, n in budgets.items()}
+    slots, before = sum(blocks.values()), settled(budgets)
+    step = max(rows, before)
+    parts = -(-slots // step)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _ in batches:
-            order = pfair(budgets, {k: -(-n // block) for k, n in budgets.items()})
-            while part := list(islice(order, rows)):
-                yield pd.DataFrame(part, columns=["slot", "key", "j"])[["key", "j", "slot"]]
+        for b in batches:
+            for first in b["id"] * step:
+                order = (x for x in pfair(budgets, blocks, max(0, int(first) - before)) if x[0] >= first)
+                left = step
+                while part := list(islice(order, min(left, 10_000))):
+                    left -= len(part)
+                    yield pd.DataFrame(part, columns=["slot", "key", "j"])[["key", "j", "slot"]]
+
+    return spark.range(0, parts, 1, max(1, parts)).mapInPandas(run, "key string, j long, slot long")
+
 
-    return spark.range(0, 1, 1, 1).mapInPandas(run, "key string, j long, slot long")
+def deviations(blocks: DataFrame, plan: DataFrame) -> DataFrame:
+    """``source, n_blocks, deviation``: how far from its share each source ever is, in blocks, just before or after one of its own; ``plan`` as of ``supplies``."""
+    weights = plan.where("budget > 0").select("key", "source", "budget", F.sum("budget").over(Window.partitionBy()).alias("all"))  # one row a source
+    share = lambda t: F.col("budget") * t / F.col("all")
+    off = F.greatest(F.abs(F.col("j") - share(F.col("slot"))), F.abs(F.col("j") + 1 - share(F.col("slot") + 1)))
+    return blocks.join(broadcast_if_small(weights), "key").groupBy("source").agg(F.count(F.lit(1)).alias("n_blocks"), F.max(off).alias("deviation"))
 
 
 def supplies(counts: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
@@ -111,8 +146,15 @@ def supplies(counts: DataFrame, targets: DataFrame, total: int | None = None) ->
     return both.withColumn("total", goal.cast("long")).withColumn("budget", F.floor(F.least(asked, F.col("size") * F.coalesce("max_repeats", F.lit(1)))))
 
 
+def budgets(plan: DataFrame) -> dict[str, int]:
+    """The tokens to draw of every source that gives some; one row a source of the targets comes to the driver."""
+    return {r["key"]: r["budget"] for r in plan.where("budget > 0").select("key", "budget").collect()}
+
+
 def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, block: int = 4096, seed: int = 0, bucket_docs: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """The mixture ``source, doc_id, repeat_no, n_tokens, slot`` (read in order of slot) and the table of ``supplies`` behind it.
+    """The mixture ``source, doc_id, repeat_no, n_tokens, slot, at`` (read in order of slot, then at) and the table of ``supplies`` behind it.
+
+    ``at`` is where a document starts in its source's stream; it belongs to the block that this is in.
 
     ``counts`` must be a table of ``doc_id, source, n_tokens``. Documents without tokens, without a source or of a source without a target aren't drawn.
     Each source's drawn tokens differ from its budget by at most half a document; no document comes more than ``max_repeats`` times.
@@ -120,8 +162,7 @@ def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, block:
     """
     tables = Tables(counts.sparkSession, "mixture")
     plan = tables.cut(supplies(counts, targets, total))
-    rows = plan.where("budget > 0").select("key", "budget").collect()  # one a source of the targets
-    slots = broadcast_if_small(tables.cut(schedule(counts.sparkSession, {r["key"]: r["budget"] for r in rows}, block)))
+    slots = broadcast_if_small(tables.cut(schedule(counts.sparkSession, budgets(plan), block)))
     live = broadcast_if_small(plan.where("budget > 0").select("key", F.col("source").alias("name"), "size", "budget", F.ceil(F.col("n_docs") / F.lit(bucket_docs)).alias("buckets")))
     hashed = counts.where("n_tokens > 0").select("doc_id", "n_tokens", source_key("source").alias("key"), F.xxhash64(F.lit(seed), "doc_id").alias("h")).join(live, "key")
     placed = hashed.withColumn("bucket", F.pmod("h", "buckets"))
@@ -132,7 +173,7 @@ def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, block:
     passes = F.ceil(F.col("budget") / F.col("size")).cast("int")
     copies = start.withColumn("repeat_no", F.explode(F.sequence(F.lit(1), passes))).withColumn("at", (F.col("repeat_no") - 1) * F.col("size") + F.col("start"))
     drawn = copies.where("2 * at + n_tokens <= 2 * budget").withColumn("j", F.floor(F.col("at") / F.lit(block)))
-    return drawn.join(slots, ["key", "j"]).select(F.col("name").alias("source"), "doc_id", "repeat_no", "n_tokens", "slot"), plan
+    return drawn.join(slots, ["key", "j"]).select(F.col("name").alias("source"), "doc_id", "repeat_no", "n_tokens", "slot", "at"), plan
 
 
 def reached_shares(mixture: DataFrame, plan: DataFrame) -> DataFrame:

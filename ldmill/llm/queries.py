@@ -60,9 +60,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_leaks(spark, sf_dir).where(F.col("longest") >= F.least(F.lit(12), F.col("n_words"))).select("doc_id", "item_id")
 
 
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Tables(spark, "tokens").cut(mixture.token_counts(table(spark, sf_dir, "documents")))
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    counts = Tables(spark, "tokens").cut(mixture.token_counts(table(spark, sf_dir, "documents")))
-    return mixture.mix(counts, table(spark, sf_dir, "mix_targets"))
+    return mixture.mix(_counts(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +77,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.reached_shares(*_mixed(spark, sf_dir))
 
 
+def p7_within_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source, within``: whether each source of the targets is less than a block from its share at every slot of the schedule."""
+    targets = table(spark, sf_dir, "mix_targets")
+    tables = Tables(spark, "deviation")
+    plan = tables.cut(mixture.supplies(_counts(spark, sf_dir), targets))
+    off = mixture.deviations(mixture.schedule(spark, mixture.budgets(plan), 64, rows=5000), plan)  # many small blocks, written by many tasks
+    return targets.select("source").join(off, "source", "left").select("source", (F.coalesce("deviation", F.lit(0.0)) < 1).alias("within"))
+
+
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The affected documents with their original text where the states have an inverse, and the states found in them."""
     docs = table(spark, sf_dir, "documents")
@@ -85,7 +97,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p2_combined_days": p2_combined_days, "p2_percentiles_all": p2_percentiles_all, "p3_found": p3_found, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p2_combined_days": p2_combined_days, "p2_percentiles_all": p2_percentiles_all, "p3_found": p3_found, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_within_block": p7_within_block, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -107,6 +119,7 @@ def oracle_sql() -> dict[str, str]:
                        {" ".join(f"UNION ALL SELECT chr, '{p}', CAST({p} AS DOUBLE) FROM decay_sum WHERE isfinite({p})" for p in PARAMETERS)}),
             r AS (SELECT *, row_number() OVER (PARTITION BY chr, field ORDER BY value) AS k, count(*) OVER (PARTITION BY chr, field) AS n FROM v)
             SELECT chr, field, q, value, n FROM r, (SELECT unnest([{", ".join(f"CAST({q} AS DOUBLE)" for q in QS)}]) AS q) WHERE k = greatest(1, CAST(ceil(q * n) AS BIGINT))""",
+        "p7_within_block": "SELECT source, true AS within FROM mix_targets",
         "p3_found": """
             WITH ok AS (SELECT * FROM map_snp WHERE grp IS NOT NULL AND median_ld IS NOT NULL AND isfinite(median_ld) AND median_ld BETWEEN 0 AND 1),
             last AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY marker ORDER BY loaded_at DESC) = 1)

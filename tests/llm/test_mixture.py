@@ -1,4 +1,5 @@
 import os
+from itertools import islice
 
 import pytest
 
@@ -27,6 +28,30 @@ def test_pfair_deviation_of_any_weights():
     assert sorted((s, j) for _, s, j in ended) == [("a", j) for j in range(10)] + [("b", 0)] and len({t for t, _, _ in ended}) == 11
 
 
+def test_pfair_from_anywhere():
+    weights = {"a": 61_234, "b": 30_001, "c": 7_765, "d": 991, "e": 9}
+    blocks = {s: -(-w // 4) for s, w in weights.items()}
+    whole = list(mixture.pfair(weights, blocks))
+    assert [x[0] for x in whole] == list(range(sum(blocks.values())))
+    few = {s: w for s, w in weights.items() if s != "e"}
+    order, lead = list(islice(mixture.pfair(few), 20_000)), mixture.settled(few)
+    assert lead < 200
+    for start in [*range(1, 150), 4_999, 12_345]:
+        assert list(islice(mixture.pfair(few, start=start), 500))[lead:] == order[start + lead : start + 500]
+
+
+def test_schedule_in_parts(spark):
+    budgets = {"a": 61_234, "b": 30_001, "c": 7_765, "d": 991}
+    blocks = {s: -(-n // 3) for s, n in budgets.items()}
+    want = list(mixture.pfair(budgets, blocks))
+    for rows in (1000, 1_000_000):
+        got = mixture.schedule(spark, budgets, 3, rows)
+        assert sorted((r["slot"], r["key"], r["j"]) for r in got.collect()) == want
+    plan = spark.createDataFrame([(s, s, n) for s, n in budgets.items()], "key string, source string, budget bigint")
+    off = {r["source"]: r["deviation"] for r in mixture.deviations(got, plan).collect()}
+    assert off.keys() == budgets.keys() and all(x < 1 for x in off.values())
+
+
 def counts(spark, sizes, each=50):
     rows = [(k * 10_000 + i, s, each) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
     return spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
