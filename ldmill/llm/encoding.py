@@ -10,7 +10,6 @@ Inside a task all runs of a block of documents are scored at once with array ope
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -41,7 +40,8 @@ RARE = -9.0  # a text all of whose bigrams are likelier than this is clean
 STRANGE, SEEN = -6.0, 2e-6  # for a decoded character that clean text hardly has: less than this share of its counted bigrams
 UNKNOWN = -10.0  # for the character itself where the alphabet only has "another"
 _SCATTER = np.random.default_rng(0).integers(1, 2**63, 4096, dtype=np.uint64)  # fixed random numbers to tell runs apart by
-PIECE, BLOCK = 20_000, 1_000_000  # characters of a text that are labelled as one sequence, and of texts that are scored together
+BLOCK = 1_000_000  # characters of texts that are scored together, at least one whole text
+QUIET = 10  # so many runs in a row on which no state does better than KEPT part a text: see label_runs
 
 
 def byte_chars(codec: str) -> list[int]:
@@ -211,18 +211,17 @@ def clean_model(counts: pd.DataFrame) -> np.ndarray:
 
 
 def blocks(texts: pd.Series) -> Iterator[tuple[list[str], list[int]]]:
-    """Texts in blocks of about BLOCK characters, one longer than PIECE in pieces that end at a blank where they can; with the row number of each piece."""
+    """Whole texts in blocks of about BLOCK characters, with the row number of each; null and empty ones are left out."""
     out, rows, size = [], [], 0
     for i, t in enumerate(texts):
         if not t:
             continue
-        for piece in [t] if len(t) <= PIECE else re.findall(r"(?s).{1,%d}(?:\s|$)|.{1,%d}" % (PIECE, PIECE), t):
-            out.append(piece)
-            rows.append(i)
-            size += len(piece)
-            if size >= BLOCK:
-                yield out, rows
-                out, rows, size = [], [], 0
+        out.append(t)
+        rows.append(i)
+        size += len(t)
+        if size >= BLOCK:
+            yield out, rows
+            out, rows, size = [], [], 0
     if out:
         yield out, rows
 
@@ -316,9 +315,27 @@ def _state_gains(local: np.ndarray, run: np.ndarray, lp: np.ndarray) -> tuple[np
     return gains, foreign
 
 
-def label_runs(piece: np.ndarray, gains: np.ndarray) -> np.ndarray:
-    """The state of every run on the best path through each piece; ``piece`` numbers the runs' pieces in order. Only pieces in which some run gains can leave the clean state."""
-    labels = np.zeros(len(piece), dtype=np.int16)
+def stretches(piece: np.ndarray, gains: np.ndarray) -> np.ndarray:
+    """A number for every run, in order, that changes with the text and in the middle of QUIET runs on which no state does better than KEPT.
+
+    On such runs a state costs KEPT each. To leave it at the first of them and enter any state after the last costs LEAVE and an entry, which is
+    less than QUIET times KEPT; so the best path through the whole text is clean in the middle, and its parts can be labelled on their own."""
+    quiet = gains[:, 1:].max(axis=1, initial=-np.inf) <= KEPT
+    new = np.ones(len(piece), dtype=bool)
+    new[1:] = (piece[1:] != piece[:-1]) | (quiet[1:] != quiet[:-1])
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, len(piece)))
+    middle = (first + length // 2)[quiet[first] & (length >= QUIET)]
+    cut = np.zeros(len(piece), dtype=bool)
+    cut[1:] = piece[1:] != piece[:-1]
+    cut[middle] = True
+    return np.cumsum(cut)
+
+
+def label_runs(text: np.ndarray, gains: np.ndarray) -> np.ndarray:
+    """The state of every run on the best path through each whole text; ``text`` numbers the runs' texts in order. Only stretches in which some run gains can leave the clean state."""
+    labels = np.zeros(len(text), dtype=np.int16)
+    piece = stretches(text, gains)
     hot = np.zeros(piece.max() + 1 if len(piece) else 0, dtype=bool)
     hot[piece[gains[:, 1:].max(axis=1) > 0]] = True
     at = np.flatnonzero(hot[piece])
@@ -394,7 +411,9 @@ def invert(run: str, state: int) -> str:
 
 
 def repair(texts: list[str], lp: np.ndarray) -> list[tuple[str, dict[str, int]]]:
-    """For each text of one block: the text with its labelled runs inverted, and the number of runs in each state other than clean."""
+    """For each text of one block: the text with its labelled runs inverted, and the number of runs in each state other than clean.
+
+    A text is one sequence, whatever its length; a block holds its runs by states in memory, about 200 bytes a run."""
     codes, starts = _block(texts)
     begin, end, piece, gains = run_gains(codes, lp, starts)
     labels = label_runs(piece, gains)
@@ -413,15 +432,13 @@ def repair(texts: list[str], lp: np.ndarray) -> list[tuple[str, dict[str, int]]]
 
 
 def repaired(texts: pd.Series, lp: np.ndarray) -> tuple[list[str | None], list[dict[str, int]]]:
-    """Whole texts restored, and their states; null and empty texts stay."""
-    whole: list = [[] if t else None for t in texts]
-    states: list[dict[str, int]] = [{} for _ in texts]
+    """Texts restored, and their states; null and empty texts stay."""
+    out: list[str | None] = list(texts)
+    states: list[dict[str, int]] = [{} for _ in out]
     for block, rows in blocks(texts):
-        for (text, found), i in zip(repair(block, lp), rows, strict=True):
-            whole[i].append(text)
-            for k, n in found.items():
-                states[i][k] = states[i].get(k, 0) + n
-    return [t if w is None else "".join(w) for w, t in zip(whole, texts, strict=True)], states
+        for found, i in zip(repair(block, lp), rows, strict=True):
+            out[i], states[i] = found
+    return out, states
 
 
 def fit(docs: DataFrame) -> np.ndarray:

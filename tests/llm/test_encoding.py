@@ -56,6 +56,31 @@ def test_lost_characters_are_found_but_stay(model):
     assert after == "caf� au lait" and set(states) == {"lost"}
 
 
+def test_parts_of_a_text_are_labelled_as_the_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 6000
+    gains = rng.normal(-4, 2, (n, len(E.STATES))).astype(np.float32)
+    for start in range(0, n, 150):  # stretches that some state explains, of any length, with quiet or doubtful runs between
+        end = start + rng.integers(1, 148)
+        gains[start:end, rng.integers(1, len(E.STATES))] += rng.uniform(2, 12)
+        gains[end : start + 150, 1:] -= rng.choice([0, 12])
+    gains[:, 0] = 0
+    text = np.sort(rng.integers(0, 5, n))
+    parts, got = E.stretches(text, gains), E.label_runs(text, gains)
+    assert parts.max() > 20 and (got > 0).sum() > 300
+    monkeypatch.setattr(E, "QUIET", n)
+    assert (E.label_runs(text, gains) == got).all()
+
+
+@pytest.mark.parametrize("chars", [100_000, 2_000_000])
+def test_long_text_is_one_sequence(model, chars):
+    long = " ".join(text("fr", i) for i in range(chars // 300))[:chars]
+    cut = chars // 2
+    garbled = long[:cut] + misread(long[cut : cut + 60_000].replace("’", "'").replace("œ", "oe"), "cp1252", "mac_roman") + long[cut + 60_000 :]
+    (whole,), (states,) = E.repaired([garbled], model)
+    assert whole.replace("’", "'").replace("œ", "oe") == long.replace("’", "'").replace("œ", "oe") and states
+
+
 def test_operator_edges(spark, model):
     long = " ".join(text("de", i) for i in range(3500))
     assert len(long) > E.BLOCK
