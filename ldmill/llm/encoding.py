@@ -3,7 +3,8 @@
 One clean state and one state per encoding pair (the encoding a text had, the one it was read in) label the runs of non-ASCII characters of a text;
 each labelled span gets its state's inverse transform. A state's emission is the probability, under a character bigram model of clean text, of what
 its inverse makes of the run and its ASCII neighbours. The bigram counts come from all documents in one combining pass (the alphabet bounds them); what a
-pair's misreading of frequent bigrams explains is taken out of them, and so are sequences that are well-formed UTF-8 in some reading.
+pair's misreading of frequent bigrams explains is taken out of them, and so are sequences that are well-formed UTF-8 in some reading. The texts repaired
+with this model are counted once more, for the model that labels them.
 
 Inside a task all runs of a block of documents are scored at once with array operations, and the Viterbi recursion runs over all documents in step.
 """
@@ -35,7 +36,9 @@ INVALID = -8.0  # for a character that a state's inverse has no use for
 FOREIGN = -6.0  # for a decoded word of another script next to a Latin letter
 KEPT = -2.5  # for a run that stays as it is inside a span, as characters do that the original encoding lacked
 ENTER_UTF8, ENTER_SINGLE, LEAVE = -7.0, -14.0, -4.0
-EXPLAINED, EXPLAINED_WIDE = 0.1, 0.5  # the share of a bigram's count that one pair may have misread, with one non-ASCII character and with two
+#: The share of a bigram's count that one pair may have misread, with one non-ASCII character and with two: before anything was repaired (of a third of all texts
+#: misread one way, half as often as right), and for what a first repair left.
+EXPLAINED, EXPLAINED_AFTER = (0.6, 0.6), (0.1, 0.5)
 RARE = -9.0  # a text all of whose bigrams are likelier than this is clean
 STRANGE, SEEN = -6.0, 2e-6  # for a decoded character that clean text hardly has: less than this share of its counted bigrams
 UNKNOWN = -10.0  # for the character itself where the alphabet only has "another"
@@ -137,30 +140,43 @@ def _utf8(ids: np.ndarray, byte: np.ndarray, a: Alphabet, known: bool = False) -
     return keep, out, part
 
 
-def bigram_counts(docs: DataFrame) -> DataFrame:
+def _add_counts(texts: list[str], total: np.ndarray, single: np.ndarray, sign: int = 1) -> None:
+    """Add (or take off) one block's counts of character pairs with a non-ASCII one, outside sequences that are UTF-8 in some reading, and of characters."""
+    a = alphabet()
+    codes, _ = _block(texts)
+    ids = a.ids[codes]
+    wide = ids >= 128
+    near = wide.copy()
+    near[1:] |= wide[:-1]
+    near[:-1] |= wide[1:]
+    at = np.flatnonzero(near)
+    local = ids[at]
+    bad = np.zeros(len(at), dtype=bool)
+    for r in UTF8_READ_AS:
+        bad |= _utf8(local, a.bytes_of[r], a, known=True)[2]
+    pair = (np.diff(at) == 1) & (wide[at[:-1]] | wide[at[1:]]) & ~bad[:-1] & ~bad[1:]
+    key = local[:-1][pair].astype(np.int64) * a.size + local[1:][pair]
+    total += sign * np.bincount(key, minlength=len(total))
+    single += sign * np.bincount(ids, minlength=a.size)
+
+
+def bigram_counts(docs: DataFrame, repaired_by: np.ndarray | None = None) -> DataFrame:
     """``a, b, n``: how often each pair of characters with a non-ASCII one follows each other in all texts, outside sequences that are UTF-8 in some
-    reading; ``b`` = -1 has the character's own count. At most (alphabet size)^2 rows."""
+    reading; ``b`` = -1 has the character's own count. At most (alphabet size)^2 rows. ``repaired_by`` a model: what repairing the texts changes in these counts."""
+    model = docs.sparkSession.sparkContext.broadcast(repaired_by)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = alphabet()
         total, single = np.zeros(a.size * a.size, dtype=np.int64), np.zeros(a.size, dtype=np.int64)
         for batch in batches:
             for texts, _ in blocks(batch["text"]):
-                codes, _ = _block(texts)
-                ids = a.ids[codes]
-                wide = ids >= 128
-                near = wide.copy()
-                near[1:] |= wide[:-1]
-                near[:-1] |= wide[1:]
-                at = np.flatnonzero(near)
-                local = ids[at]
-                bad = np.zeros(len(at), dtype=bool)
-                for r in UTF8_READ_AS:
-                    bad |= _utf8(local, a.bytes_of[r], a, known=True)[2]
-                pair = (np.diff(at) == 1) & (wide[at[:-1]] | wide[at[1:]]) & ~bad[:-1] & ~bad[1:]
-                key = local[:-1][pair].astype(np.int64) * a.size + local[1:][pair]
-                total += np.bincount(key, minlength=len(total))
-                single += np.bincount(ids, minlength=a.size)
+                if model.value is None:
+                    _add_counts(texts, total, single)
+                    continue
+                changed = [(old, new) for old, (new, _) in zip(texts, repair(texts, model.value), strict=True) if old != new]
+                if changed:
+                    _add_counts([old for old, _ in changed], total, single, -1)
+                    _add_counts([new for _, new in changed], total, single)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"a": at // a.size, "b": at % a.size, "n": total[at]})
         at = np.flatnonzero(single)
@@ -170,7 +186,7 @@ def bigram_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def clean_model(counts: pd.DataFrame) -> np.ndarray:
+def clean_model(counts: pd.DataFrame, explained_share: tuple[float, float] = EXPLAINED) -> np.ndarray:
     """Log probabilities of the next character in clean text, an array of alphabet size squared, and a last row with what a state loses for making a character
     that clean text hardly has."""
     a = alphabet()
@@ -184,7 +200,7 @@ def clean_model(counts: pd.DataFrame) -> np.ndarray:
     for inv in a.inverse:
         at = np.flatnonzero(inv >= 0)
         moved = inv[at] != at
-        share = np.where(moved[:, None] & moved[None, :], EXPLAINED_WIDE, EXPLAINED) * (moved[:, None] | moved[None, :])
+        share = np.where(moved[:, None] & moved[None, :], explained_share[1], explained_share[0]) * (moved[:, None] | moved[None, :])
         cell = np.ix_(at, at)
         explained[cell] = np.maximum(explained[cell], n[np.ix_(inv[at], inv[at])] * share)
     left = np.maximum(0, n - explained)
@@ -441,9 +457,16 @@ def repaired(texts: pd.Series, lp: np.ndarray) -> tuple[list[str | None], list[d
     return out, states
 
 
-def fit(docs: DataFrame) -> np.ndarray:
-    """The clean model of a corpus; the driver gets only the counts of character pairs, bounded by the alphabet."""
-    return clean_model(bigram_counts(docs).toPandas())
+def fit(docs: DataFrame, refits: int = 1) -> np.ndarray:
+    """The clean model of a corpus; the driver gets only the counts of character pairs, bounded by the alphabet.
+
+    A refit repairs all texts with the model so far and counts again, so that texts misread one way count as what they were, even where they are a third of all."""
+    counts = bigram_counts(docs).toPandas()
+    lp = clean_model(counts)
+    for _ in range(refits):
+        counts = pd.concat([counts, bigram_counts(docs, lp).toPandas()]).groupby(["a", "b"], as_index=False)["n"].sum()
+        lp = clean_model(counts, EXPLAINED_AFTER)
+    return lp
 
 
 def restore_documents(docs: DataFrame, lp: np.ndarray) -> DataFrame:

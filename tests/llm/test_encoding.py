@@ -56,6 +56,16 @@ def test_lost_characters_are_found_but_stay(model):
     assert after == "caf� au lait" and set(states) == {"lost"}
 
 
+@pytest.mark.parametrize(("true", "read"), [("cp1252", "cp1251"), ("cp1252", "mac_roman"), ("cp1251", "cp1252")])
+def test_a_third_misread_one_way(spark, true, read):
+    plain = [(i, text(lang, i).replace("’", "'").replace("œ", "oe")) for k, lang in enumerate(("de", "fr", "ru", "pl")) for i in range(60 * k, 60 * k + 60)]
+    langs = ("de", "fr") if true == "cp1252" else ("ru",)
+    bad = [i for k, lang in enumerate(("de", "fr", "ru", "pl")) if lang in langs for i in range(60 * k, 60 * k + 60, 3)]
+    docs = spark.createDataFrame([(i, misread(t, true, read) if i in bad else t) for i, t in plain], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in E.restore_documents(docs, E.fit(docs)).collect()}
+    assert set(got) <= set(bad) and len(got) >= 0.95 * len(bad) and sum(got.get(i) == dict(plain)[i] for i in bad) >= 0.9 * len(bad)
+
+
 def test_parts_of_a_text_are_labelled_as_the_whole(monkeypatch):
     rng = np.random.default_rng(3)
     n = 6000
