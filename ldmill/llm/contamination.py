@@ -5,13 +5,15 @@ these seeds finds, for each document and item, where they share words; seeds in
 marked, again and again, each match cut to the words still free on both sides, so that tiles don't overlap and a passage in another order is still covered.
 Longest tile and share of the passage that is covered decide.
 
-The items are the stated query side: their seeds are broadcast to the tasks while a count proves them small, in several blocks beyond that, and every document
-is held against every block. Only matching seeds are shuffled, by document and item, so no passage or document becomes one hot task.
+Items with one passage are one class, which documents are joined with; members come back at the end. Passages are the stated query side: their seeds and words are
+made by tasks, and what fits is broadcast; more of them go in several blocks, while documents are read, restored and hashed once for all. Only matching
+seeds are shuffled, by document and class, so no passage or document becomes one hot task: a pair has at most as many matches as its two texts have words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -21,9 +23,10 @@ from pyspark.sql.window import Window
 
 from ldmill.llm import subtitles
 from ldmill.llm.encoding import repaired
-from ldmill.session import Tables, broadcast_if_small
+from ldmill.session import Tables, broadcast_if_small, figure
 
 BLOCK_CHARS = 20_000_000  # characters of passages held against the documents at once
+MAX_WORDS = 10_000_000  # different words of all passages (three hashes each) that tasks hold; beyond it, words are mended with those of each block
 TEXTS = 512  # texts that are hashed together
 
 
@@ -42,19 +45,54 @@ def item_seeds(items: list[tuple[int, str]], seed: int) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True)
 
 
-def matching_seeds(docs: DataFrame, items: list[tuple[int, str]], seeds: pd.DataFrame, lp: np.ndarray | None) -> DataFrame:
-    """``doc_id, pos, gram, size`` of the seeds in the documents that some passage has too."""
+def word_vocabulary(passages: DataFrame) -> DataFrame:
+    """``kind, key, x, y`` of ``subtitles.vocabulary_rows`` over all passages, each key once."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield subtitles.vocabulary_rows([subtitles.spoken(p) for p in b["passage"]])
+
+    rows = passages.select("passage").mapInPandas(work, "kind int, key bigint, x bigint, y bigint")
+    return rows.groupBy("kind", "key").agg(F.min(F.struct("x", "y")).alias("m")).select("kind", "key", "m.x", "m.y")
+
+
+def _words(part: pd.DataFrame, lp: np.ndarray | None) -> subtitles.Words:
+    texts = repaired(part["text"], lp)[0] if lp is not None else part["text"]
+    return subtitles.words_of([subtitles.spoken(t or "") for t in texts])
+
+
+def hashed_words(docs: DataFrame, lp: np.ndarray | None) -> DataFrame:
+    """``doc_id, raw, size, lost``: the words of every document's spoken text, restored, as arrays of hashes."""
+    shared = docs.sparkSession.sparkContext.broadcast(lp)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), TEXTS):
+                part = b.iloc[i : i + TEXTS]
+                w = _words(part, shared.value)
+                cut = np.searchsorted(w.text, np.arange(1, len(part)))
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "raw": np.split(w.raw.view(np.int64), cut), "size": np.split(w.size.astype(np.int32), cut), "lost": np.split(w.lost, cut)})
+
+    return docs.mapInPandas(work, "doc_id bigint, raw array<bigint>, size array<int>, lost array<boolean>")
+
+
+def matching_seeds(docs: DataFrame, seeds: pd.DataFrame, words: subtitles.Vocabulary, lp: np.ndarray | None) -> DataFrame:
+    """``doc_id, pos, gram, size`` of the seeds in the documents that some passage has too; ``docs`` with texts, or as of ``hashed_words``."""
     known = {int(k): np.sort(part["gram"].unique()) for k, part in seeds.groupby("size")}
-    shared = docs.sparkSession.sparkContext.broadcast((known, subtitles.vocabulary([subtitles.spoken(p) for _, p in items]), lp))
+    shared, whole = docs.sparkSession.sparkContext.broadcast((known, words, lp)), "text" in docs.columns
+
+    def read(part: pd.DataFrame) -> subtitles.Words:
+        n = np.array([len(x) for x in part["raw"]], dtype=np.int64)
+        flat = lambda c, kind: np.concatenate([np.zeros(0, kind), *[np.asarray(x, dtype=kind) for x in part[c]]])
+        return subtitles.Words(flat("raw", np.int64).view(np.uint64), flat("size", np.int64), np.repeat(np.arange(len(part)), n), flat("lost", bool))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, words, lp = shared.value
         for b in batches:
             for i in range(0, len(b), TEXTS):
                 part = b.iloc[i : i + TEXTS]
-                texts = [t or "" for t in (repaired(part["text"], lp)[0] if lp is not None else part["text"])]
-                h, text = subtitles.mended([subtitles.spoken(t) for t in texts], words)
-                first = np.searchsorted(text, np.arange(len(texts)))
+                h, text = subtitles.mended(_words(part, lp) if whole else read(part), words)
+                first = np.searchsorted(text, np.arange(len(part)))
                 ids = part["doc_id"].to_numpy()
                 for k, keys in known.items():
                     g, start = subtitles.grams(h, text, k)
@@ -62,7 +100,7 @@ def matching_seeds(docs: DataFrame, items: list[tuple[int, str]], seeds: pd.Data
                     g, start = g[hit], start[hit]
                     yield pd.DataFrame({"doc_id": ids[text[start]], "pos": start - first[text[start]], "gram": g, "size": np.full(len(g), k)})
 
-    return docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(work, "doc_id bigint, pos bigint, gram bigint, size int")
+    return docs.mapInPandas(work, "doc_id bigint, pos bigint, gram bigint, size int")
 
 
 def maximal_matches(hits: DataFrame) -> DataFrame:
@@ -77,25 +115,22 @@ def maximal_matches(hits: DataFrame) -> DataFrame:
 def tiles(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: the longest match first, each later one cut to what is still free in both texts, none shorter than ``least``."""
     out: list[tuple[int, int, int]] = []
-    todo = sorted(matches, key=lambda m: (-m[2], m[0], m[1]))
+    todo = [(-n, pos, at) for pos, at, n in matches]
+    heapify(todo)
     while todo:
-        pos, at, n = todo.pop(0)
-        free = [True] * n
+        n, pos, at = heappop(todo)
+        n = -n
+        free = np.ones(n, dtype=bool)
         for p, a, m in out:
-            for lo, hi in ((p - pos, p - pos + m), (a - at, a - at + m)):
-                free[max(0, lo) : max(0, min(n, hi))] = [False] * (max(0, min(n, hi)) - min(max(0, lo), max(0, min(n, hi))))
-        if all(free):
+            free[max(0, p - pos) : max(0, p - pos + m)] = False
+            free[max(0, a - at) : max(0, a - at + m)] = False
+        if free.all():
             out.append((pos, at, n))
             continue
-        i = 0
-        while i < n:
-            j = i
-            while j < n and free[j]:
-                j += 1
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
+        for i, j in zip(edge[::2], edge[1::2], strict=True):
             if j - i >= least:
-                todo.append((pos + i, at + i, j - i))
-            i = max(j, i + 1)
-        todo.sort(key=lambda m: (-m[2], m[0], m[1]))
+                heappush(todo, (int(i - j), int(pos + i), int(at + i)))
     return out
 
 
@@ -108,21 +143,38 @@ def leaks(docs: DataFrame, items: DataFrame, lp: np.ndarray | None = None, seed:
     """
     spark = docs.sparkSession
     tables = Tables(spark, "leaks")
-    usable = items.where("passage IS NOT NULL AND item_id IS NOT NULL").select("item_id", "passage").distinct()
-    size = usable.agg(F.sum(F.length("passage")).alias("n")).first()["n"] or 0
-    blocks = -(-size // BLOCK_CHARS)
+    usable = tables.cut(items.where("passage IS NOT NULL AND item_id IS NOT NULL").select("item_id", F.col("passage").cast("string").alias("passage")).distinct())
+    classes = tables.cut(usable.groupBy("passage").agg(F.min("item_id").alias("cls")), chars=F.sum(F.length("passage")))
+    blocks = -(-(figure(classes, "chars") or 0) // BLOCK_CHARS)
+    nothing = spark.createDataFrame([], "doc_id bigint, item_id bigint, n_words int, n_tiles int, longest int, covered double")
+    if not blocks:
+        return nothing
+
+    def seed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield item_seeds(list(zip(b["cls"], b["passage"], strict=True)), seed)
+
+    own = F.pmod(F.xxhash64("cls"), F.lit(blocks)).alias("block")
+    placed = classes.select("cls", "passage", own)
+    seeds = tables.cut(classes.select("cls", "passage").mapInPandas(seed_rows, "item_id bigint, at bigint, gram bigint, size int, n_words int").withColumnRenamed("item_id", "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(blocks))))
+    if not figure(seeds):
+        return nothing
+    rows = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text")
+    common = None
+    if blocks > 1:
+        rows = tables.cut(hashed_words(rows, lp))
+        all_words = tables.cut(word_vocabulary(classes).where(F.col("kind") != subtitles.PAIR))
+        common = all_words.toPandas() if figure(all_words) <= MAX_WORDS else None
     hits = None
     for b in range(blocks):  # one for any usual set of items
-        block = [(r["item_id"], r["passage"]) for r in usable.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).sort("item_id").collect()]
-        if not block:
-            continue
-        seeds = item_seeds(block, seed)
-        found = matching_seeds(docs, block, seeds, lp)
-        own = broadcast_if_small(spark.createDataFrame(seeds, "item_id bigint, at bigint, gram bigint, size int, n_words int"))
-        part = found.join(own, ["gram", "size"]).select("doc_id", "item_id", "n_words", "size", "pos", "at")
+        mine = seeds.where(F.col("block") == b)
+        keys = mine.select("gram", "size").distinct().toPandas()
+        vocabulary = word_vocabulary(placed.where(F.col("block") == b)).toPandas()
+        if common is not None:
+            vocabulary = pd.concat([common, vocabulary[vocabulary["kind"] == subtitles.PAIR]])
+        found = matching_seeds(rows, keys, subtitles.vocabulary(vocabulary), lp)
+        part = found.join(broadcast_if_small(mine, within=seeds), ["gram", "size"]).select("doc_id", F.col("cls").alias("item_id"), "n_words", "size", "pos", "at")
         hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, n_words int, n_tiles int, longest int, covered double")
     matches = maximal_matches(tables.cut(hits))
     pairs = matches.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.max("length").alias("longest"), F.sum("length").alias("sum"), F.sort_array(F.collect_list(F.struct("pos", "at", "length"))).alias("m"))
     enough = F.least(F.lit(words), F.col("n_words"))
@@ -138,4 +190,6 @@ def leaks(docs: DataFrame, items: DataFrame, lp: np.ndarray | None = None, seed:
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words", "n_tiles", "longest", "covered"])
 
     out = pairs.select("doc_id", "item_id", "n_words", "m").mapInPandas(tile, "doc_id bigint, item_id bigint, n_words int, n_tiles int, longest int, covered double")
-    return out.where((F.col("longest") >= enough) | (F.col("covered") >= coverage))
+    leaked = out.where((F.col("longest") >= enough) | (F.col("covered") >= coverage)).withColumnRenamed("item_id", "cls")
+    members = usable.join(broadcast_if_small(classes, within=classes), "passage").select("item_id", "cls")
+    return leaked.join(broadcast_if_small(members, within=usable), "cls").select("doc_id", "item_id", "n_words", "n_tiles", "longest", "covered")

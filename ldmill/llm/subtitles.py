@@ -12,12 +12,15 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 
 _TIMES = re.compile(r"^[^\S\n]*﻿?(?:\d+[^\S\n]*\n[^\S\n]*)?(?:\d+:)?\d+:\d+[.,]\d+[^\S\n]*-->.*$", re.M)
 _FRAMES = re.compile(r"^﻿?\{\d+\}\{\d+\}", re.M)
 _HEADER = re.compile(r"\A﻿?WEBVTT.*$", re.M)
-_MARKUP = re.compile(r"<[^<>\n]{0,80}>|\{[^{}\n]{0,80}\}")
-_SOUND = re.compile(r"\*[^*\n]{1,80}\*|\[[^\[\]]{0,200}\]|\([^()]{0,200}\)|[♪♫][^♪♫\n]{0,200}[♪♫]|^[^\S\n]*[♪♫].*$", re.M)
+#: Longer spans between such marks count as speech, so that a mark without its partner takes no more than this; a real one that is longer breaks a passage in two.
+MARKUP_CHARS, SOUND_CHARS = 80, 200
+_MARKUP = re.compile(r"<[^<>\n]{0,%d}>|\{[^{}\n]{0,%d}\}" % (MARKUP_CHARS, MARKUP_CHARS))
+_SOUND = re.compile(r"\*[^*\n]{1,%d}\*|\[[^\[\]]{0,%d}\]|\([^()]{0,%d}\)|[♪♫][^♪♫\n]{0,%d}[♪♫]|^[^\S\n]*[♪♫].*$" % (MARKUP_CHARS, SOUND_CHARS, SOUND_CHARS, SOUND_CHARS), re.M)
 _SOUND_MARK = re.compile(r"[*\[(♪♫]")
 _LABEL = re.compile(r"^([^\S\n]*[-–—]?[^\S\n]*[«“„\"]?)(?:[^\W\d_a-zà-ÿа-яёα-ω]{2,}[^\S\n]?){1,3}:(?=\s)", re.M)
 #: Confusions of character recognition, and letters that fall apart into two (fixed values).
@@ -143,16 +146,39 @@ class Vocabulary:
     second: np.ndarray
 
 
-def vocabulary(passages: list[str]) -> Vocabulary:
-    w, m = words_of(passages), [words_of([p], mask=True) for p in dict.fromkeys(x for p in passages for x in p.split()) if not p.isascii()]
-    whole = [words_of([p]) for p in dict.fromkeys(x for p in passages for x in p.split()) if not p.isascii()]
-    keep = [(int(mixed(a.raw)[0]), int(mixed(b.raw)[0])) for a, b in zip(m, whole, strict=True) if len(a.raw) == 1 and len(b.raw) == 1 and a.lost[0] | (a.size[0] < b.size[0])]
-    masks = np.array(sorted(dict(reversed(keep)).items()), dtype=np.uint64).reshape(-1, 2)
+WORD, MASKED, PAIR = 0, 1, 2
+
+
+def vocabulary_rows(passages: list[str]) -> pd.DataFrame:
+    """``kind, key, x, y``: the words of passages, what each word is once its non-ASCII characters are lost, and adjacent words written as one, all as hashes."""
+    w = words_of(passages)
     h = mixed(w.raw)
+    odd = [x for x in dict.fromkeys(x for p in passages for x in p.split()) if not x.isascii()]
+    lost, whole = words_of(odd, mask=True), words_of(odd)
+    one = [np.flatnonzero(np.bincount(v.text, minlength=len(odd)) == 1) for v in (lost, whole)]
+    both = np.intersect1d(*one)
+    at, to = np.searchsorted(lost.text, both), np.searchsorted(whole.text, both)
+    keep = lost.lost[at] | (lost.size[at] < whole.size[to])
+    at, to = at[keep], to[keep]
     j, has = joined(w)
-    at = np.flatnonzero(has)
-    pairs, one = np.unique(j[at], return_index=True)
-    return Vocabulary(np.unique(h), masks[:, 0], masks[:, 1], pairs, h[at[one]], h[at[one] + 1])
+    n = np.flatnonzero(has)
+    none = lambda k: np.zeros(k, dtype=np.uint64)
+    u = np.unique(h)
+    parts = [(WORD, u, none(len(u)), none(len(u))), (MASKED, mixed(lost.raw)[at], mixed(whole.raw)[to], none(len(at))), (PAIR, j[n], h[n], h[n + 1])]
+    return pd.concat([pd.DataFrame({"kind": k, "key": a.view(np.int64), "x": b.view(np.int64), "y": c.view(np.int64)}) for k, a, b, c in parts], ignore_index=True).drop_duplicates(["kind", "key"])
+
+
+def vocabulary(rows: pd.DataFrame) -> Vocabulary:
+    """From such rows, one a kind and key."""
+
+    def part(kind: int) -> list[np.ndarray]:
+        own = rows[rows["kind"] == kind]
+        key, x, y = (own[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("key", "x", "y"))
+        order = np.argsort(key)
+        return [key[order], x[order], y[order]]
+
+    (words, _, _), (masked, unmasked, _), (pairs, first, second) = part(WORD), part(MASKED), part(PAIR)
+    return Vocabulary(words, masked, unmasked, pairs, first, second)
 
 
 def among(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -161,9 +187,8 @@ def among(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)] == x
 
 
-def mended(texts: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def mended(w: Words, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text of every word; words that lost characters, broke in two or ran into the next come out as the words of the vocabulary they were."""
-    w = words_of(texts)
     h, text = mixed(w.raw), w.text
     bad = np.flatnonzero(w.lost)
     if len(bad):
