@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ldmill.functions.ordered import quantiles, ranked
 from ldmill.functions.scalar import d_from_rho, decayed, log_stratum, pair_hash
 from ldmill.operators.genotypes import allele_frequencies
 from ldmill.operators.pairs import edge_list
-from ldmill.session import Tables, broadcast_if_small
+from ldmill.session import Tables, broadcast_if_small, figure
 
 
 def sampled_markers(geno: DataFrame, n_sub: int, min_maf: float) -> DataFrame:
@@ -21,15 +22,16 @@ def sampled_markers(geno: DataFrame, n_sub: int, min_maf: float) -> DataFrame:
     sizes = ok.groupBy("chr").agg(F.count(F.lit(1)).alias("n_chr"))
     total = sizes.agg(F.sum("n_chr").alias("n_all"))
     quota = sizes.crossJoin(F.broadcast(total)).withColumn("quota", F.ceil(F.lit(n_sub) * F.col("n_chr") / F.col("n_all")))  # one row of totals
-    rank = F.row_number().over(Window.partitionBy("chr").orderBy(pair_hash(F.col("snp_idx")), "snp_idx"))
-    return ok.withColumn("rank", rank).join(broadcast_if_small(quota), "chr").where("rank <= quota").select("chr", "snp_idx")
+    placed = ranked(ok.withColumn("hash", pair_hash(F.col("snp_idx"))), ["chr"], "hash", ["snp_idx"], "rank")
+    return placed.join(broadcast_if_small(quota), "chr").where("rank < quota").select("chr", "snp_idx")
 
 
 def background_ld(geno: DataFrame, q: float = 0.95, n_sub: int = 5000, min_maf: float = 0.1) -> DataFrame:
     """``n_pairs, b``: the q-quantile of r2 between sampled markers of different chromosomes; b is null where there is no such pair."""
     sample = sampled_markers(geno, n_sub, min_maf)
     pairs = edge_list(geno.join(broadcast_if_small(sample), ["chr", "snp_idx"], "left_semi"), slide=0, by_chr=False, across_only=True)
-    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.percentile("r2", q).alias("b"))
+    pairs = Tables(geno.sparkSession, "background").cut(pairs.select("r2"))
+    return geno.sparkSession.createDataFrame([(figure(pairs), quantiles(pairs, "r2", [q])[0])], "n_pairs bigint, b double")
 
 
 def chromosome_scale(markers: DataFrame, slide: int = 1000, n_win: int = 20, overlap: float = 0.5) -> DataFrame:
@@ -72,8 +74,14 @@ def strata(pairs: DataFrame, q: float = 0.95, max_pairs: int = 5000, n_strata: i
     capped at ``floor(min(N, max_pairs) / n_strata)`` pairs by hash rank; windows left with too few pairs or strata fall out."""
     by_window = pairs.groupBy("chr", "win").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.floor(F.least(F.count(F.lit(1)), F.lit(max_pairs)) / n_strata).alias("cap"))
     p = pairs.join(broadcast_if_small(by_window), ["chr", "win"]).withColumn("stratum", log_stratum(F.col("d").cast("double"), F.col("d0").cast("double"), F.col("d1").cast("double"), n_strata))
-    rank = F.row_number().over(Window.partitionBy("chr", "win", "stratum").orderBy(pair_hash(F.col("pos1"), F.col("pos2")), "pos1", "pos2"))
-    kept = p.withColumn("rank", rank).where("rank <= cap")
+    p = p.withColumn("hash", pair_hash(F.col("pos1"), F.col("pos2")))
+    # only hashes that can be among the first cap of their stratum are ranked: those up to a quantile with room to spare, or all where that leaves too few
+    sizes = p.groupBy("chr", "win", "stratum").agg(F.count(F.lit(1)).alias("all_"), F.max("cap").alias("cap_"))
+    bound = F.when(F.col("all_") > 2 * F.col("cap_"), (F.col("cap_") + 8 * F.sqrt("cap_") + 64) / F.col("all_") * float(2**32)).otherwise(float(2**32))
+    low = p.join(broadcast_if_small(sizes.withColumn("bound_", bound).drop("cap_")), ["chr", "win", "stratum"])
+    near = low.groupBy("chr", "win", "stratum").agg(F.count_if(F.col("hash") < F.col("bound_")).alias("below_"))
+    first = low.join(broadcast_if_small(near), ["chr", "win", "stratum"]).where("hash < bound_ OR below_ < cap")
+    kept = ranked(first, ["chr", "win", "stratum"], "hash", ["pos1", "pos2"], "rank").where("rank < cap")
     s = kept.groupBy("chr", "win", "stratum").agg(F.exp(F.avg(F.log("d"))).alias("d_mid"), F.percentile("r2", q).alias("r2_q"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("chr", "win")
     return s.withColumns({"rows_": F.sum("n").over(w), "strata_": F.count(F.lit(1)).over(w)}).where((F.col("rows_") >= min_rows) & (F.col("strata_") >= min_strata)).drop("rows_", "strata_")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ldmill.functions.ordered import ranked
 
 
 def allele_frequencies(geno: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def input_kind(geno: DataFrame, keys: list[str], tolerance: float = 1e-8) -> Dat
 def ranked_markers(geno: DataFrame) -> DataFrame:
     """``chr, snp_idx, pos, rk``: markers numbered from 0 along each chromosome. Works on the marker table, not on calls."""
     markers = geno.select("chr", "snp_idx", "pos").distinct()
-    return markers.withColumn("rk", F.row_number().over(Window.partitionBy("chr").orderBy("pos", "snp_idx")) - 1)
+    return ranked(markers, ["chr"], "pos", ["snp_idx"])
 
 
 def packed(geno: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ldmill.functions.ordered import bh_adjust, running_sum
+from ldmill.functions.ordered import bh_adjust, quantiles, ranked, running_sum
 from ldmill.functions.scalar import finite
 from ldmill.operators.assoc import NullModel, f_tail, null_draws, null_statistics
 from ldmill.operators.graph import connected_components
@@ -32,14 +32,14 @@ def rmsc_curve(rows: DataFrame, fdr: float = 0.05, grid: list[float] | None = No
     """
     grid = grid or GRID
     ok = rows.where("pval IS NOT NULL AND ld_w IS NOT NULL")
-    cuts = ok.agg(F.percentile("ld_w", grid).alias("t")).select(F.posexplode("t").alias("i", "threshold"))
+    cuts = ok.sparkSession.createDataFrame(list(enumerate(quantiles(ok, "ld_w", grid))), "i int, threshold double").where("threshold IS NOT NULL")
     thresholds = cuts.agg(F.sort_array(F.collect_list("threshold")).alias("t"))  # one row of as many numbers as the grid
     reach = ok.crossJoin(F.broadcast(thresholds)).select("pval", F.size(F.filter("t", lambda x: x <= F.col("ld_w"))).alias("reach"))
     kept = reach.groupBy("reach").agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("reach") - 1)).alias("i"), "n").groupBy("i").agg(F.sum("n").alias("n_kept"))
     low = reach.where(F.col("pval") < fdr).groupBy("reach", "pval").agg(F.count(F.lit(1)).alias("n")).select("pval", "n", F.explode(F.sequence(F.lit(0), F.col("reach") - 1)).alias("i"))
     low = low.groupBy("i", "pval").agg(F.sum("n").alias("n"))
-    ranked = low.withColumn("k", F.sum("n").over(Window.partitionBy("i").orderBy("pval"))).join(F.broadcast(kept), "i")
-    best = ranked.where(F.col("pval") * F.col("n_kept") / F.col("k") < fdr).groupBy("i").agg(F.max("k").alias("rejections"))
+    placed = running_sum(low, ["i"], "pval", "n", "k").join(F.broadcast(kept), "i")
+    best = placed.where(F.col("pval") * F.col("n_kept") / F.col("k") < fdr).groupBy("i").agg(F.max("k").alias("rejections"))
     q = F.element_at(F.array(*[F.lit(float(x)) for x in grid]), F.col("i") + 1)
     return cuts.join(kept, "i", "left").join(best, "i", "left").select(q.alias("q"), "threshold", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), F.coalesce("rejections", F.lit(0)).alias("rejections"))
 
@@ -90,25 +90,28 @@ def background_exact(background: DataFrame, clusters: DataFrame, pcut: float, b:
     """``cluster, frac, emp_p``: of all rotations of the chromosome's background markers (in position order, a hit where p <= pcut), the share whose first n
     (wrapping around) hold at least n_sig hits; emp_p = (1 + b frac) / (b + 1), null where a chromosome has fewer than two background markers.
 
-    The window sums come from one cumulative count. Clusters of one chromosome, n and n_sig share one pass over its rotations.
+    The window sums come from one cumulative count. Clusters of one chromosome share one pass over its rotations a window length.
     """
-    s = background.where("pval IS NOT NULL").select("chr", F.struct("pos", "marker").alias("o"), "pos", (F.col("pval") <= pcut).cast("bigint").alias("hit"), F.lit(1).cast("bigint").alias("one"))
-    at = Window.partitionBy("chr", "pos").orderBy("o")
-    tied = s.withColumns({"in_": F.row_number().over(at), "hits_": F.sum("hit").over(at.rowsBetween(Window.unboundedPreceding, 0))})
-    per = s.groupBy("chr", "pos").agg(F.sum("one").alias("c"), F.sum("hit").alias("h"))
-    per = running_sum(running_sum(per, ["chr"], "pos", "c", "rank_"), ["chr"], "pos", "h", "upto_")
-    line = Tables(background.sparkSession, "rotations").cut(tied.join(per, ["chr", "pos"]).select("chr", "hit", (F.col("rank_") - F.col("c") + F.col("in_")).alias("i"), (F.col("upto_") - F.col("h") + F.col("hits_")).alias("cum")))
-    total = line.groupBy("chr").agg(F.count(F.lit(1)).alias("nb"), F.sum("hit").alias("all_hits"))
-    clusters = Tables(background.sparkSession, "tested").cut(clusters)
-    shapes = clusters.select("chr", "n", "n_sig").distinct().join(broadcast_if_small(total), "chr").where("nb >= 2")
-    shapes = shapes.withColumns({"whole": F.floor(F.col("n") / F.col("nb")), "rest": F.col("n") % F.col("nb")})
-    # a window of `rest` markers from rotation i on ends at i + rest - 1, perhaps beyond the end
-    starts = line.select("chr", F.col("i").alias("i0"), (F.col("cum") - F.col("hit")).alias("before")).join(broadcast_if_small(shapes), "chr")
+    spark = background.sparkSession
+    s = background.where("pval IS NOT NULL").select("chr", "marker", "pos", (F.col("pval") <= pcut).cast("bigint").alias("hit"))
+    line = ranked(s, ["chr"], "pos", ["marker"], "i")
+    line = Tables(spark, "rotations").cut(running_sum(line.withColumn("x_", F.col("i")), ["chr"], "x_", "hit", "cum").select("chr", "hit", (F.col("i") + 1).alias("i"), "cum"))
+    total = broadcast_if_small(Tables(spark, "totals").cut(line.groupBy("chr").agg(F.count(F.lit(1)).alias("nb"), F.sum("hit").alias("all_hits"))))
+    clusters = Tables(spark, "tested").cut(clusters)
+    shapes = clusters.select("chr", "n", "n_sig").distinct().join(total, "chr").where("nb >= 2")
+    shapes = Tables(spark, "shapes").cut(shapes.withColumns({"whole": F.floor(F.col("n") / F.col("nb")), "rest": F.col("n") % F.col("nb")}))
+    # one pass over the rotations a window length: a window of `rest` markers from rotation i on ends at i + rest - 1, perhaps beyond the end
+    lengths = shapes.select("chr", "rest", "nb", "all_hits").distinct()
+    starts = line.select("chr", F.col("i").alias("i0"), (F.col("cum") - F.col("hit")).alias("before")).join(broadcast_if_small(lengths, within=shapes), "chr")
     ends = starts.withColumns({"wrapped": F.col("i0") + F.col("rest") - 1 > F.col("nb"), "last": F.pmod(F.col("i0") + F.col("rest") - 2, F.col("nb")) + 1})
     got = ends.join(line.select("chr", F.col("i").alias("last"), F.col("cum").alias("at_last")), ["chr", "last"])
     part = F.when(F.col("rest") == 0, 0).otherwise(F.col("at_last") - F.col("before") + F.when(F.col("wrapped"), F.col("all_hits")).otherwise(0))
-    frac = got.withColumn("hits", F.col("whole") * F.col("all_hits") + part).groupBy("chr", "n", "n_sig").agg((F.count_if(F.col("hits") >= F.col("n_sig")) / F.count(F.lit(1))).alias("frac"))
-    out = clusters.join(broadcast_if_small(frac), ["chr", "n", "n_sig"], "left")
+    # how many rotations of a length have how many hits; every n_sig reads its share from these counts
+    histogram = Tables(spark, "histogram").cut(got.select("chr", "rest", part.alias("hits")).groupBy("chr", "rest", "hits").agg(F.count(F.lit(1)).alias("rotations")))
+    both = shapes.join(broadcast_if_small(histogram), ["chr", "rest"])
+    reached = F.when(F.col("whole") * F.col("all_hits") + F.col("hits") >= F.col("n_sig"), F.col("rotations")).otherwise(0)
+    frac = both.groupBy("chr", "n", "n_sig").agg((F.sum(reached) / F.max("nb")).alias("frac"))
+    out = clusters.join(broadcast_if_small(frac, within=shapes), ["chr", "n", "n_sig"], "left")
     return out.select("cluster", "frac", ((1 + b * F.col("frac")) / (b + 1)).alias("emp_p"))
 
 
@@ -173,7 +176,7 @@ def outlier_clusters(rows: DataFrame, edges: DataFrame, threshold: float | None
     curve = tables.cut(rmsc_curve(r, fdr, grid))
     choice = rmsc_choice(curve).first()
     ok = r.where("pval IS NOT NULL AND ld_w IS NOT NULL")
-    level = choice["threshold"] if threshold is None else ok.agg(F.percentile("ld_w", threshold).alias("t")).first()["t"]
+    level = choice["threshold"] if threshold is None else quantiles(ok, "ld_w", [threshold])[0]
     if level is None:
         raise ValueError("no marker with a p-value and support")
     cand = tables.cut(candidates(r, level, fdr))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ldmill.functions.ordered import blocks_of, ranked, running_sum
 from ldmill.functions.scalar import decayed, palette_index
 from ldmill.operators.emlg import polarized
 from ldmill.session import broadcast_if_small
@@ -91,17 +92,16 @@ def display_order(edges: DataFrame) -> list:
 
 def rolling_median(rows: DataFrame, value: str, half: int = 100) -> DataFrame:
     """``rows`` with ``rolling``: the median over the marker and ``half`` neighbours on either side along its chromosome."""
-    w = Window.partitionBy("chr").orderBy("pos", "marker").rowsBetween(-half, half)
-    near = F.array_sort(F.collect_list(value).over(w))  # at most 2 half + 1 values; nulls are left out
+    near = blocks_of(ranked(rows, ["chr"], "pos", ["marker"], "rk_"), "rk_", half, half)
+    w = Window.partitionBy("chr", "block_").orderBy("rk_").rowsBetween(-half, half)
+    near = near.withColumn("near_", F.array_sort(F.collect_list(value).over(w))).where("own_")  # at most 2 half + 1 values; nulls are left out
     n = F.size("near_")
     at = lambda i: F.element_at("near_", i.cast("int"))
-    return rows.withColumn("near_", near).withColumn("rolling", F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2)).drop("near_")
+    return near.withColumn("rolling", F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2)).drop("near_", "rk_", "block_", "own_")
 
 
 def ecdf(rows: DataFrame, value: str) -> DataFrame:
     """``rows`` with a value, with ``ecdf``: the share of rows at or below it."""
-    from ldmill.functions.ordered import running_sum
-
     ok = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
     counts = ok.groupBy(F.col(value).alias("v_")).agg(F.count(F.lit(1)).alias("n_"))
     total = counts.agg(F.sum("n_").alias("all_"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ldmill.functions.ordered import bh_adjust
+from ldmill.functions.ordered import bh_adjust, quantiles
 from ldmill.functions.scalar import d_from_rho, ld_from_rho
 from ldmill.operators import assoc, cluster, decay, emlg, genmap, genotypes, ldw, outlier, pairs, plotdata, popgen, prune
 from ldmill.operators.graph import connected_components
@@ -571,7 +571,7 @@ _CAND = f"{PVALUES}, ok AS (SELECT * FROM pv WHERE pval IS NOT NULL AND ld_w IS
 def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tables = Tables(spark, "candidates")
     rows = tables.cut(outlier.usable(pvalues(spark, sf_dir)))
-    level = rows.where("pval IS NOT NULL AND ld_w IS NOT NULL").agg(F.percentile("ld_w", 0.5).alias("t")).first()["t"]
+    level = quantiles(rows.where("pval IS NOT NULL"), "ld_w", [0.5])[0]
     return rows, tables.cut(outlier.candidates(rows, level))
 
 

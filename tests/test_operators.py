@@ -4,9 +4,10 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ldmill.functions.numerics import average_linkage, f_tail, pairwise_r2
-from ldmill.functions.ordered import bh_adjust, running_sum
+from ldmill.functions.ordered import bh_adjust, blocks_of, quantiles, ranked, running_sum
 from ldmill.functions.scalar import d_from_rho, ld_from_rho
 from ldmill.operators import assoc, cluster, decay, emlg, genmap, genotypes, graph, ldw, outlier, pairs, plotdata, popgen, prune
 from ldmill.plans import reference_queries
@@ -482,10 +483,29 @@ def test_bh(spark):
 
 def test_running_sum(spark):
     df = pd.DataFrame({"k": np.repeat([1, 2], 300), "o": np.tile(np.arange(300) // 2, 2), "v": 1})
-    got = running_sum(spark.createDataFrame(df), ["k"], "o", "v", "s", buckets=8).toPandas().sort_values(["k", "o"])
+    got = running_sum(spark.createDataFrame(df), ["k"], "o", "v", "s", bucket_rows=40).toPandas().sort_values(["k", "o"])
     assert (got["s"] == (got["o"] + 1) * 2).all()
 
 
+@pytest.mark.parametrize("bucket_rows", [30, 1_000_000])
+def test_ranks_quantiles_and_blocks(spark, bucket_rows):
+    rng = np.random.default_rng(15)
+    pdf = pd.DataFrame({"k": np.where(rng.random(900) < 0.5, "hot", rng.choice(["a", "b"], 900)), "v": np.round(rng.random(900), 2), "t": rng.permutation(900), "in_": 1})
+    pdf.loc[:9, "k"] = None
+    rows = spark.createDataFrame(pdf).withColumn("v", F.when(F.col("t") % 50 != 0, F.col("v")))
+    got = ranked(rows.drop("in_"), ["k"], "v", ["t"], bucket_rows=bucket_rows).toPandas()
+    for _, g in got.groupby("k", dropna=False):
+        assert (g.sort_values(["v", "t"], na_position="last")["rk"] == np.arange(len(g))).all()
+    v = got["v"].dropna().to_numpy()
+    qs = [0.0, 0.1, 0.5, 0.777, 0.95, 1.0]
+    assert quantiles(rows, "v", qs, bucket_rows) == pytest.approx(np.quantile(v, qs)) and quantiles(rows.limit(0), "v", [0.5]) == [None]
+    assert (np.sort(bh_adjust(rows.where("v IS NOT NULL"), "v", "q", bucket_rows=bucket_rows).toPandas()["q"]) == pytest.approx(np.sort(bh_by_hand(v))))
+    one = spark.range(100).withColumn("rk", F.col("id"))
+    w = Window.partitionBy("block_").orderBy("rk").rowsBetween(-7, 3)
+    near = blocks_of(one, "rk", 7, 3, 5).withColumn("n", F.sum("rk").over(w)).where("own_").toPandas().sort_values("rk")
+    assert list(near["n"]) == [sum(range(max(0, i - 7), min(99, i + 3) + 1)) for i in range(100)]
+
+
 def test_rmsc(spark):
     rng = np.random.default_rng(14)
     w = rng.random(2000)
