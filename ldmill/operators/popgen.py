@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ldmill.session import Tables
+
 
 def population_means(geno: DataFrame, keys: list[str]) -> DataFrame:
     """``keys..., pop, n, s, q``: calls, their sum and sum of squares per population; calls without a population are left out."""
@@ -38,95 +36,82 @@ def prepare(geno: DataFrame) -> tuple[DataFrame, DataFrame]:
     return per.select("marker", "pop", (F.col("s") / F.col("n")).alias("mean")), per.groupBy("marker").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
-def population_vectors(geno: DataFrame) -> DataFrame:
-    """``marker, inds, pops, calls``: a marker's calls in the order of individuals."""
-    x = F.sort_array(F.collect_list(F.struct("ind_id", "pop", F.col("dosage").cast("double").alias("g"))))
-    v = geno.where("dosage IS NOT NULL AND pop IS NOT NULL").groupBy("marker").agg(x.alias("x"))
-    return v.select("marker", F.col("x.ind_id").alias("inds"), F.col("x.pop").cast("array<string>").alias("pops"), F.col("x.g").alias("calls"))
+STATES = [(0, 0), (0, 2), (2, 0), (2, 2)]  # both loci's first or second allele
 
 
-def _one_locus(g: np.ndarray, k: np.ndarray) -> tuple[float, float]:
-    """R2 by population and Fst of one locus, for population codes k."""
-    if len(g) < 3 or g.min() == g.max() or len(np.unique(k)) < 2:
-        return np.nan, np.nan
-    n, s = np.bincount(k), np.bincount(k, g)
-    n, s = n[n > 0], s[n > 0]
-    p, pt = s / n / 2, g.mean() / 2
-    ht = 2 * pt * (1 - pt)
-    fst = max(0.0, min(1.0, (ht - (n * 2 * p * (1 - p)).sum() / n.sum()) / ht)) if ht > 0 else np.nan
-    total = ((g - g.mean()) ** 2).sum()
-    return (n * (s / n - g.mean()) ** 2).sum() / total, fst
+def _by_population(geno: DataFrame) -> DataFrame:
+    """``marker, pop, n, s, q, lo, hi, carry0 .. carry2``: sums of a marker's calls in a population, and who carries 0, 1 and 2 of the counted allele there."""
+    x = F.col("dosage").cast("double")
+    carriers = [F.collect_list(F.when(x == i, F.col("ind_id"))).alias(f"carry{i}") for i in range(3)]
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi")]
+    return geno.where("dosage IS NOT NULL AND pop IS NOT NULL").groupBy("marker", "pop").agg(*sums, *carriers)
 
 
-def ohta_pair(i1: np.ndarray, g1: np.ndarray, p1: np.ndarray, i2: np.ndarray, g2: np.ndarray, p2: np.ndarray, tot_maf: float, pop_maf: float, variant: str = "fast") -> dict:
-    """Ohta's statistics of one pair of loci from its calls (individuals in order, population labels). All nan where the loci or every population are too rare.
+def _locus(side: int) -> list[Column]:
+    """Sums over a pair's kept populations from which one of its loci has its R2 by population and Fst."""
+    n, s, q = (F.col(f"{c}{side}") for c in ("n", "s", "q"))
+    p = s / (2 * n)
+    return [F.sum(n).alias(f"N{side}"), F.sum(s).alias(f"S{side}"), F.sum(q).alias(f"Q{side}"), F.sum(s * s / n).alias(f"B{side}"), F.sum(n * 2 * p * (1 - p)).alias(f"W{side}"), F.min(f"lo{side}").alias(f"LO{side}"), F.max(f"hi{side}").alias(f"HI{side}"), F.count(F.lit(1)).alias(f"K{side}")]
 
-    ``variant='original'`` scales the two primed components by four (sums over the four states instead of their means).
-    """
-    out = dict.fromkeys(["n_pops", "r2", "r2_pop_mean", "fst_mean", "d2it", "d2is", "d2st", "dp2st", "dp2is"], np.nan)
-    low, plow = 2 * tot_maf, 2 * pop_maf
-    if not len(g1) or not len(g2) or not all(low <= g.mean() <= 2 - low for g in (g1, g2)):
-        return out
-    names, code = np.unique(np.concatenate([p1, p2]), return_inverse=True)
-    k1, k2 = code[: len(p1)], code[len(p1) :]
-    means = []
-    for g, k in ((g1, k1), (g2, k2)):
-        n = np.bincount(k, minlength=len(names))
-        with np.errstate(invalid="ignore"):
-            means.append(np.bincount(k, g, minlength=len(names)) / np.where(n > 0, n, np.nan))
-    keep = (means[0] >= plow) & (means[0] <= 2 - plow) & (means[1] >= plow) & (means[1] <= 2 - plow)
-    if not keep.any():
-        return out
-    a, b = keep[k1], keep[k2]
-    single = [_one_locus(g1[a], k1[a]), _one_locus(g2[b], k2[b])]
-    with np.errstate(invalid="ignore"):
-        for name, at in (("r2_pop_mean", 0), ("fst_mean", 1)):
-            v = [x[at] for x in single if np.isfinite(x[at])]
-            out[name] = float(np.mean(v)) if v else np.nan
-    common, x, y = np.intersect1d(i1[a], i2[b], assume_unique=True, return_indices=True)
-    x, y, k = g1[a][x], g2[b][y], k1[a][x]
-    if not len(common):
-        return dict.fromkeys(out, np.nan)
-    if len(common) >= 3 and x.std() > 0 and y.std() > 0:
-        out["r2"] = float(np.corrcoef(x, y)[0, 1] ** 2)
-    n = np.bincount(k, minlength=len(names)).astype(float)
-    good = n > 0
-    at = np.stack([np.bincount(k, (x == i) & (y == j), minlength=len(names)) for i in range(3) for j in range(3)], axis=1)[good].reshape(-1, 3, 3)
-    n = n[good]
-    # rows: populations; states: both loci's first or second allele
-    half = at[:, 1, 1] / 2
-    t = np.stack([2 * at[:, u, v] + at[:, u, 1] + at[:, 1, v] + half for u in (0, 2) for v in (0, 2)], axis=1) / n[:, None]
-    q1, q2 = np.bincount(k, x, minlength=len(names))[good] / (2 * n), np.bincount(k, y, minlength=len(names))[good] / (2 * n)
-    f1, f2 = np.stack([1 - q1, q1], axis=1), np.stack([1 - q2, q2], axis=1)
-    expected = 2 * (f1[:, :, None] * f2[:, None, :]).reshape(-1, 4)
-    pooled = 2 * (f1.mean(axis=0)[:, None] * f2.mean(axis=0)[None, :]).reshape(4)
-    pops, scale = len(n), 1 if variant == "original" else 4
-    out |= {"n_pops": pops, "d2is": ((t - expected) ** 2).sum() / pops, "d2it": ((t - pooled) ** 2).sum() / pops, "d2st": ((expected - pooled) ** 2).sum() / 4 / pops, "dp2st": ((t.mean(axis=0) - pooled) ** 2).sum() / scale, "dp2is": ((t - t.mean(axis=0)) ** 2).sum() / pops / scale}
-    return out
+
+def _locus_stats(side: int) -> tuple[Column, Column]:
+    n, s, q, b, w = (F.col(f"{c}{side}") for c in "NSQBW")
+    ok = (n >= 3) & (F.col(f"K{side}") >= 2) & (F.col(f"LO{side}") < F.col(f"HI{side}"))
+    pt = s / (2 * n)
+    ht = 2 * pt * (1 - pt)
+    return F.when(ok, (b - s * s / n) / (q - s * s / n)), F.when(ok & (ht > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (ht - w / n) / ht)))
 
 
 def ohta_scan(pairs: DataFrame, geno: DataFrame, tot_maf: float = 0.1, pop_maf: float = 0.05, variant: str = "fast") -> DataFrame:
     """Ohta's statistics, r2, mean R2 by population and mean Fst for every row of ``pairs (snp1, snp2)``, rounded to 6 places; null where undefined.
 
-    Each marker's calls are packed into one row, so a pair moves two vectors; pairs are independent tasks' work in batches.
+    ``geno`` has hard calls, one a marker and individual. Populations in which both loci vary enough count; all is null if either locus is too rare or no population is left.
+    ``variant='original'`` scales the two primed components by four (sums over the four states instead of their means).
+
+    A marker and population is one row with its carriers, so a pair moves two short lists a population; counts of common carriers give every sum, in one aggregate by pair.
     """
     if variant not in ("fast", "original"):
         raise ValueError(f"unknown variant {variant}")
-    v = population_vectors(geno)
-    one = v.select(*[F.col(c).alias(f"{c}1") for c in v.columns]).withColumnRenamed("marker1", "snp1")
-    two = v.select(*[F.col(c).alias(f"{c}2") for c in v.columns]).withColumnRenamed("marker2", "snp2")
-    rows = pairs.select("snp1", "snp2").join(one, "snp1").join(two, "snp2")
-    names = ["n_pops", "r2", "r2_pop_mean", "fst_mean", "d2it", "d2is", "d2st", "dp2st", "dp2is"]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [ohta_pair(*(np.asarray(r[c]) for c in ("inds1", "calls1", "pops1", "inds2", "calls2", "pops2")), tot_maf, pop_maf, variant) for r in b.to_dict("records")]
-            out = pd.DataFrame(got, columns=names).astype(float).round(6)
-            yield pd.concat([b[["snp1", "snp2"]].reset_index(drop=True), out], axis=1)
-
-    kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    out = rows.mapInPandas(scan, f"snp1 {kind['snp1']}, snp2 {kind['snp2']}, " + ", ".join(f"{n} double" for n in names))
-    return out.select("snp1", "snp2", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
+    v = Tables(geno.sparkSession, "populations").cut(_by_population(geno))
+    mean = v.groupBy("marker").agg((F.sum("s") / F.sum("n")).alias("m")).where(F.col("m").between(2 * tot_maf, 2 - 2 * tot_maf)).select("marker")
+    common = v.join(mean, "marker", "left_semi").where((F.col("s") / F.col("n")).between(2 * pop_maf, 2 - 2 * pop_maf))
+    one = common.select(F.col("marker").alias("snp1"), "pop", *[F.col(c).alias(f"{c}1") for c in v.columns if c not in ("marker", "pop")])
+    two = common.select(F.col("marker").alias("snp2"), "pop", *[F.col(c).alias(f"{c}2") for c in v.columns if c not in ("marker", "pop")])
+    both = pairs.select("snp1", "snp2").distinct().join(one, "snp1").join(two, ["snp2", "pop"])
+    n = [[F.col(f"n{i}{j}") for j in range(3)] for i in range(3)]
+    counted = both.withColumns({f"n{i}{j}": F.size(F.array_intersect(f"carry{i}1", f"carry{j}2")).cast("double") for i in range(3) for j in range(3)})
+    per = counted.withColumn("n", sum((n[i][j] for i in range(3) for j in range(3)), F.lit(0.0)))
+    x = [sum((n[i][j] for j in range(3)), F.lit(0.0)) for i in range(3)]
+    y = [sum((n[i][j] for i in range(3)), F.lit(0.0)) for j in range(3)]
+    # second alleles of both loci, and for each state the gametes that show it and the product of its frequencies
+    per = per.withColumns({"x1": x[1] + 2 * x[2], "xx": x[1] + 4 * x[2], "y1": y[1] + 2 * y[2], "yy": y[1] + 4 * y[2], "xy": n[1][1] + 2 * n[1][2] + 2 * n[2][1] + 4 * n[2][2]})
+    there = per.withColumn("has", F.col("n") > 0)
+    p2, q2 = F.col("x1") / (2 * F.col("n")), F.col("y1") / (2 * F.col("n"))
+    f, g = {0: 1 - p2, 2: p2}, {0: 1 - q2, 2: q2}
+    values = {f"t{a}{b}": (2 * n[a][b] + n[a][1] + n[1][b] + n[1][1] / 2) / F.col("n") for a, b in STATES} | {f"e{a}{b}": 2 * f[a] * g[b] for a, b in STATES} | {"fx": p2, "fy": q2}
+    there = there.withColumns({k: F.when(F.col("has"), c) for k, c in values.items()})
+    sums = [F.sum(c).alias(f"S_{c}") for c in ("n", "x1", "xx", "y1", "yy", "xy", "fx", "fy")] + [F.count_if("has").alias("k")]
+    for a, b in STATES:
+        t, e = F.col(f"t{a}{b}"), F.col(f"e{a}{b}")
+        sums += [F.sum(t).alias(f"T{a}{b}"), F.sum(t * t).alias(f"TT{a}{b}"), F.sum(e).alias(f"E{a}{b}"), F.sum(e * e).alias(f"EE{a}{b}"), F.sum((t - e) * (t - e)).alias(f"TE{a}{b}")]
+    s = there.groupBy("snp1", "snp2").agg(*sums, *_locus(1), *_locus(2)).where("k > 0")
+    k = F.col("k")
+    pm, qm = F.col("S_fx") / k, F.col("S_fy") / k
+    pf, qf = {0: 1 - pm, 2: pm}, {0: 1 - qm, 2: qm}
+    total = lambda term: sum((term(f"{a}{b}", 2 * pf[a] * qf[b]) for a, b in STATES), F.lit(0.0))
+    scale = 1 if variant == "original" else 4
+    d2it = total(lambda c, pool: F.col(f"TT{c}") - 2 * pool * F.col(f"T{c}") + k * pool * pool) / k
+    d2st = total(lambda c, pool: F.col(f"EE{c}") - 2 * pool * F.col(f"E{c}") + k * pool * pool) / k / 4
+    dp2st = total(lambda c, pool: (F.col(f"T{c}") / k - pool) * (F.col(f"T{c}") / k - pool)) / scale
+    dp2is = total(lambda c, pool: F.col(f"TT{c}") - F.col(f"T{c}") * F.col(f"T{c}") / k) / k / scale
+    d2is = total(lambda c, pool: F.col(f"TE{c}")) / k
+    vx, vy = F.expr("S_n * S_xx - S_x1 * S_x1"), F.expr("S_n * S_yy - S_y1 * S_y1")
+    r2 = F.when((F.col("S_n") >= 3) & (vx > 0) & (vy > 0), F.pow(F.expr("S_n * S_xy - S_x1 * S_y1"), 2) / vx / vy)
+    (ra, fa), (rb, fb) = _locus_stats(1), _locus_stats(2)
+    mean_of = lambda a, b: F.coalesce((a + b) / 2, a, b)
+    out = s.select("snp1", "snp2", k.cast("double").alias("n_pops"), r2.alias("r2"), mean_of(ra, rb).alias("r2_pop_mean"), mean_of(fa, fb).alias("fst_mean"), d2it.alias("d2it"), d2is.alias("d2is"), d2st.alias("d2st"), dp2st.alias("dp2st"), dp2is.alias("dp2is"))
+    names = [c for c in out.columns if c not in ("snp1", "snp2")]
+    return pairs.select("snp1", "snp2").join(out.select("snp1", "snp2", *[F.round(c, 6).alias(c) for c in names]), ["snp1", "snp2"], "left")
 
 
 def joint_counts(pairs: DataFrame, geno: DataFrame) -> DataFrame:

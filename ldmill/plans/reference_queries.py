@@ -492,19 +492,25 @@ _OHTA = f"""
     av AS (SELECT snp1, snp2, st, count(*) AS k, avg(t) AS tb, 2 * avg(fi) * avg(fj) AS pb FROM lo GROUP BY ALL),
     d AS (SELECT snp1, snp2, max(k) AS n_pops, sum((t - pb) * (t - pb)) / max(k) AS d2it, sum((t - p) * (t - p)) / max(k) AS d2is, sum((p / 2 - pb / 2) * (p / 2 - pb / 2)) / max(k) AS d2st,
           sum((tb - pb) * (tb - pb)) / max(k) / 4 AS dp2st, sum((t - tb) * (t - tb)) / max(k) / 4 AS dp2is FROM lo JOIN av USING (snp1, snp2, st) GROUP BY snp1, snp2),
-    rr AS (SELECT snp1, snp2, CASE WHEN count(*) >= 3 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN pow(corr(x, y), 2) END AS r2 FROM jo GROUP BY snp1, snp2)
-    SELECT snp1, snp2, CAST(n_pops AS DOUBLE) AS n_pops, round(d2it, 6) AS d2it, round(d2is, 6) AS d2is, round(d2st, 6) AS d2st, round(dp2st, 6) AS dp2st, round(dp2is, 6) AS dp2is, round(r2, 6) AS r2
-    FROM prs LEFT JOIN d USING (snp1, snp2) LEFT JOIN rr USING (snp1, snp2)"""
+    rr AS (SELECT snp1, snp2, CASE WHEN count(*) >= 3 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN pow(corr(x, y), 2) END AS r2 FROM jo GROUP BY snp1, snp2),
+    ps AS (SELECT marker, pop, CAST(count(*) AS DOUBLE) AS n, CAST(sum(dosage) AS DOUBLE) AS s, CAST(sum(dosage * dosage) AS DOUBLE) AS q, min(dosage) AS lo, max(dosage) AS hi FROM c GROUP BY marker, pop),
+    sd AS (SELECT kp.*, 1 AS side, ps.* EXCLUDE (marker, pop) FROM kp JOIN ps ON ps.marker = snp1 AND ps.pop = kp.pop UNION ALL SELECT kp.*, 2, ps.* EXCLUDE (marker, pop) FROM kp JOIN ps ON ps.marker = snp2 AND ps.pop = kp.pop),
+    ls AS (SELECT snp1, snp2, side, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b, sum(n * 2 * (s / (2 * n)) * (1 - s / (2 * n))) AS w, min(lo) < max(hi) AND sum(n) >= 3 AND count(*) >= 2 AS ok FROM sd GROUP BY ALL),
+    lm AS (SELECT snp1, snp2, avg(CASE WHEN ok THEN (b - s * s / n) / (q - s * s / n) END) AS r2_pop_mean,
+        avg(CASE WHEN ok AND s / (2 * n) * (1 - s / (2 * n)) > 0 THEN greatest(0, least(1, (2 * (s / (2 * n)) * (1 - s / (2 * n)) - w / n) / (2 * (s / (2 * n)) * (1 - s / (2 * n))))) END) AS fst_mean FROM ls GROUP BY ALL)
+    SELECT snp1, snp2, CAST(n_pops AS DOUBLE) AS n_pops, round(d2it, 6) AS d2it, round(d2is, 6) AS d2is, round(d2st, 6) AS d2st, round(dp2st, 6) AS dp2st, round(dp2is, 6) AS dp2is, round(r2, 6) AS r2,
+        CASE WHEN n_pops > 0 THEN round(r2_pop_mean, 6) END AS r2_pop_mean, CASE WHEN n_pops > 0 THEN round(fst_mean, 6) END AS fst_mean
+    FROM prs LEFT JOIN d USING (snp1, snp2) LEFT JOIN rr USING (snp1, snp2) LEFT JOIN lm USING (snp1, snp2)"""
 
 
 @query(_OHTA)
 def ohta_d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return popgen.ohta_scan(_near_pairs(spark, sf_dir), calls(spark, sf_dir)).drop("r2_pop_mean", "fst_mean")
+    return popgen.ohta_scan(_near_pairs(spark, sf_dir), calls(spark, sf_dir))
 
 
 @query(_OHTA.replace(" / max(k) / 4 AS dp2st", " / max(k) AS dp2st").replace(" / max(k) / 4 AS dp2is", " / max(k) AS dp2is"))
 def ohta_original(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return popgen.ohta_scan(_near_pairs(spark, sf_dir), calls(spark, sf_dir), variant="original").drop("r2_pop_mean", "fst_mean")
+    return popgen.ohta_scan(_near_pairs(spark, sf_dir), calls(spark, sf_dir), variant="original")
 
 
 # association
