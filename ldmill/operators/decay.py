@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,6 +14,7 @@ from ldmill.functions.scalar import d_from_rho, decayed, log_stratum, pair_hash
 from ldmill.operators.genotypes import allele_frequencies
 from ldmill.operators.pairs import edge_list
 from ldmill.session import Tables, broadcast_if_small, figure
+from ldmill.sources.tables import read_edges, write_edges
 
 
 def sampled_markers(geno: DataFrame, n_sub: int, min_maf: float) -> DataFrame:
@@ -22,7 +23,8 @@ def sampled_markers(geno: DataFrame, n_sub: int, min_maf: float) -> DataFrame:
     sizes = ok.groupBy("chr").agg(F.count(F.lit(1)).alias("n_chr"))
     total = sizes.agg(F.sum("n_chr").alias("n_all"))
     quota = sizes.crossJoin(F.broadcast(total)).withColumn("quota", F.ceil(F.lit(n_sub) * F.col("n_chr") / F.col("n_all")))  # one row of totals
-    placed = ranked(ok.withColumn("hash", pair_hash(F.col("snp_idx"))), ["chr"], "hash", ["snp_idx"], "rank")
+    own = F.crc32(F.col("snp_idx").cast("binary")) if ok.schema["snp_idx"].dataType.simpleString() == "string" else F.col("snp_idx")
+    placed = ranked(ok.withColumn("hash", pair_hash(own)), ["chr"], "hash", ["snp_idx"], "rank")
     return placed.join(broadcast_if_small(quota), "chr").where("rank < quota").select("chr", "snp_idx")
 
 
@@ -43,7 +45,7 @@ def chromosome_scale(markers: DataFrame, slide: int = 1000, n_win: int = 20, ove
 
 def decay_pairs(edges: DataFrame, scale: DataFrame, maf: DataFrame | None = None, min_maf: float = 0.1) -> DataFrame:
     """The pairs that curves are fitted to: within a chromosome, 0 < d < window_size, both markers' maf above ``min_maf`` (``maf (marker, maf)``, optional)."""
-    e = edges.where("chr1 = chr2 AND d > 0")
+    e = edges.where("chr1 = chr2 AND d > 0").select("snp1", "snp2", "chr1", "pos1", "pos2", "d", "r2")
     if maf is not None:
         ok = maf.where(F.col("maf") > min_maf).select("marker")
         e = e.join(ok.withColumnRenamed("marker", "snp1"), "snp1", "left_semi").join(ok.withColumnRenamed("marker", "snp2"), "snp2", "left_semi")
@@ -57,7 +59,8 @@ def windowed(pairs: DataFrame, min_pairs: int = 100) -> DataFrame:
     Windows start every ``step`` from the first position on, while they end within the last; they are regular, so a pair's windows are computed, not joined.
     """
     lo, hi = F.least("pos1", "pos2"), F.greatest("pos1", "pos2")
-    ends = broadcast_if_small(pairs.groupBy("chr").agg(F.min(lo).alias("p0"), F.max(hi).alias("p1")))
+    tables = Tables(pairs.sparkSession, "windows")
+    ends = broadcast_if_small(tables.cut(pairs.groupBy("chr").agg(F.min(lo).alias("p0"), F.max(hi).alias("p1"))))
     p = pairs.join(ends, "chr")
     last = F.floor((F.col("p1") - F.col("window_size") - F.col("p0")) / F.col("step"))
     first_i = F.greatest(F.lit(0), F.floor((hi - F.col("window_size") - F.col("p0")) / F.col("step")) + 1)
@@ -65,23 +68,24 @@ def windowed(pairs: DataFrame, min_pairs: int = 100) -> DataFrame:
     p = p.withColumn("i0", first_i).withColumn("i1", last_i).where("i0 <= i1").withColumn("win", F.explode(F.sequence("i0", "i1")))
     p = p.withColumn("start", F.col("p0") + F.col("win") * F.col("step")).withColumn("end", F.col("start") + F.col("window_size"))
     p = p.where((lo >= F.col("start")) & (hi < F.col("end")))
-    counts = p.groupBy("chr", "win").agg(F.count(F.lit(1)).alias("n_pairs")).where(F.col("n_pairs") > min_pairs)
+    counts = tables.cut(p.groupBy("chr", "win").agg(F.count(F.lit(1)).alias("n_pairs")).where(F.col("n_pairs") > min_pairs))
     return p.join(broadcast_if_small(counts), ["chr", "win"]).select("chr", "win", "start", "end", "pos1", "pos2", "d", "r2", "n_pairs")
 
 
 def strata(pairs: DataFrame, q: float = 0.95, max_pairs: int = 5000, n_strata: int = 20, min_rows: int = 100, min_strata: int = 10) -> DataFrame:
     """``chr, win, stratum, d_mid, r2_q, n``: per window and log-distance stratum the geometric mean distance and the q-quantile of r2, each stratum
     capped at ``floor(min(N, max_pairs) / n_strata)`` pairs by hash rank; windows left with too few pairs or strata fall out."""
-    by_window = pairs.groupBy("chr", "win").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.floor(F.least(F.count(F.lit(1)), F.lit(max_pairs)) / n_strata).alias("cap"))
+    tables = Tables(pairs.sparkSession, "strata")
+    by_window = tables.cut(pairs.groupBy("chr", "win").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.floor(F.least(F.count(F.lit(1)), F.lit(max_pairs)) / n_strata).alias("cap")))
     p = pairs.join(broadcast_if_small(by_window), ["chr", "win"]).withColumn("stratum", log_stratum(F.col("d").cast("double"), F.col("d0").cast("double"), F.col("d1").cast("double"), n_strata))
-    p = p.withColumn("hash", pair_hash(F.col("pos1"), F.col("pos2")))
+    p = tables.cut(p.select("chr", "win", "stratum", "cap", "pos1", "pos2", "d", "r2", pair_hash(F.col("pos1"), F.col("pos2")).alias("hash")))
     # only hashes that can be among the first cap of their stratum are ranked: those up to a quantile with room to spare, or all where that leaves too few
     sizes = p.groupBy("chr", "win", "stratum").agg(F.count(F.lit(1)).alias("all_"), F.max("cap").alias("cap_"))
     bound = F.when(F.col("all_") > 2 * F.col("cap_"), (F.col("cap_") + 8 * F.sqrt("cap_") + 64) / F.col("all_") * float(2**32)).otherwise(float(2**32))
-    low = p.join(broadcast_if_small(sizes.withColumn("bound_", bound).drop("cap_")), ["chr", "win", "stratum"])
-    near = low.groupBy("chr", "win", "stratum").agg(F.count_if(F.col("hash") < F.col("bound_")).alias("below_"))
-    first = low.join(broadcast_if_small(near), ["chr", "win", "stratum"]).where("hash < bound_ OR below_ < cap")
-    kept = ranked(first, ["chr", "win", "stratum"], "hash", ["pos1", "pos2"], "rank").where("rank < cap")
+    sizes = broadcast_if_small(tables.cut(sizes.select("chr", "win", "stratum", bound.alias("bound_"))))
+    near = p.join(sizes, ["chr", "win", "stratum"]).groupBy("chr", "win", "stratum").agg(F.max("bound_").alias("bound_"), F.count_if(F.col("hash") < F.col("bound_")).alias("below_"))
+    first = p.join(broadcast_if_small(tables.cut(near)), ["chr", "win", "stratum"]).where("hash < bound_ OR below_ < cap")
+    kept = ranked(first.drop("bound_", "below_"), ["chr", "win", "stratum"], "hash", ["pos1", "pos2"], "rank").where("rank < cap")
     s = kept.groupBy("chr", "win", "stratum").agg(F.exp(F.avg(F.log("d"))).alias("d_mid"), F.percentile("r2", q).alias("r2_q"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("chr", "win")
     return s.withColumns({"rows_": F.sum("n").over(w), "strata_": F.count(F.lit(1)).over(w)}).where((F.col("rows_") >= min_rows) & (F.col("strata_") >= min_strata)).drop("rows_", "strata_")
@@ -91,21 +95,43 @@ def rate_grid(low: float = 1e-8, high: float = 1e2, points: int = 241) -> list[f
     return [float(f"{x:.12g}") for x in np.exp(np.linspace(np.log(low), np.log(high), points))]
 
 
-def grid_fit(strata_: DataFrame, b: float | None = None, grid: list[float] | None = None) -> DataFrame:
-    """``chr, win, a, b, c, sse``: the curve b + (c - b) / (1 + a d) with weights sqrt(n), c within b..1, a on a log grid.
+def fit_curves(strata_: DataFrame, b: float | None = None, grid: list[float] | None = None, steps: int = 40) -> DataFrame:
+    """``chr, win, a, b, c, sse``: the curve b + (c - b) / (1 + a d) with weights sqrt(n), c within b..1, of least weighted error.
 
-    For a given a the best c has a closed form; so every grid point costs five sums, and the smallest weighted error wins (the smaller a of equals).
+    For a given a the best c has a closed form. The best point of a log grid (the smaller a of equals) is refined by halving the interval between its neighbours ``steps``
+    times towards the zero of the error's slope, where c is above b. A window's strata (at most ``n_strata`` of them) meet in one row, so all fits are column expressions.
     ``b``: one background level, or null to take column ``b`` of the strata.
     """
     s = strata_ if b is None else strata_.withColumn("b", F.lit(float(b)))
-    s = s.withColumns({"w": F.sqrt(F.col("n").cast("double")), "a": F.explode(F.array(*[F.lit(x) for x in grid or rate_grid()]))})
-    g = 1 / (1 + F.col("a") * F.col("d_mid"))
-    s = s.withColumn("g", g).withColumn("z", F.col("r2_q") - F.col("b") * (1 - F.col("g")))
-    sums = s.groupBy("chr", "win", "b", "a").agg(F.sum(F.expr("w * g * z")).alias("gz"), F.sum(F.expr("w * g * g")).alias("gg"), F.sum(F.expr("w * z * z")).alias("zz"))
-    c = F.greatest("b", F.least(F.lit(1.0), F.col("gz") / F.col("gg")))
-    sums = sums.withColumn("c", c).withColumn("sse", F.expr("round(zz - 2 * c * gz + c * c * gg, 12)"))
-    best = sums.groupBy("chr", "win", "b").agg(F.min(F.struct("sse", "a", "c")).alias("m"))
-    return best.select("chr", "win", "m.a", "b", "m.c", "m.sse")
+    points = [float(x) for x in grid or rate_grid()]
+    x = F.struct(F.col("d_mid").alias("d"), F.col("r2_q").alias("r"), F.sqrt(F.col("n").cast("double")).alias("w"))
+    rows = s.groupBy("chr", "win", "b").agg(F.sort_array(F.collect_list(x)).alias("s"))
+
+    def sums(a: Column) -> Column:
+        """Over a window's strata: c's closed form (gz, gg), the error (zz) and its slope in a (dz, dg)."""
+        g = lambda e: 1 / (1 + a * e["d"])
+        z = lambda e: e["r"] - F.col("b") * (1 - g(e))
+        terms = {"gz": lambda e: e["w"] * g(e) * z(e), "gg": lambda e: e["w"] * g(e) * g(e), "zz": lambda e: e["w"] * z(e) * z(e), "dz": lambda e: e["w"] * e["d"] * g(e) * g(e) * z(e), "dg": lambda e: e["w"] * e["d"] * g(e) * g(e) * g(e)}
+        return F.aggregate("s", F.struct(*[F.lit(0.0).alias(k) for k in terms]), lambda acc, e: F.struct(*[(acc[k] + f(e)).alias(k) for k, f in terms.items()]))
+
+    best_c = lambda t: F.greatest(F.col("b"), F.least(F.lit(1.0), t["gz"] / t["gg"]))
+    error = lambda t, c: t["zz"] - 2 * c * t["gz"] + c * c * t["gg"]
+    all_ = F.array(*[F.lit(p) for p in points])
+    tried = F.transform(F.transform(all_, lambda a: F.struct(a.alias("a"), sums(a).alias("t"))), lambda y: F.struct(F.round(error(y["t"], best_c(y["t"])), 12).alias("sse"), y["a"].alias("a"), best_c(y["t"]).alias("c")))
+    rows = rows.withColumn("m", F.array_min(tried))
+    near = F.array_position(all_, F.col("m.a")).cast("int")
+    rows = rows.withColumns({"lo": F.element_at(all_, F.greatest(F.lit(1), near - 1)), "hi": F.element_at(all_, F.least(F.lit(len(points)), near + 1))})
+    # slope of the error: negative left of the optimum
+    up = lambda t: t["dz"] - best_c(t) * t["dg"] > 0
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.sqrt(at["lo"] * at["hi"])
+        return F.transform(F.array(sums(mid)), lambda t: F.struct(F.when(up(t), at["lo"]).otherwise(mid).alias("lo"), F.when(up(t), mid).otherwise(at["hi"]).alias("hi")))[0]
+
+    ends = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct("lo", "hi"), halve)
+    rows = rows.withColumn("e", F.when(F.col("m.c") > F.col("b"), ends)).withColumn("a", F.coalesce(F.sqrt(F.col("e.lo") * F.col("e.hi")), F.col("m.a")))
+    rows = rows.withColumn("t", sums(F.col("a"))).withColumn("c", best_c(F.col("t")))
+    return rows.select("chr", "win", "a", "b", "c", F.round(error(F.col("t"), F.col("c")), 12).alias("sse"))
 
 
 def with_regime(fits: DataFrame, weak: float = 0.05) -> DataFrame:
@@ -188,7 +214,7 @@ def curve_points(params: DataFrame, points: int = 200) -> DataFrame:
 class LDDecay:
     """The result of the whole decay analysis; DataFrames stay lazy."""
 
-    edges: DataFrame
+    edges: DataFrame | None
     windows: DataFrame
     fits: DataFrame
     summary: DataFrame
@@ -200,24 +226,35 @@ class LDDecay:
 
     def __repr__(self) -> str:
         p = self.params
-        return f"LDDecay(b={self.b:.4g}, q={p['q']}, windows a chromosome={p['n_win']}, slide={p['slide']}, size model slope={self.model.slope})"
+        return f"LDDecay(b={self.b:.4g}, q={p['q']}, windows a chromosome={p['n_win']}, slide={p['slide']}, markers a chromosome={p['max_snps'] or 'all'}, size model slope={self.model.slope})"
 
 
-def compute_decay(geno: DataFrame, q: float = 0.95, n_sub_bg: int = 5000, n_win: int = 20, overlap: float = 0.5, slide: int = 1000, method: str = "corr", max_pairs: int = 5000, n_strata: int = 20, prob_robust: float = 0.95, rho_targets: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), min_maf: float = 0.1, min_pairs: int = 100) -> LDDecay:
-    """Background, edges, windows, fits, summary, size model and recommendation from genotypes, in one call."""
+def compute_decay(geno: DataFrame, q: float = 0.95, n_sub_bg: int = 5000, n_win: int = 20, overlap: float = 0.5, slide: int = 1000, method: str = "corr", max_pairs: int = 5000, n_strata: int = 20, prob_robust: float = 0.95, rho_targets: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), min_maf: float = 0.1, min_pairs: int = 100, min_strata: int = 10, max_snps: int | None = None, keep_edges: bool = True, edge_folder: str | None = None) -> LDDecay:
+    """Background, edges, windows, fits, summary, size model and recommendation from genotypes, in one call.
+
+    ``max_snps``: fit to the pairs among so many markers a chromosome, drawn by hash; edges are still those of all markers. ``edge_folder``: where the edges are stored, one
+    part a chromosome, and read again, here and by later calls of other operators. ``keep_edges=False`` leaves them out of the result.
+    """
     b = background_ld(geno, q, n_sub_bg, min_maf).first()["b"]
     if b is None:
         raise ValueError("no pair of markers on different chromosomes")
     edges = edge_list(geno, slide, method)
-    scale = chromosome_scale(geno.select("chr", "pos", "snp_idx").distinct(), slide, n_win, overlap)
-    maf = allele_frequencies(geno).select(F.col("snp_idx").alias("marker"), "maf")
-    windows = windowed(decay_pairs(edges, scale, maf, min_maf), min_pairs)
-    fits = with_regime(grid_fit(strata(windows, q, max_pairs, n_strata), b))
+    if edge_folder is not None:
+        write_edges(edges, edge_folder)
+        edges = read_edges(geno.sparkSession, edge_folder)
+    else:
+        edges = Tables(geno.sparkSession, "edges").cut(edges)
+    scale = Tables(geno.sparkSession, "scale").cut(chromosome_scale(geno.select("chr", "pos", "snp_idx").distinct(), slide, n_win, overlap))
+    maf = allele_frequencies(geno).select("chr", F.col("snp_idx").alias("marker"), "maf")
+    if max_snps is not None:
+        maf = ranked(maf.where(F.col("maf") > min_maf).withColumn("hash", F.xxhash64("marker")), ["chr"], "hash", ["marker"], "rank").where(F.col("rank") < max_snps)
+    windows = windowed(decay_pairs(edges, scale, maf.select("marker", "maf"), min_maf), min_pairs)
+    fits = Tables(geno.sparkSession, "fits").cut(with_regime(fit_curves(strata(windows, q, max_pairs, n_strata, min_strata=min_strata), b)))
     summary = summarize(fits.where("regime = 'structured'"), prob_robust).join(broadcast_if_small(scale), "chr")
     summary, model = size_model(summary)
     summary = reached_rho(summary)
     targets = slide_targets(summary, list(rho_targets))
-    return LDDecay(edges, windows, fits, summary, targets, recommendation(targets), model, b, {"q": q, "n_win": n_win, "overlap": overlap, "slide": slide, "method": method, "prob_robust": prob_robust})
+    return LDDecay(edges if keep_edges else None, windows, fits, summary, targets, recommendation(targets), model, b, {"q": q, "n_win": n_win, "overlap": overlap, "slide": slide, "method": method, "prob_robust": prob_robust, "max_snps": max_snps})
 
 
 def recommend_slide(geno: DataFrame, rho: float = 0.95, first_slide: int = 200, **settings) -> int:

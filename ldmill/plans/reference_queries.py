@@ -181,18 +181,58 @@ def decay_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRID = decay.rate_grid(1e-7, 1e-2, 61)
 
 
-@query(f"""
-    WITH {_STRATA}, grid AS (SELECT unnest([{dbl(_GRID)}]) AS a),
-    t AS (SELECT chr, win, a, sqrt(CAST(n AS DOUBLE)) AS w, 1 / (1 + a * d_mid) AS g, r2_q, CAST(0.02 AS DOUBLE) AS b FROM strata, grid),
-    u AS (SELECT chr, win, a, b, sum(w * g * (r2_q - b * (1 - g))) AS gz, sum(w * g * g) AS gg, sum(w * (r2_q - b * (1 - g)) * (r2_q - b * (1 - g))) AS zz FROM t GROUP BY chr, win, a, b),
+def _fit_sql(grid: list[float], background: str) -> str:
+    """Fits of the windows in ``strata``: the best point of the grid, refined between its neighbours by 40 halvings towards the zero of the error's slope."""
+    return f"""
+    sb AS MATERIALIZED (SELECT s.*, sqrt(CAST(n AS DOUBLE)) AS w, {background} AS b FROM strata s),
+    grid AS (SELECT a, coalesce(lag(a) OVER (ORDER BY a), a) AS lo, coalesce(lead(a) OVER (ORDER BY a), a) AS hi FROM (SELECT unnest([{dbl(grid)}]) AS a)),
+    t AS (SELECT chr, win, a, lo, hi, w, 1 / (1 + a * d_mid) AS g, r2_q, b FROM sb, grid),
+    u AS (SELECT chr, win, a, lo, hi, b, sum(w * g * (r2_q - b * (1 - g))) AS gz, sum(w * g * g) AS gg, sum(w * (r2_q - b * (1 - g)) * (r2_q - b * (1 - g))) AS zz FROM t GROUP BY ALL),
     v AS (SELECT *, greatest(b, least(1, gz / gg)) AS c FROM u),
-    o AS (SELECT *, round(zz - 2 * c * gz + c * c * gg, 12) AS sse FROM v QUALIFY row_number() OVER (PARTITION BY chr, win ORDER BY round(zz - 2 * c * gz + c * c * gg, 12), a) = 1)
-    SELECT chr, win, round(a, 12) AS a, b, round(c, 6) AS c, round(sse, 6) AS sse, CASE WHEN c - b < 0.05e0 THEN 'weak' ELSE 'structured' END AS regime FROM o""")
+    o AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY chr, win ORDER BY round(zz - 2 * c * gz + c * c * gg, 12), a) = 1),
+    bis(chr, win, b, k, lo, hi) AS (
+        SELECT chr, win, b, 0, lo, hi FROM o WHERE c > b
+        UNION ALL
+        SELECT chr, win, b, k + 1, CASE WHEN dz - greatest(b, least(1, gz / gg)) * dg > 0 THEN lo ELSE sqrt(lo * hi) END, CASE WHEN dz - greatest(b, least(1, gz / gg)) * dg > 0 THEN sqrt(lo * hi) ELSE hi END
+        FROM (SELECT chr, win, b, k, lo, hi, sum(w * g * z) AS gz, sum(w * g * g) AS gg, sum(w * d_mid * g * g * z) AS dz, sum(w * d_mid * g * g * g) AS dg
+              FROM (SELECT bis.*, w, d_mid, 1 / (1 + sqrt(lo * hi) * d_mid) AS g, r2_q - bis.b * (1 - 1 / (1 + sqrt(lo * hi) * d_mid)) AS z FROM bis JOIN sb USING (chr, win) WHERE k < 40) GROUP BY ALL)),
+    fa AS (SELECT o.chr, o.win, o.b, coalesce(sqrt(bis.lo * bis.hi), o.a) AS a FROM o LEFT JOIN bis ON bis.chr = o.chr AND bis.win = o.win AND k = 40),
+    fg AS (SELECT fa.chr, fa.win, fa.a, fa.b, sum(w * g * z) AS gz, sum(w * g * g) AS gg, sum(w * z * z) AS zz FROM (SELECT fa.*, w, 1 / (1 + a * d_mid) AS g, r2_q - fa.b * (1 - 1 / (1 + a * d_mid)) AS z FROM fa JOIN sb USING (chr, win)) fa GROUP BY ALL),
+    fits AS (SELECT chr, win, a, b, greatest(b, least(1, gz / gg)) AS c, zz - 2 * greatest(b, least(1, gz / gg)) * gz + greatest(b, least(1, gz / gg)) * greatest(b, least(1, gz / gg)) * gg AS sse FROM fg)"""
+
+
+@query(f"WITH RECURSIVE {_STRATA}, {_fit_sql(_GRID, 'CAST(0.02 AS DOUBLE)')} SELECT chr, win, round(a, 12) AS a, b, round(c, 6) AS c, round(sse, 6) AS sse, CASE WHEN c - b < 0.05e0 THEN 'weak' ELSE 'structured' END AS regime FROM fits")
 def decay_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits = decay.with_regime(decay.grid_fit(_strata(spark, sf_dir), 0.02, _GRID)).drop("contrast")
+    fits = decay.with_regime(decay.fit_curves(_strata(spark, sf_dir), 0.02, _GRID)).drop("contrast")
     return rounded(rounded(fits, "c", "sse"), "a", places=12)
 
 
+# the whole analysis of the derived genotypes: their pairs, background, windows, fits and summary
+_PIPE = _STRATA.replace(EDGES, f"""
+    {GENO_FIXTURE}, gt AS (SELECT * FROM g WHERE dosage IS NOT NULL), fq AS (SELECT snp_idx, least(avg(dosage) / 2, 1 - avg(dosage) / 2) AS maf FROM g GROUP BY snp_idx),
+    pp AS (SELECT a.snp_idx AS snp1, b.snp_idx AS snp2, a.chr AS chr1, b.chr AS chr2, a.pos AS pos1, b.pos AS pos2, {R2_SUMS}
+           FROM (SELECT *, dosage AS x FROM gt) a JOIN (SELECT *, dosage AS y FROM gt) b ON a.ind_id = b.ind_id AND (a.chr, a.pos, a.snp_idx) > (b.chr, b.pos, b.snp_idx) GROUP BY ALL),
+    every AS MATERIALIZED (SELECT * FROM (SELECT *, {R2} AS r2 FROM pp) WHERE r2 IS NOT NULL),
+    bgd AS (SELECT quantile_cont(r2, 0.95) AS bg FROM every WHERE chr1 <> chr2 AND snp1 IN (SELECT snp_idx FROM fq WHERE maf > 0.1) AND snp2 IN (SELECT snp_idx FROM fq WHERE maf > 0.1)),
+    edges AS (SELECT snp1, snp2, chr1, chr2, pos1, pos2, r2, pos1 - pos2 AS d FROM every WHERE chr1 = chr2)""").replace(MAP, "mp AS (SELECT DISTINCT g.snp_idx AS marker, chr, pos, maf FROM g JOIN fq USING (snp_idx))")
+
+
+def _decay_of_fixture(spark: SparkSession, sf_dir: str) -> decay.LDDecay:
+    g = Tables(spark, "genotypes").cut(fixture(spark, sf_dir).select("ind_id", "chr", "snp_idx", "pos", "dosage"))
+    return decay.compute_decay(g, n_win=4, n_strata=10, min_strata=5)
+
+
+@query(f"""
+    WITH RECURSIVE {_PIPE}, {_fit_sql(decay.rate_grid(), '(SELECT bg FROM bgd)')}, f AS (SELECT * FROM fits WHERE c - b >= 0.05e0),
+    l AS (SELECT chr, quantile_cont(a, 0.025) AS lo, quantile_cont(a, 0.975) AS hi, count(*) AS n_used FROM f GROUP BY chr HAVING count(*) >= 5),
+    su AS (SELECT chr, quantile_cont(a, 0.5) AS a, min(b) AS b, quantile_cont(c, 0.5) AS c, max(n_used) AS n_used FROM f JOIN l USING (chr) WHERE a BETWEEN lo AND hi GROUP BY chr HAVING count(*) >= 3)
+    SELECT chr, round(a, 9) AS a, round(b, 6) AS b, round(c, 6) AS c, n_used, round((SELECT quantile_cont(a, 0.5) FROM su), 9) AS a_pred FROM su""")
+def decay_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``compute_decay`` from genotypes to the summary of each chromosome; two chromosomes have the median rate as prediction."""
+    s = _decay_of_fixture(spark, sf_dir).summary.select("chr", "a", "b", "c", "n_used", "a_pred")
+    return rounded(rounded(s, "b", "c"), "a", "a_pred", places=9)
+
+
 _FITS = "f AS (SELECT chr, a, b, c FROM decay_sum WHERE chr IS NOT NULL AND a IS NOT NULL AND c IS NOT NULL AND a > 0 AND NOT isnan(a) AND NOT isnan(c))"
 
 

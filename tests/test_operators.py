@@ -104,8 +104,22 @@ def test_grid_fit_finds_the_curve(spark):
     a, b, c = 1e-3, 0.05, 0.8
     d = np.geomspace(10, 50_000, 20)
     rows = [("A", 0, i, float(x), float(b + (c - b) / (1 + a * x)), 50) for i, x in enumerate(d)]
-    fit = decay.grid_fit(spark.createDataFrame(rows, "chr string, win int, stratum int, d_mid double, r2_q double, n bigint"), b).first()
-    assert fit["a"] == pytest.approx(a, rel=0.1) and fit["c"] == pytest.approx(c, abs=0.02)
+    fit = decay.fit_curves(spark.createDataFrame(rows, "chr string, win int, stratum int, d_mid double, r2_q double, n bigint"), b).first()
+    assert fit["a"] == pytest.approx(a, rel=1e-6) and fit["c"] == pytest.approx(c, abs=1e-6)
+
+
+def test_fit_is_the_weighted_optimum(spark):
+    rng = np.random.default_rng(41)
+    d = np.geomspace(10, 50_000, 20)
+    schema, rows = "chr string, win int, stratum int, d_mid double, r2_q double, n bigint", []
+    for win, (a, b, c) in enumerate([(1e-3, 0.05, 0.8), (3e-5, 0.05, 0.4), (2e-2, 0.05, 0.99), (1e-3, 0.05, 0.05)]):
+        rows += [("A", win, i, float(x), float(np.clip(b + (c - b) / (1 + a * x) + rng.normal() * 0.02, 0, 1)), int(rng.integers(5, 200))) for i, x in enumerate(d)]
+    for r in decay.fit_curves(spark.createDataFrame(rows, schema), 0.05).collect():
+        own = np.array([x[3:] for x in rows if x[1] == r["win"]])
+        g = 1 / (1 + np.exp(np.linspace(np.log(1e-8), np.log(1e2), 200_001))[:, None] * own[:, 0])
+        w, z = np.sqrt(own[:, 2]), own[:, 1] - 0.05 * (1 - g)
+        c = np.clip((w * g * z).sum(axis=1) / (w * g * g).sum(axis=1), 0.05, 1)
+        assert r["sse"] <= (w * (z - c[:, None] * g) ** 2).sum(axis=1).min() + 1e-9
 
 
 def test_windows_against_brute_force(spark):
@@ -143,7 +157,7 @@ def test_size_model(spark):
     assert none.slope is None and two.select("a_pred").distinct().count() == 1
 
 
-def test_whole_decay_analysis(spark):
+def test_whole_decay_analysis(spark, tmp_path):
     rng = np.random.default_rng(5)
     n, m = 150, 200
     cols, chrs, pos = [], [], []
@@ -159,6 +173,10 @@ def test_whole_decay_analysis(spark):
     assert s and all(r["a"] > 0 and np.isfinite(r["a_pred"]) for r in s) and 0 < out.b < 0.2 and "LDDecay" in repr(out)
     t = {r["rho"]: r["slide_snp_median"] for r in out.recommendation.collect()}
     assert t[0.5] < t[0.9] < t[0.99]
+    folder = str(tmp_path / "edges")
+    some = decay.compute_decay(g, n_win=4, slide=60, n_sub_bg=30, max_snps=120, edge_folder=folder, keep_edges=False)
+    assert some.edges is None and some.windows.count() < out.windows.count()
+    assert tables.read_edges(spark, folder).count() == out.edges.count() and tables.read_edges(spark, folder, ["A"]).select("chr1").distinct().count() == 1
 
 
 def test_support_counts_both_ends_and_keeps_lonely_markers(spark):
