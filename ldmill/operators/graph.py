@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ldmill.session import Tables
+from ldmill.session import Tables, broadcast_if_small, figure
 
 
 def hashed(pairs: DataFrame, a: str, b: str, tables: Tables) -> tuple[DataFrame, DataFrame]:
@@ -23,39 +23,35 @@ def hashed(pairs: DataFrame, a: str, b: str, tables: Tables) -> tuple[DataFrame,
     raise RuntimeError("no collision-free seed")
 
 
-def connected_components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """``v, component``: the smallest vertex each vertex of the undirected ``edges (u, v)`` is linked to; isolated ``vertices (v)`` are their own component.
 
-    Contraction: every vertex hangs below the smallest of its neighbourhood, these short trees collapse onto their roots, and only edges between different roots
-    stay for the next round, so the graph shrinks geometrically. Vertices are 64-bit ids until the end; rounds end in tables of the shared folder.
+    Contraction: every vertex points to the smallest of its neighbourhood and moves four steps along these pointers, which nearly always end at a vertex that points to
+    itself; only edges between different ends stay for the next round (and one from an end that points on), so the graph shrinks geometrically. Vertices are
+    64-bit ids until the end; rounds end in tables of the shared folder. Runs until no edge is left.
     """
     tables = Tables(edges.sparkSession, "graph")
     ids, names = hashed(edges, "u", "v", tables)
-    graph = tables.cut(ids.where("u <> v").select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").distinct())
+    both_ways = lambda df: df.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").distinct()
+    graph = tables.cut(both_ways(ids.where("u <> v")))
     levels: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if graph.isEmpty():
-            break
-        up = tables.cut(graph.groupBy(F.col("u").alias("w")).agg(F.least(F.col("u"), F.min("v")).alias("root")))
-        while True:
-            above = up.select(F.col("w").alias("root"), F.col("root").alias("next"))
-            jump = tables.cut(up.join(above, "root").select("w", F.col("next").alias("root"), (F.col("next") < F.col("root")).alias("moved")))
-            tables.drop(up)
-            up = jump.select("w", "root")
-            up._table_path = jump._table_path
-            if jump.where("moved").isEmpty():
-                break
-        levels.append(up)
-        moved = graph.join(up.select(F.col("w").alias("u"), F.col("root").alias("ru")), "u").join(up.select(F.col("w").alias("v"), F.col("root").alias("rv")), "v")
-        after = tables.cut(moved.where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
-        tables.drop(graph)
+    while figure(graph):
+        up = tables.cut(graph.groupBy(F.col("u").alias("w")).agg(F.least(F.col("u"), F.min("v")).alias("p")))
+        follow = lambda df, by: df.join(by.select(F.col("w").alias("p"), F.col("p").alias("next")), "p").select("w", F.col("next").alias("p"))
+        two = follow(up, up)
+        four = tables.cut(follow(two, two))
+        levels.append(four)
+        ends = four.select(F.col("w").alias("u"), F.col("p").alias("pu"))
+        moved = graph.where("u < v").join(ends, "u").join(ends.select(F.col("u").alias("v"), F.col("pu").alias("pv")), "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v"))
+        # an end that itself moved on: what came to it must stay linked to where it went
+        onward = four.join(four.select(F.col("p").alias("w")).distinct(), "w", "left_semi").where("w <> p").select(F.col("w").alias("u"), F.col("p").alias("v"))
+        after = tables.cut(both_ways(moved.unionByName(onward)))
+        tables.drop(graph, up)
         graph = after
-    else:
-        raise RuntimeError("components did not settle")
-    labels = names.select(F.col("id").alias("w"), F.col("id").alias("root")) if not levels else levels[-1]
+    labels = names.select(F.col("id").alias("w"), F.col("id").alias("root")) if not levels else levels[-1].select("w", F.col("p").alias("root"))
     for level in reversed(levels[:-1]):
-        higher = labels.select(F.col("w").alias("root"), F.col("root").alias("top"))
-        labels = tables.cut(level.join(higher, "root", "left").select("w", F.coalesce("top", "root").alias("root")))
+        higher = labels.select(F.col("w").alias("p"), F.col("root").alias("top"))
+        labels = tables.cut(level.join(higher, "p", "left").select("w", F.coalesce("top", "p").alias("root")))
     rows = tables.cut(names.join(labels, names["id"] == labels["w"], "left").select("name", F.coalesce("root", "id").alias("root")))
     heads = rows.groupBy("root").agg(F.min("name").alias("component"))
     out = rows.join(heads, "root").select(F.col("name").alias("v"), "component")
@@ -65,31 +61,46 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
     return out
 
 
-def complete_linkage(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def complete_linkage(edges: DataFrame) -> DataFrame:
     """``v, cluster``: complete-linkage clusters of ``edges (u, v, s)`` with similarity s, where absent pairs never join; ``cluster`` is its smallest vertex.
 
     Complete linkage is reducible: clusters that are each other's most similar can merge in any order without changing the tree. So every round merges all
     such pairs at once and keeps an edge between clusters only where every pair of their members has one, at the least similarity of them.
-    Equal similarities are taken by the smaller, then the larger vertex. Clusters of any size stay rows; none is collected.
+    Equal similarities are taken by the smaller, then the larger vertex. Clusters of any size stay rows; none is collected. The best edge of all is always
+    its ends' best, so every round merges something, and rounds end when no edge is left; who merged with whom is a forest, followed to its roots at the end.
     """
     tables = Tables(edges.sparkSession, "linkage")
-    ordered = edges.where("u <> v AND s IS NOT NULL").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("s").alias("s"))
-    live = tables.cut(ordered)
-    member = tables.cut(live.select(F.explode(F.array("u", "v")).alias("v")).distinct().withColumn("cluster", F.col("v")))
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            return member
+    live = tables.cut(edges.where("u <> v AND s IS NOT NULL").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("s").alias("s")))
+    vertices = tables.cut(live.select(F.explode(F.array("u", "v")).alias("v")).distinct())
+    forest: list[DataFrame] = []
+    while figure(live):
         # a vertex's best edge: most similar, then smallest ends; both ends agree on the order of edges
         rank = F.struct((-F.col("s")).alias("k"), "u", "v")
         seen = live.select(F.explode(F.array("u", "v")).alias("w"), rank.alias("e")).groupBy("w").agg(F.min("e").alias("e"))
         pairs = tables.cut(seen.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(F.col("e.v").alias("old"), F.col("e.u").alias("new")))
-        move = lambda side: pairs.select(F.col("old").alias(side), F.col("new").alias(f"{side}2"))  # noqa: B023, E731
-        moved = live.join(move("u"), "u", "left").join(move("v"), "v", "left").withColumns({"u2": F.coalesce("u2", "u"), "v2": F.coalesce("v2", "v")}).where("u2 <> v2")
-        merged = pairs.select(F.col("new").alias("w"))
-        both = moved.groupBy(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("have"))
-        need = both.join(merged.select(F.col("w").alias("u"), F.lit(2).alias("nu")), "u", "left").join(merged.select(F.col("w").alias("v"), F.lit(2).alias("nv")), "v", "left")
-        after = tables.cut(need.where(F.col("have") == F.coalesce("nu", F.lit(1)) * F.coalesce("nv", F.lit(1))).select("u", "v", "s"))
-        grown = tables.cut(member.join(pairs, member["cluster"] == pairs["old"], "left").select("v", F.coalesce("new", "cluster").alias("cluster")))
-        tables.drop(live, member)
-        live, member = after, grown
-    raise RuntimeError("linkage did not settle")
+        forest.append(pairs)
+        # a vertex that merged, by its old name or the one it keeps, stands for two
+        role = broadcast_if_small(pairs.select(F.explode(F.array(F.struct(F.col("old").alias("w"), "new"), F.struct(F.col("new").alias("w"), "new"))).alias("r")).select("r.w", "r.new"), within=pairs)
+        side = lambda c: role.select(F.col("w").alias(c), F.col("new").alias(f"{c}2"))  # noqa: B023, E731
+        moved = live.join(side("u"), "u", "left").join(side("v"), "v", "left")
+        size = lambda c: F.when(F.col(f"{c}2").isNull(), 1).otherwise(2)
+        a, b = F.coalesce("u2", "u"), F.coalesce("v2", "v")
+        moved = moved.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), (size("u") * size("v")).alias("need"), "s").where("x <> y")
+        both = moved.groupBy("x", "y").agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("have"), F.max("need").alias("need"))
+        after = tables.cut(both.where("have = need").select(F.col("x").alias("u"), F.col("y").alias("v"), "s"))
+        tables.drop(live)
+        live = after
+    if not forest:
+        return vertices.withColumn("cluster", F.col("v"))
+    up = forest[0]
+    for f in forest[1:]:
+        up = up.unionByName(f)
+    up = tables.cut(up.select(F.col("old").alias("w"), F.col("new").alias("p")))
+    while True:
+        above = up.select(F.col("w").alias("p"), F.col("p").alias("next"))
+        on = F.col("next").isNotNull()
+        jump = tables.cut(up.join(above, "p", "left").select("w", F.coalesce("next", "p").alias("p"), on.alias("moved")), moved=F.count_if("moved"))
+        up = jump.select("w", "p")
+        if not figure(jump, "moved"):
+            break
+    return vertices.join(up, vertices["v"] == up["w"], "left").select("v", F.coalesce("p", "v").alias("cluster"))
