@@ -114,3 +114,16 @@ def bh_adjust(df: DataFrame, p: str, out: str, keys: list[str] | None = None, bu
         later = r.groupBy(*keys, "bucket_").agg(F.min("ratio_").alias("least_")).withColumn("later_", F.min("least_").over(Window.partitionBy(*keys).orderBy(F.desc("bucket_")).rowsBetween(Window.unboundedPreceding, -1))).drop("least_")
         q = q.join(broadcast_if_small(later), [*keys, "bucket_"]).withColumn("run_", F.least("run_", "later_"))
     return df.withColumn("p_", ok).join(q.select(*keys, "p_", F.least(F.lit(1.0), "run_").alias(out)), [*keys, "p_"], "left").drop("p_")
+
+
+def running_max(df: DataFrame, keys: list[str], order: str, ties: list[str], value: str, out: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``df`` with ``out``: the largest ``value`` of the same keys' rows up to and including this one in a numeric ``order``, then ``ties``."""
+    rows = Tables(df.sparkSession, "running").cut(df)
+    b, n = in_buckets(rows, order, figure(rows), bucket_rows)
+    inner = Window.partitionBy(*keys, "bucket_").orderBy(F.asc_nulls_last(order), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    r = b.withColumn("in_", F.max(value).over(inner))
+    if n == 1:
+        return r.withColumnRenamed("in_", out).drop("bucket_")
+    per = b.groupBy(*keys, "bucket_").agg(F.max(value).alias("m_"))
+    before = per.withColumn("before_", F.max("m_").over(Window.partitionBy(*keys).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))).drop("m_")
+    return _with_offsets(r, keys, before, ["before_"]).withColumn(out, F.greatest("before_", "in_")).drop("bucket_", "before_", "in_")

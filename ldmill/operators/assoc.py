@@ -1,19 +1,22 @@
 """Mixed-model association of markers with a phenotype.
 
-The cohort's n x n work (kinship eigen pairs, variance components) happens once on the driver; markers stay distributed and are tested in batches.
+The cohort's n x n work (kinship eigen pairs) happens once on the driver; markers stay distributed and are tested in batches, and null phenotypes get their variance
+components in tasks. One kinship may serve all chromosomes, or each has that of all others, so that a marker doesn't stand against its own signal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ldmill.functions.numerics import centred_eigen, f_tail, normalized_kinship, reml
+from ldmill.functions.ordered import running_max
 from ldmill.operators.genotypes import packed
 from ldmill.operators.pairs import matrix
 
@@ -48,26 +51,50 @@ def _calls(pdf: pd.DataFrame, inds: np.ndarray) -> np.ndarray:
     return np.where(m > 0, x, x.sum(axis=1, keepdims=True) / np.maximum(n, 1))
 
 
-def kinship(geno: DataFrame, inds: np.ndarray) -> np.ndarray:
-    """Centred relationship matrix over the markers, scaled to a mean diagonal of 1; partial products add up by row."""
+def kinship_sums(geno: DataFrame, inds: np.ndarray, by_chr: bool = False) -> dict[str | None, np.ndarray]:
+    """Centred products X'X over the markers, of all of them (key null) or of each chromosome. Tasks add up their markers, then rows are added; the driver gets n rows a key."""
     shared = geno.sparkSession.sparkContext.broadcast(inds)
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        total: dict = {}
         for b in batches:
-            x = _calls(b, shared.value)
-            x = x - x.mean(axis=1, keepdims=True)
-            total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
-
-    rows = packed(geno).select("inds", "calls").mapInPandas(part, "i int, row array<double>")
-    sums = rows.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-    k = np.zeros((len(inds), len(inds)))
-    k[sums["i"], sums["j"]] = sums["v"]
+            for key, own in b.groupby("key", dropna=False):
+                x = _calls(own, shared.value)
+                x = x - x.mean(axis=1, keepdims=True)
+                total[key] = total.get(key, 0) + x.T @ x
+        for key, k in total.items():
+            yield pd.DataFrame({"key": key, "i": np.arange(len(k)), "row": list(k)})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:  # one row a task
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "i": pdf["i"].iloc[:1], "row": [np.sum(np.stack(pdf["row"].to_list()), axis=0)]})
+
+    key = F.coalesce("chr", F.lit("")) if by_chr else F.lit("")
+    rows = packed(geno).select(key.alias("key"), "inds", "calls").mapInPandas(part, "key string, i int, row array<double>")
+    sums = rows.groupBy("key", "i").applyInPandas(add, "key string, i int, row array<double>").toPandas()
+    out = {}
+    for k, own in sums.groupby("key"):
+        m = np.zeros((len(inds), len(inds)))
+        m[own["i"]] = np.stack(own["row"].to_list())
+        out[k if by_chr else None] = m
+    return out or {None: np.zeros((len(inds), len(inds)))}
+
+
+def _scaled(k: np.ndarray) -> np.ndarray:
     return k / max(np.mean(np.diag(k)), 1e-300)
 
 
+def kinship(geno: DataFrame, inds: np.ndarray) -> np.ndarray:
+    """Centred relationship matrix over all markers, scaled to a mean diagonal of 1."""
+    return _scaled(kinship_sums(geno, inds)[None])
+
+
+def kinship_by_chromosome(geno: DataFrame, inds: np.ndarray) -> dict[str, np.ndarray]:
+    """For each chromosome the relationship matrix over the markers of all others, each scaled to a mean diagonal of 1."""
+    own = kinship_sums(geno, inds, by_chr=True)
+    total = sum(own.values())
+    return {c: _scaled(total - k) for c, k in own.items() if c is not None}
+
+
 def residuals(y: np.ndarray, covariate: np.ndarray | None) -> np.ndarray:
     if covariate is None or len(np.unique(covariate)) < 2:
         return y
@@ -82,7 +109,7 @@ class NullModel:
     inds: np.ndarray
     basis: np.ndarray  # eigenvectors of the kinship
     eigen: np.ndarray
-    centred: tuple[np.ndarray, np.ndarray]
+    centred: tuple[np.ndarray, np.ndarray]  # eigen pairs without the constant direction, for variance components
     vg: float
     ve: float
     y: np.ndarray
@@ -115,58 +142,87 @@ def f_statistics(rotated: np.ndarray, y: np.ndarray, one: np.ndarray, w: np.ndar
         return (rss0 / np.maximum(rss, 1e-300) - 1) * (len(y) - 2)
 
 
-def emmax(geno: DataFrame, model: NullModel) -> DataFrame:
-    """``chr, snp_idx, f, p, r2`` per marker under a null model. One marker gives one row; constant markers have null."""
-    shared = geno.sparkSession.sparkContext.broadcast((model, *model.whitened(model.y, model.vg, model.ve)))
+def null_models(inds: np.ndarray, y: np.ndarray, kinships: dict[str, np.ndarray], covariate: np.ndarray | None = None) -> dict[str, NullModel]:
+    """A null model for each chromosome."""
+    return {c: null_model(inds, y, k, covariate) for c, k in kinships.items()}
 
-    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, y, one, w = shared.value
-        for b in batches:
-            f = f_statistics(_calls(b, m.inds) @ m.basis, y, one, w)
-            yield pd.DataFrame({"chr": b["chr"], "snp_idx": b["snp_idx"], "f": f, "p": f_tail(f, 1, len(y) - 2), "r2": f / (f + len(y) - 2)})
 
+def _by_model(geno: DataFrame, model: NullModel | dict[str, NullModel], f: Callable[[DataFrame, NullModel], DataFrame]) -> DataFrame:
+    """``f`` of all markers under one model, or of each chromosome's under its own; chromosomes without one are left out."""
+    if isinstance(model, NullModel):
+        return f(geno, model)
+    return reduce(DataFrame.unionByName, [f(geno.where(F.coalesce("chr", F.lit("")) == c), m) for c, m in model.items()])
+
+
+def emmax(geno: DataFrame, model: NullModel | dict[str, NullModel]) -> DataFrame:
+    """``chr, snp_idx, f, p, r2`` per marker under a null model, or under its chromosome's. One marker gives one row; constant markers have null."""
     kind = geno.schema["snp_idx"].dataType.simpleString()
-    out = packed(geno).select("chr", "snp_idx", "inds", "calls").mapInPandas(test, f"chr string, snp_idx {kind}, f double, p double, r2 double")
-    return out.select("chr", "snp_idx", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("f", "p", "r2")])
 
+    def one(g: DataFrame, m: NullModel) -> DataFrame:
+        shared = g.sparkSession.sparkContext.broadcast((m.inds, m.basis, *m.whitened(m.y, m.vg, m.ve)))
+
+        def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            inds, basis, y, ones, w = shared.value
+            for b in batches:
+                f = f_statistics(_calls(b, inds) @ basis, y, ones, w)
+                yield pd.DataFrame({"chr": b["chr"], "snp_idx": b["snp_idx"], "f": f, "p": f_tail(f, 1, len(y) - 2), "r2": f / (f + len(y) - 2)})
+
+        return packed(g).select("chr", "snp_idx", "inds", "calls").mapInPandas(test, f"chr string, snp_idx {kind}, f double, p double, r2 double")
+
+    out = _by_model(geno, model, one)
+    return out.select("chr", "snp_idx", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("f", "p", "r2")])
 
-def null_draws(model: NullModel, b: int, seed: int = 0, how: str = "permute", binary: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``b`` phenotypes under the null, whitened by their own variance components: permuted, or drawn from the model (cut to the rarer class's count if binary)."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(b):
-        if how == "permute":
-            y = rng.permutation(model.y)
-        else:
-            y = model.basis @ (rng.standard_normal(len(model.y)) * np.sqrt(model.vg * model.eigen + model.ve))
-            if binary:
-                few = min(np.unique(model.y, return_counts=True)[1])
-                y = (np.argsort(np.argsort(y)) < few).astype(float)
-        out.append(model.whitened(y, *reml(y, *model.centred)))
-    return out
-
-
-def null_statistics(geno: DataFrame, model: NullModel, draws: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """``chr, snp_idx, draw, f`` for every marker and null phenotype; markers stay distributed, the draws (b x n numbers) are shared."""
-    shared = geno.sparkSession.sparkContext.broadcast((model, draws))
-
-    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, draws = shared.value
-        for b in batches:
-            x = _calls(b, m.inds) @ m.basis
-            for k, (y, one, w) in enumerate(draws):
-                yield pd.DataFrame({"chr": b["chr"], "snp_idx": b["snp_idx"], "draw": k, "f": f_statistics(x, y, one, w)})
 
+def null_draws(spark: SparkSession, model: NullModel, b: int, seed: int = 0, how: str = "permute", binary: bool = False) -> pd.DataFrame:
+    """``draw, vg, ve, y``: ``b`` phenotypes under the null in the model's rotation, with their own variance components, each draw from its own seed, in tasks: permuted, or
+    drawn from the model (cut to the rarer class's count if binary). Permutations of one seed are the same under every model. The driver gets b x n numbers."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for batch in batches:
+            rows = []
+            for k in batch["id"]:
+                rng = np.random.default_rng([seed, int(k)])
+                if how == "permute":
+                    y = rng.permutation(m.y)
+                else:
+                    y = m.basis @ (rng.standard_normal(len(m.y)) * np.sqrt(m.vg * m.eigen + m.ve))
+                    if binary:
+                        few = min(np.unique(m.y, return_counts=True)[1])
+                        y = (np.argsort(np.argsort(y)) < few).astype(float)
+                rows.append((k, *reml(y, *m.centred), m.basis.T @ y))
+            yield pd.DataFrame(rows, columns=["draw", "vg", "ve", "y"])
+
+    tasks = min(b, 4 * spark.sparkContext.defaultParallelism)
+    return spark.range(0, b, 1, tasks).mapInPandas(run, "draw int, vg double, ve double, y array<double>").toPandas()
+
+
+def null_statistics(geno: DataFrame, model: NullModel | dict[str, NullModel], b: int, seed: int = 0, how: str = "permute", binary: bool = False) -> DataFrame:
+    """``chr, snp_idx, draw, f`` for every marker and null phenotype of ``null_draws``; markers stay distributed, the draws (b x n numbers a model) are shared."""
     kind = geno.schema["snp_idx"].dataType.simpleString()
-    return packed(geno).select("chr", "snp_idx", "inds", "calls").mapInPandas(test, f"chr string, snp_idx {kind}, draw int, f double")
+
+    def one(g: DataFrame, m: NullModel) -> DataFrame:
+        draws = null_draws(g.sparkSession, m, b, seed, how, binary)
+        shared = g.sparkSession.sparkContext.broadcast((m.inds, m.basis, m.eigen, draws))
+
+        def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            inds, basis, eigen, draws = shared.value
+            ones = basis.sum(axis=0)
+            for batch in batches:
+                x = _calls(batch, inds) @ basis
+                for k, vg, ve, y in draws.itertuples(index=False):
+                    w = 1 / np.sqrt(vg * eigen + ve)
+                    yield pd.DataFrame({"chr": batch["chr"], "snp_idx": batch["snp_idx"], "draw": k, "f": f_statistics(x, np.asarray(y) * w, ones * w, w)})
+
+        return packed(g).select("chr", "snp_idx", "inds", "calls").mapInPandas(test, f"chr string, snp_idx {kind}, draw int, f double")
+
+    return _by_model(geno, model, one)
 
 
 def stepdown_p(observed: DataFrame, nulls: DataFrame, b: int) -> DataFrame:
     """``chr, snp_idx, p_corr``: family-wise p by step-down: markers in ascending order of observed F, each draw's running maximum up to the marker
     against its F; the share of draws that reach it, plus one, not falling along the order."""
-    from pyspark.sql.window import Window
-
     rows = observed.where("f IS NOT NULL").select("chr", "snp_idx", F.col("f").alias("fo")).join(nulls.where("NOT isnan(f)"), ["chr", "snp_idx"])
-    order = Window.partitionBy("draw").orderBy("fo", "chr", "snp_idx").rowsBetween(Window.unboundedPreceding, 0)
-    hit = rows.withColumn("m", F.max("f").over(order)).groupBy("chr", "snp_idx").agg((F.count_if(F.col("m") >= F.col("fo")) + 1).alias("k"))
+    hit = running_max(rows, ["draw"], "fo", ["chr", "snp_idx"], "f", "m").groupBy("chr", "snp_idx").agg((F.count_if(F.col("m") >= F.col("fo")) + 1).alias("k"))
     return hit.select("chr", "snp_idx", (F.col("k") / (b + 1)).alias("p_corr"))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ldmill.functions.ordered import bh_adjust, quantiles, ranked, running_sum
 from ldmill.functions.scalar import finite
-from ldmill.operators.assoc import NullModel, f_tail, null_draws, null_statistics
+from ldmill.operators.assoc import NullModel, f_tail, null_statistics
 from ldmill.operators.graph import connected_components
 from ldmill.session import Tables, broadcast_if_small
 
@@ -126,19 +126,19 @@ def background_sampled(background: DataFrame, clusters: DataFrame, pcut: float,
     return exact.select("cluster", "frac", finite(draw("frac", "cluster")).alias("emp_p"))
 
 
-def permutation_null(geno: DataFrame, model: NullModel, clustered: DataFrame, clusters: DataFrame, pcut: float, b: int = 1000, seed: int = 0) -> DataFrame:
+def permutation_null(geno: DataFrame, model: NullModel | dict[str, NullModel], clustered: DataFrame, clusters: DataFrame, pcut: float, b: int = 1000, seed: int = 0) -> DataFrame:
     """``cluster, emp_p``: how often a permuted phenotype gives a cluster at least its number of significant markers.
 
-    ``geno`` holds the candidates' calls with ``snp_idx`` as in ``clustered``. The kinship is decomposed once; a draw only re-estimates the variance components."""
+    ``geno`` holds the candidates' calls with ``snp_idx`` as in ``clustered``; one model, or each chromosome's own. A kinship is decomposed once; a draw only re-estimates the variance components."""
     mine = clustered.select("snp_idx", "cluster")
     calls = geno.join(broadcast_if_small(mine.select("snp_idx").distinct()), "snp_idx", "left_semi")
-    n = len(model.y)
+    n = len((model if isinstance(model, NullModel) else next(iter(model.values()))).y)
     # p falls as F grows: the cutoff on p is one on F
     low, high = 0.0, 1e9
     for _ in range(200):
         mid = (low + high) / 2
         low, high = (mid, high) if f_tail([mid], 1, n - 2)[0] > pcut else (low, mid)
-    hits = null_statistics(calls, model, null_draws(model, b, seed)).where(~F.isnan("f") & (F.col("f") >= high))
+    hits = null_statistics(calls, model, b, seed).where(~F.isnan("f") & (F.col("f") >= high))
     counts = hits.join(broadcast_if_small(mine), "snp_idx").groupBy("cluster", "draw").agg(F.count(F.lit(1)).alias("k"))
     reached = clusters.select("cluster", "n_sig").join(counts, "cluster", "left").groupBy("cluster", "n_sig").agg(F.count_if(F.col("k") >= F.col("n_sig")).alias("m"))
     m = F.when(F.col("n_sig") == 0, F.lit(b)).otherwise(F.col("m"))
@@ -161,7 +161,7 @@ class OutlierClusters:
         return f"OutlierClusters(threshold={self.threshold:.4g}, pcut={self.pcut}, null={self.null}, B={self.b}, {self.diagnostics})"
 
 
-def outlier_clusters(rows: DataFrame, edges: DataFrame, threshold: float | None = None, fdr: float = 0.05, r2_link: float = 0.5, r2_by_chr: DataFrame | None = None, gap: float | None = None, gap_by_chr: DataFrame | None = None, min_cluster_sig: int = 1, null: str = "background_exact", cluster_fdr: float = 0.05, b: int = 1000, grid: list[float] | None = None, geno: DataFrame | None = None, model: NullModel | None = None, seed: int = 0) -> OutlierClusters:
+def outlier_clusters(rows: DataFrame, edges: DataFrame, threshold: float | None = None, fdr: float = 0.05, r2_link: float = 0.5, r2_by_chr: DataFrame | None = None, gap: float | None = None, gap_by_chr: DataFrame | None = None, min_cluster_sig: int = 1, null: str = "background_exact", cluster_fdr: float = 0.05, b: int = 1000, grid: list[float] | None = None, geno: DataFrame | None = None, model: NullModel | dict[str, NullModel] | None = None, seed: int = 0) -> OutlierClusters:
     """Clusters of candidate markers with more significant ones than chance gives clusters of their size.
 
     ``rows (marker, chr, pos, pval, ld_w)``; ``threshold``: a quantile of ld_w, chosen on the discovery curve if null. Sorted for reading: significant first, then by

@@ -583,7 +583,7 @@ def emmax_f(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def emmax_stepdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, g = _null_model(spark, sf_dir), calls(spark, sf_dir)
-    return assoc.stepdown_p(assoc.emmax(g, model), assoc.null_statistics(g, model, assoc.null_draws(model, 1000, how="model", binary=True)), 1000)
+    return assoc.stepdown_p(assoc.emmax(g, model), assoc.null_statistics(g, model, 1000, how="model", binary=True), 1000)
 
 
 # outliers
