@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,7 +111,20 @@ def ld_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pairs.edge_list(fixture(spark, sf_dir), slide=0, block=64), "r2")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {GENO_TABLE}, m AS (SELECT chr, marker, pos, row_number() OVER (PARTITION BY chr ORDER BY pos, marker) AS rk FROM (SELECT DISTINCT chr, marker, pos FROM h)),
+    t AS (SELECT h.ind_id, h.dosage, m.* FROM h JOIN m USING (chr, marker, pos) WHERE dosage IS NOT NULL),
+    p AS (SELECT a.marker AS snp1, b.marker AS snp2, a.chr AS chr1, b.chr AS chr2, a.pos AS pos1, b.pos AS pos2, count(*) AS n, {", ".join(f"count(*) FILTER (a.dosage = {i} AND b.dosage = {j}) AS a{i}{j}" for i in range(3) for j in range(3))}
+          FROM t a JOIN t b ON a.chr = b.chr AND a.ind_id = b.ind_id AND a.rk > b.rk AND a.rk - b.rk <= 1000 GROUP BY ALL),
+    s AS (SELECT *, 2.0e0 * n AS total, CAST(a11 AS DOUBLE) AS het, 2.0e0 * a22 + a21 + a12 AS n11, 2.0e0 * a20 + a21 + a10 AS n12, 2.0e0 * a02 + a12 + a01 AS n21 FROM p),
+    f AS (SELECT *, (n11 + n12 + het) / total AS pa, (n11 + n21 + het) / total AS pb FROM s),
+    it(snp1, snp2, k, pa, pb, n11, het, total, f11) AS (
+        SELECT snp1, snp2, 0, pa, pb, n11, het, total, pa * pb FROM f
+        UNION ALL
+        SELECT snp1, snp2, k + 1, pa, pb, n11, het, total, (n11 + het * CASE WHEN f11 * (1 - pa - pb + f11) + (pa - f11) * (pb - f11) > 0
+            THEN f11 * (1 - pa - pb + f11) / (f11 * (1 - pa - pb + f11) + (pa - f11) * (pb - f11)) ELSE 0.5 END) / total FROM it WHERE k < 50),
+    r AS (SELECT snp1, snp2, CASE WHEN pa * (1 - pa) * pb * (1 - pb) > 1e-12 THEN least(1.0, (f11 - pa * pb) * (f11 - pa * pb) / (pa * (1 - pa) * pb * (1 - pb))) END AS r2 FROM it WHERE k = 50)
+    SELECT p.snp1, p.snp2, chr1, chr2, pos1, pos2, n, round(r2, 6) AS r2, CASE WHEN chr1 = chr2 THEN pos1 - pos2 END AS d FROM p JOIN r USING (snp1, snp2) WHERE r2 IS NOT NULL""")
 def ld_edges_gametic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pairs.edge_list(calls(spark, sf_dir), method="r"), "r2")
 
@@ -262,12 +275,26 @@ def rho_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rep", "chr", "rho", F.round(d_from_rho(F.col("a"), F.col("rho")), 3).alias("d"), F.round(ld_from_rho(F.col("b"), F.col("c"), F.col("rho")), 10).alias("ld"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {MAP}, {_FITS}, l AS (SELECT chr, quantile_cont(a, 0.025) AS lo, quantile_cont(a, 0.975) AS hi, count(*) AS n_used FROM f GROUP BY chr HAVING count(*) >= 5),
+    su AS (SELECT chr, quantile_cont(a, 0.5) AS a, min(b) AS b, quantile_cont(c, 0.5) AS c FROM f JOIN l USING (chr) WHERE a BETWEEN lo AND hi GROUP BY chr HAVING count(*) >= 3),
+    sc AS (SELECT chr, max(pos) AS chr_size, CASE WHEN count(*) > 1 THEN (max(pos) - min(pos)) / (count(*) - 1) END AS bp_per_snp FROM mp WHERE chr IS NOT NULL AND pos IS NOT NULL GROUP BY chr),
+    j AS (SELECT su.*, chr_size, bp_per_snp FROM su JOIN sc USING (chr)), xy AS MATERIALIZED (SELECT ln(chr_size) AS x, ln(a) AS y FROM j WHERE a > 0 AND chr_size > 0),
+    it(k, i, s, scale) AS (
+        SELECT 0, 0.0e0, 0.0e0, 0.0e0
+        UNION ALL
+        SELECT k + 1, my - slope * mx, slope, median(abs(xy.y - (my - slope * mx) - slope * xy.x)) / 0.6745e0 FROM (
+            SELECT it.k, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, (sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / (sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w)) AS slope
+            FROM (SELECT it.k, x - 16 AS x, y, CASE WHEN k = 0 THEN 1.0e0 ELSE least(1.0e0, 1.345e0 * scale / greatest(abs(y - (i - 16 * s) - s * x + s * 0), 1e-300)) END AS w FROM it, xy WHERE k < 50 AND (k < 2 OR scale >= 1e-12)) it GROUP BY it.k) g,
+            (SELECT x - 16 AS x, y FROM xy) xy GROUP BY ALL),
+    be AS (SELECT i, s FROM it ORDER BY k DESC LIMIT 1)
+    SELECT chr, round(a, 9) AS a, round(c, 6) AS c, round(exp(i + s * (ln(chr_size) - 16)), 9) AS a_pred, round((SELECT quantile_cont(c, 0.5) FROM j), 6) AS c_pred,
+        round(a * bp_per_snp * 1000 / (1 + a * bp_per_snp * 1000), 6) AS rho_slide_raw, round(exp(i + s * (ln(chr_size) - 16)) * bp_per_snp * 1000 / (1 + exp(i + s * (ln(chr_size) - 16)) * bp_per_snp * 1000), 6) AS rho_slide_pred FROM j, be""".replace("(i - 16 * s) - s * x + s * 0", "i - s * (x - 16)"))
 def size_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trimmed summary of every chromosome with its rate as the robust size model predicts it."""
+    """The trimmed summary of every chromosome with its rate as the robust size model predicts it, and the share of decay that the default slide reaches."""
     scale = decay.chromosome_scale(markers(spark, sf_dir, "chr", "pos"))
-    summary, _ = decay.size_model(decay.summarize(table(spark, sf_dir, "decay_sum")).join(broadcast_if_small(scale), "chr"))
-    return decay.reached_rho(summary)
+    summary, _ = decay.size_model(Tables(spark, "sizes").cut(decay.summarize(table(spark, sf_dir, "decay_sum")).join(broadcast_if_small(scale), "chr")))
+    return rounded(rounded(decay.reached_rho(summary), "c", "c_pred", "rho_slide_raw", "rho_slide_pred"), "a", "a_pred", places=9).select("chr", "a", "c", "a_pred", "c_pred", "rho_slide_raw", "rho_slide_pred")
 
 
 _LDW = f"""
@@ -306,19 +333,39 @@ def _stage1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.stage1(markers(spark, sf_dir, "chr", "pos"), edges(spark, sf_dir), params(spark, sf_dir), 0.5, on_missing="singletons")
 
 
-@query()
+#: Complete linkage in rounds, as sets: a state of edges (kind 0) between clusters named by their smallest marker, and merges (kind 1) of each round.
+_STAGE1 = f"""
+    {EDGES}, {PARAMS}, {MAP}, th AS MATERIALIZED (SELECT snp1, snp2, r2 FROM edges e JOIN params p ON p.chr = e.chr1 WHERE chr1 = chr2 AND r2 >= b + (c - b) * (1 - 0.5e0) AND snp1 IN (SELECT marker FROM mp) AND snp2 IN (SELECT marker FROM mp)),
+    rounds(kind, u, v, s) AS (
+        SELECT 0, least(snp1, snp2), greatest(snp1, snp2), max(r2) FROM th GROUP BY ALL
+        UNION ALL
+        (WITH live AS (SELECT u, v, s FROM rounds WHERE kind = 0), ends AS (SELECT u AS w, u, v, s FROM live UNION ALL SELECT v, u, v, s FROM live),
+         best AS (SELECT w, arg_min((u, v), (-s, u, v)) AS e FROM ends GROUP BY w), merges AS (SELECT e[2] AS old, e[1] AS new FROM best GROUP BY e HAVING count(*) = 2),
+         role AS (SELECT old AS w, new FROM merges UNION ALL SELECT new, new FROM merges),
+         moved AS (SELECT coalesce(a.new, u) AS x, coalesce(b.new, v) AS y, (CASE WHEN a.w IS NULL THEN 1 ELSE 2 END) * (CASE WHEN b.w IS NULL THEN 1 ELSE 2 END) AS need, s FROM live LEFT JOIN role a ON a.w = u LEFT JOIN role b ON b.w = v)
+         SELECT 0, least(x, y), greatest(x, y), min(s) FROM moved WHERE x <> y GROUP BY 2, 3 HAVING count(*) = max(need)
+         UNION ALL SELECT 1, old, new, NULL FROM merges)),
+    up AS MATERIALIZED (SELECT u AS old, v AS new FROM rounds WHERE kind = 1),
+    climb(marker, cluster) AS (SELECT marker, marker FROM mp UNION ALL SELECT climb.marker, up.new FROM climb JOIN up ON up.old = climb.cluster),
+    own AS MATERIALIZED (SELECT marker, cluster FROM climb WHERE cluster NOT IN (SELECT old FROM up)),
+    med AS (SELECT marker, quantile_cont(r2, 0.5) AS median_ld FROM (SELECT unnest([snp1, snp2]) AS marker, r2 FROM th JOIN own a ON a.marker = snp1 JOIN own b ON b.marker = snp2 WHERE a.cluster = b.cluster) GROUP BY marker),
+    rw AS (SELECT mp.marker, mp.chr, mp.pos, cluster, med.median_ld, count(*) OVER (PARTITION BY mp.chr, cluster) AS n_loci FROM mp JOIN own USING (marker) LEFT JOIN med USING (marker) WHERE mp.chr IS NOT NULL),
+    cl1 AS (SELECT marker, chr, pos, first_value(marker) OVER (PARTITION BY chr, cluster ORDER BY CASE WHEN n_loci > 2 THEN -median_ld END NULLS FIRST, pos NULLS FIRST, marker) AS core, n_loci, median_ld FROM rw)"""
+
+
+@query(f"WITH RECURSIVE {_STAGE1} SELECT marker, chr, pos, core, n_loci, marker = core AS is_core, round(median_ld, 9) AS median_ld FROM cl1")
 def stage1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_stage1(spark, sf_dir), "median_ld")
+    return rounded(_stage1(spark, sf_dir), "median_ld", places=9)
 
 
-@query()
+@query(f"WITH RECURSIVE {_STAGE1} SELECT marker, chr, pos, n_loci, round(median_ld, 9) AS median_ld FROM cl1 WHERE marker = core")
 def stage1_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.pruned(_stage1(spark, sf_dir))
+    return rounded(cluster.pruned(_stage1(spark, sf_dir)), "median_ld", places=9)
 
 
-@query()
+@query(f"WITH RECURSIVE {_STAGE1} SELECT chr, core, round(max(CASE WHEN marker = core THEN median_ld END), 9) AS median_ld, count(*) AS n_snps, array_to_string(list(marker ORDER BY pos NULLS FIRST, marker), ',') AS members FROM cl1 GROUP BY chr, core")
 def stage1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_table(_stage1(spark, sf_dir))
+    return rounded(cluster.cluster_table(_stage1(spark, sf_dir)), "median_ld", places=9).withColumn("members", F.array_join("members", ","))
 
 
 _CL = f"{MAP}, cl AS (SELECT marker, chr, pos, cl_id, ld_w, CAST(count(*) OVER (PARTITION BY cl_id) AS BIGINT) AS n_loci, is_core IS TRUE AS is_core FROM mp WHERE cl_id IS NOT NULL)"
@@ -580,6 +627,29 @@ def emmax_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assoc.emmax(calls(spark, sf_dir), _null_model(spark, sf_dir))
 
 
+@query(f"""
+    WITH {GENO_TABLE}, co AS (SELECT id AS ind_id, max(CASE WHEN ecotype = 'Marine' THEN 1.0e0 ELSE 0 END) AS y, max(coalesce(pop_id, 0)) AS z FROM pheno WHERE ecotype IS NOT NULL AND id IS NOT NULL GROUP BY id),
+    rs AS (SELECT ind_id, y - i - s * z AS e FROM co, (SELECT regr_intercept(y, z) AS i, regr_slope(y, z) AS s FROM co)), mk AS (SELECT DISTINCT chr, marker FROM h),
+    mm AS (SELECT marker, avg(dosage) AS mu FROM h JOIN co USING (ind_id) GROUP BY marker),
+    x AS (SELECT mk.chr, mk.marker, coalesce(h.dosage, mu, 0) AS x, e FROM mk CROSS JOIN rs LEFT JOIN h ON h.marker = mk.marker AND h.ind_id = rs.ind_id LEFT JOIN mm ON mm.marker = mk.marker),
+    r AS (SELECT chr, marker, count(*) AS n, CASE WHEN var_pop(x) > 1e-9 THEN corr(x, e) * corr(x, e) END AS r2 FROM x GROUP BY chr, marker)
+    SELECT chr, marker AS snp_idx, round(r2 / (1 - r2) * (n - 2), 6) AS f, round(r2, 6) AS r2 FROM r""")
+def emmax_unrelated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed model where nobody is related, with the population as covariate: regression on what the covariate leaves."""
+    z = table(spark, sf_dir, "pheno").where("ecotype IS NOT NULL AND id IS NOT NULL").groupBy(F.col("id").alias("ind_id")).agg(F.max(F.coalesce("pop_id", F.lit(0)).cast("double")).alias("z"))
+    who = assoc.cohort(phenotype(spark, sf_dir)).merge(z.toPandas(), on="ind_id")  # one row an individual
+    model = assoc.null_model(who["ind_id"].to_numpy(), who["y"].to_numpy(), np.eye(len(who)), who["z"].to_numpy())
+    return rounded(assoc.emmax(calls(spark, sf_dir), model), "f", "r2").drop("p")
+
+
+@query()
+def emmax_by_chromosome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chromosome's markers against the kinship of all others."""
+    who, g = assoc.cohort(phenotype(spark, sf_dir)), Tables(spark, "calls").cut(calls(spark, sf_dir))
+    inds = who["ind_id"].to_numpy()
+    return assoc.emmax(g, assoc.null_models(inds, who["y"].to_numpy(), assoc.kinship_by_chromosome(g, inds)))
+
+
 @query()
 def emmax_stepdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, g = _null_model(spark, sf_dir), calls(spark, sf_dir)
