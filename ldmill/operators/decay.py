@@ -143,7 +143,7 @@ def summarize(fits: DataFrame, prob: float = 0.95, min_valid: int = 5, min_kept:
     """``chr, a, b, c, n_used``: medians over the chromosome's fits with a in the central ``prob`` of its values; n_used counts fits before that trimming.
     Chromosomes with too few fits have no row."""
     valid = fits.where("chr IS NOT NULL AND a IS NOT NULL AND a > 0 AND c IS NOT NULL").where(~F.isnan("a") & ~F.isnan("c"))
-    tail = (1 - prob) / 2
+    tail = round((1 - prob) / 2, 12)  # 0.025, not the double above it, which would leave out a value that is itself the quantile
     limits = valid.groupBy("chr").agg(F.percentile("a", tail).alias("lo"), F.percentile("a", 1 - tail).alias("hi"), F.count(F.lit(1)).alias("n_used")).where(F.col("n_used") >= min_valid)
     kept = valid.join(broadcast_if_small(limits), "chr").where("a BETWEEN lo AND hi")
     out = kept.groupBy("chr").agg(F.percentile("a", 0.5).alias("a"), F.min("b").alias("b"), F.percentile("c", 0.5).alias("c"), F.max("n_used").alias("n_used"), F.count(F.lit(1)).alias("kept"))
