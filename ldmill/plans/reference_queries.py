@@ -251,9 +251,9 @@ _FITS = "f AS (SELECT chr, a, b, c FROM decay_sum WHERE chr IS NOT NULL AND a IS
 
 @query(f"""
     WITH {_FITS}, l AS (SELECT chr, quantile_cont(a, 0.025) AS lo, quantile_cont(a, 0.975) AS hi, count(*) AS n_used FROM f GROUP BY chr HAVING count(*) >= 5)
-    SELECT chr, round(quantile_cont(a, 0.5), 9) AS a, round(min(b), 6) AS b, round(quantile_cont(c, 0.5), 6) AS c, max(n_used) AS n_used FROM f JOIN l USING (chr) WHERE a BETWEEN lo AND hi GROUP BY chr HAVING count(*) >= 3""")
+    SELECT chr, round(quantile_cont(a, 0.5), 12) AS a, round(min(b), 6) AS b, round(quantile_cont(c, 0.5), 9) AS c, max(n_used) AS n_used FROM f JOIN l USING (chr) WHERE a BETWEEN lo AND hi GROUP BY chr HAVING count(*) >= 3""")
 def decay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rounded(decay.summarize(table(spark, sf_dir, "decay_sum")), "b", "c"), "a", places=9)
+    return rounded(rounded(rounded(decay.summarize(table(spark, sf_dir, "decay_sum")), "b"), "c", places=9), "a", places=12)
 
 
 RHOS = [0.5, 0.9, 0.95, 0.99]
@@ -288,13 +288,14 @@ def rho_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
             FROM (SELECT it.k, x - 16 AS x, y, CASE WHEN k = 0 THEN 1.0e0 ELSE least(1.0e0, 1.345e0 * scale / greatest(abs(y - (i - 16 * s) - s * x + s * 0), 1e-300)) END AS w FROM it, xy WHERE k < 50 AND (k < 2 OR scale >= 1e-12)) it GROUP BY it.k) g,
             (SELECT x - 16 AS x, y FROM xy) xy GROUP BY ALL),
     be AS (SELECT i, s FROM it ORDER BY k DESC LIMIT 1)
-    SELECT chr, round(a, 9) AS a, round(c, 6) AS c, round(exp(i + s * (ln(chr_size) - 16)), 9) AS a_pred, round((SELECT quantile_cont(c, 0.5) FROM j), 6) AS c_pred,
+    SELECT chr, round(a, 12) AS a, round(c, 9) AS c, round(exp(i + s * (ln(chr_size) - 16)), 9) AS a_pred, round((SELECT quantile_cont(c, 0.5) FROM j), 9) AS c_pred,
         round(a * bp_per_snp * 1000 / (1 + a * bp_per_snp * 1000), 6) AS rho_slide_raw, round(exp(i + s * (ln(chr_size) - 16)) * bp_per_snp * 1000 / (1 + exp(i + s * (ln(chr_size) - 16)) * bp_per_snp * 1000), 6) AS rho_slide_pred FROM j, be""".replace("(i - 16 * s) - s * x + s * 0", "i - s * (x - 16)"))
 def size_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trimmed summary of every chromosome with its rate as the robust size model predicts it, and the share of decay that the default slide reaches."""
     scale = decay.chromosome_scale(markers(spark, sf_dir, "chr", "pos"))
     summary, _ = decay.size_model(Tables(spark, "sizes").cut(decay.summarize(table(spark, sf_dir, "decay_sum")).join(broadcast_if_small(scale), "chr")))
-    return rounded(rounded(decay.reached_rho(summary), "c", "c_pred", "rho_slide_raw", "rho_slide_pred"), "a", "a_pred", places=9).select("chr", "a", "c", "a_pred", "c_pred", "rho_slide_raw", "rho_slide_pred")
+    out = rounded(rounded(decay.reached_rho(summary), "rho_slide_raw", "rho_slide_pred"), "c", "c_pred", "a_pred", places=9)
+    return rounded(out, "a", places=12).select("chr", "a", "c", "a_pred", "c_pred", "rho_slide_raw", "rho_slide_pred")
 
 
 _LDW = f"""
