@@ -1,4 +1,4 @@
-"""Small numerical helpers for the pandas functions: F tail, average linkage, variance components."""
+"""Small numerical helpers for the pandas functions: F tail, correlations, variance components."""
 
 from __future__ import annotations
 
@@ -40,36 +40,14 @@ def f_tail(f: np.ndarray, df1: float, df2: float) -> np.ndarray:
     return beta_tail(df2 / 2, df1 / 2, df2 / (df2 + df1 * np.maximum(f, 0)))
 
 
-def average_linkage(similarity: np.ndarray) -> list[tuple[int, int, float]]:
-    """The merges (left node, right node, distance) of average linkage on 1 - similarity, lowest first; leaves 0..n-1, the k-th merge makes node n + k.
-    Equal distances are taken in the order of the smaller, then the larger cluster's first leaf."""
-    n = len(similarity)
-    d = 1 - np.asarray(similarity, dtype=float)
-    np.fill_diagonal(d, np.inf)
-    node, size = np.arange(n), np.ones(n)
-    out = []
-    for k in range(n - 1):
-        i, j = divmod(int(np.argmin(d)), n)  # row-major: the first of equals
-        out.append((int(node[i]), int(node[j]), float(d[i, j])))
-        new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = new, new
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        node[i] = n + k
-    return out
-
-
-def pairwise_r2(x: np.ndarray) -> np.ndarray:
-    """Squared correlation of the columns over the rows both have; 0 where undefined."""
-    m = np.isfinite(x).astype(float)
-    v = np.where(m > 0, x, 0.0)
-    v = v - v.sum(axis=0) / np.maximum(m.sum(axis=0), 1) * m
-    n, s, q, sq = m.T @ m, v.T @ m, (v * v).T @ m, v.T @ v
-    top, bottom = n * sq - s * s.T, (n * q - s * s) * (n * q.T - s.T * s.T)
+def cross_r2(x: np.ndarray, m: np.ndarray, y: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Squared correlation of every row of x with every row of y over the columns both have (m, k: 1 where present); 0 where undefined."""
+    v = x - x.sum(axis=1, keepdims=True) / np.maximum(m.sum(axis=1, keepdims=True), 1) * m
+    u = y - y.sum(axis=1, keepdims=True) / np.maximum(k.sum(axis=1, keepdims=True), 1) * k
+    n, sx, sy, sxx, syy, sxy = m @ k.T, v @ k.T, m @ u.T, (v * v) @ k.T, m @ (u * u).T, v @ u.T
+    top, bottom = n * sxy - sx * sy, (n * sxx - sx * sx) * (n * syy - sy * sy)
     with np.errstate(divide="ignore", invalid="ignore"):
-        r2 = np.where(bottom > 1e-18, top * top / bottom, 0.0)
-    return np.minimum(r2, 1.0)
+        return np.minimum(1.0, np.where(bottom > 1e-18, top * top / bottom, 0.0))
 
 
 def reml(y: np.ndarray, vectors: np.ndarray, values: np.ndarray, grid: int = 100) -> tuple[float, float]:

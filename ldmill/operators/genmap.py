@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ldmill.functions.ordered import blocks_of, ranked
 from ldmill.session import broadcast_if_small
 
 
@@ -16,8 +17,9 @@ def interpolate_cm(genetic_map: DataFrame, points: DataFrame, width: int = 1_000
     A range join made an equal one: segments and points meet in buckets of ``width`` base pairs.
     """
     m = genetic_map.where("chr IS NOT NULL AND pos IS NOT NULL AND cm IS NOT NULL").groupBy("chr", "pos").agg(F.min("cm").alias("cm"))
-    order = Window.partitionBy("chr").orderBy("pos")
-    seg = m.select("chr", F.col("pos").alias("p0"), F.col("cm").alias("c0"), F.lead("pos").over(order).alias("p1"), F.lead("cm").over(order).alias("c1")).where("p1 IS NOT NULL")
+    near = blocks_of(ranked(m, ["chr"], "pos", [], "rk_"), "rk_", 0, 1)
+    order = Window.partitionBy("chr", "block_").orderBy("rk_")
+    seg = near.select("own_", "chr", F.col("pos").alias("p0"), F.col("cm").alias("c0"), F.lead("pos").over(order).alias("p1"), F.lead("cm").over(order).alias("c1")).where("own_ AND p1 IS NOT NULL").drop("own_")
     bucket = lambda c: F.floor(F.col(c) / width)
     seg = seg.withColumn("bucket", F.explode(F.sequence(bucket("p0"), bucket("p1"))))
     ends = m.groupBy("chr").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min_by("cm", "pos").alias("cm_first"), F.max_by("cm", "pos").alias("cm_last")).where("first < last")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,17 @@ def hashed(pairs: DataFrame, a: str, b: str, tables: Tables) -> tuple[DataFrame,
     raise RuntimeError("no collision-free seed")
 
 
+def roots(forest: DataFrame, tables: Tables) -> DataFrame:
+    """``w, p`` with p the root of each ``w`` in a forest of links ``(w, p)``; pointers double until none moves."""
+    up = tables.cut(forest.select("w", "p"))
+    while True:
+        above = up.select(F.col("w").alias("p"), F.col("p").alias("next"))
+        jump = tables.cut(up.join(above, "p", "left").select("w", F.coalesce("next", "p").alias("p"), F.col("next").isNotNull().alias("moved")), moved=F.count_if("moved"))
+        up = jump.select("w", "p")
+        if not figure(jump, "moved"):
+            return up
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """``v, component``: the smallest vertex each vertex of the undirected ``edges (u, v)`` is linked to; isolated ``vertices (v)`` are their own component.
 
@@ -92,15 +105,5 @@ def complete_linkage(edges: DataFrame) -> DataFrame:
         live = after
     if not forest:
         return vertices.withColumn("cluster", F.col("v"))
-    up = forest[0]
-    for f in forest[1:]:
-        up = up.unionByName(f)
-    up = tables.cut(up.select(F.col("old").alias("w"), F.col("new").alias("p")))
-    while True:
-        above = up.select(F.col("w").alias("p"), F.col("p").alias("next"))
-        on = F.col("next").isNotNull()
-        jump = tables.cut(up.join(above, "p", "left").select("w", F.coalesce("next", "p").alias("p"), on.alias("moved")), moved=F.count_if("moved"))
-        up = jump.select("w", "p")
-        if not figure(jump, "moved"):
-            break
+    up = roots(reduce(DataFrame.unionByName, forest).select(F.col("old").alias("w"), F.col("new").alias("p")), tables)
     return vertices.join(up, vertices["v"] == up["w"], "left").select("v", F.coalesce("p", "v").alias("cluster"))

@@ -21,9 +21,8 @@ def by_first_appearance(rows: DataFrame, key: str, order: str, within: list[str]
     """``rows`` with ``appearance`` (1.. in the order in which keys first occur) and ``colour`` (1..12)."""
     keys = within or []
     first = rows.where(F.col(key).isNotNull()).groupBy(*keys, key).agg(F.min(order).alias("first_"))
-    w = Window.partitionBy(*keys).orderBy("first_", key)
-    ranked = first.withColumn("appearance", F.dense_rank().over(w)).drop("first_")
-    return rows.join(broadcast_if_small(ranked), [*keys, key], "left").withColumn("colour", palette_index(F.col("appearance")))
+    placed = ranked(first, keys, "first_", [key], "appearance").withColumn("appearance", F.col("appearance") + 1).drop("first_")
+    return rows.join(broadcast_if_small(placed), [*keys, key], "left").withColumn("colour", palette_index(F.col("appearance")))
 
 
 def stage_points(clustered: DataFrame, groups: DataFrame, chromosome: str | None, ld_w: str, threshold: float, direction: str = "high", min_n_loci_flag: float = float("inf"), result_params: dict | None = None) -> DataFrame:

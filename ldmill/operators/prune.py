@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,11 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ldmill.functions.numerics import average_linkage, pairwise_r2
-from ldmill.functions.scalar import d_from_rho
-from ldmill.operators.emlg import consensus, correlations, scores
+from ldmill.functions.numerics import cross_r2
+from ldmill.functions.ordered import blocks_of, ranked, running_sum
+from ldmill.functions.ordered import running_max as running_max_of
+from ldmill.functions.scalar import d_from_rho, finite
+from ldmill.operators.emlg import consensus, scores
 from ldmill.operators.genmap import interpolate_cm
-from ldmill.session import Tables, broadcast_if_small
+from ldmill.operators.graph import roots
+from ldmill.session import Tables, broadcast_if_small, figure
 
 
 def flag_clusters(clustered: DataFrame, ld_w: str, threshold: float, min_n_loci_flag: float = float("inf")) -> DataFrame:
@@ -28,10 +33,16 @@ def flag_clusters(clustered: DataFrame, ld_w: str, threshold: float, min_n_loci_
 def split_runs(clusters: DataFrame, gap: str = "gap", start: str = "pos_min", end: str = "pos_max", running_max: bool = False) -> DataFrame:
     """``clusters`` with ``run`` (1.. along each chromosome): a new run starts where a cluster begins more than the row's ``gap`` after the end of the one before it, or
     where either is unknown. ``running_max`` compares with the furthest end so far instead, so that a nested short cluster doesn't split a long block."""
-    order = Window.partitionBy("chr").orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end), "cluster")
-    last = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)) if running_max else F.lag(end).over(order)
-    new = F.coalesce((F.col(start) - last > F.col(gap)), F.lit(True))
-    return clusters.withColumn("new_", new.cast("int")).withColumn("run", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
+    placed = ranked(clusters, ["chr"], start, [F.asc_nulls_last(end), "cluster"], "rk_")
+    value = end
+    if running_max:
+        placed, value = running_max_of(placed, ["chr"], "rk_", [], end, "far_"), "far_"
+    # the row before, also over the edge of a block of ranks
+    near = blocks_of(placed, "rk_", 1, 0)
+    last = F.lag(value).over(Window.partitionBy("chr", "block_").orderBy("rk_"))
+    new = F.coalesce((F.col(start) - last > F.col(gap)), F.lit(True)).cast("int")
+    near = near.withColumn("new_", new).where("own_").drop("block_", "own_")
+    return running_sum(near, ["chr"], "rk_", "new_", "run").drop("rk_", "new_", "far_")
 
 
 def gaps(clusters: DataFrame, params: DataFrame | None = None, rho: float | None = 0.95, distance_threshold: float | None = None, genetic_map: DataFrame | None = None, cm_threshold: float | None = None, on_missing: str = "error") -> tuple[DataFrame, str, str]:
@@ -81,56 +92,110 @@ def merge_pair(left: np.ndarray, right: np.ndarray, w_left: float, w_right: floa
         return np.where(w > 0, (w_left * np.where(hl, left, 0) + w_right * np.where(hr, right, 0)) / w, np.nan)
 
 
-def dynamic_cut(values: np.ndarray, n_loci: np.ndarray, threshold: float, min_r2: float = 0.2) -> list[tuple[list[int], np.ndarray, float]]:
-    """Groups of the columns of ``values`` (individuals x clusters), each with its consensus and score.
+def vectors(cons: DataFrame) -> DataFrame:
+    """``cluster, inds, vals``: each cluster's consensus in the order of individuals, as one row."""
+    x = cons.groupBy(F.col("cluster").cast("string").alias("cluster")).agg(F.sort_array(F.collect_list(F.struct("ind_id", F.col("value").cast("double").alias("value")))).alias("x"))
+    return x.select("cluster", F.col("x.ind_id").alias("inds"), F.col("x.value").alias("vals"))
 
-    The average-linkage tree on 1 - r2 is walked from the leaves: a merge is taken if the two sides' r2 is at least ``min_r2`` and the merged consensus scores at least
-    ``threshold``; a refused merge closes both sides, and everything above a closed side stays closed. Every column ends in one group; one column is its own group.
+
+def _matrix(pdf: pd.DataFrame, inds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = np.zeros((len(pdf), len(inds)))
+    for i, (who, v) in enumerate(zip(pdf["inds"], pdf["vals"], strict=True)):
+        x[i] = _aligned(np.asarray(who), np.asarray(v, dtype=float), inds)
+    m = np.isfinite(x).astype(float)
+    return np.where(m > 0, x, 0.0), m
+
+
+def _aligned(who: np.ndarray, v: np.ndarray, inds: np.ndarray) -> np.ndarray:
+    out = np.full(len(inds), np.nan)
+    out[np.searchsorted(inds, who)] = v
+    return out
+
+
+def similarities(rows: DataFrame, block: int = 256) -> DataFrame:
+    """``chr, run, u, v, s``: the r2 of all pairs u < v of clusters of one run, 0 where undefined, from ``rows (chr, run, cluster, inds, vals)``.
+
+    Clusters of a run meet in tiles of two hashed blocks of about ``block``, so a run of any length is many tasks' work."""
+    tables = Tables(rows.sparkSession, "similar")
+    rows = tables.cut(rows)
+    blocks = tables.cut(rows.groupBy("chr", "run").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb")).where("nb > 0"))
+    r = rows.join(broadcast_if_small(blocks), ["chr", "run"]).withColumn("b", F.pmod(F.xxhash64("cluster"), "nb").cast("int"))
+    r = r.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"lo": F.least("b", "k"), "hi": F.greatest("b", "k")})
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        inds = np.unique(np.concatenate([np.asarray(i) for i in pdf["inds"]]))
+        x, m = _matrix(pdf, inds)
+        names, b = pdf["cluster"].to_numpy(), pdf["b"].to_numpy()
+        left = np.flatnonzero(b == pdf["lo"].iloc[0])
+        right = np.flatnonzero(b == pdf["hi"].iloc[0])
+        s = cross_r2(x[left], m[left], x[right], m[right])
+        i, j = np.nonzero(names[left][:, None] < names[right][None, :]) if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else np.indices(s.shape).reshape(2, -1)
+        one, two = names[left][i], names[right][j]
+        first = one < two
+        return pd.DataFrame({"chr": pdf["chr"].iloc[0], "run": pdf["run"].iloc[0], "u": np.where(first, one, two), "v": np.where(first, two, one), "s": s[i, j]})
+
+    return r.groupBy("chr", "run", "lo", "hi").applyInPandas(tile, "chr string, run bigint, u string, v string, s double")
+
+
+def dynamic_cut(rows: DataFrame, sims: DataFrame, threshold: float, min_r2: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Pieces of every run, ``chr, run, piece, inds, vals, score``, and their clusters, ``piece, cluster``; a piece is named by its smallest cluster.
+
+    ``rows (chr, run, cluster, n_loci, inds, vals)``, ``sims`` of all their pairs. The average-linkage tree on 1 - r2 is walked from the leaves: a merge is taken if the two sides'
+    r2 is at least ``min_r2`` and the merged consensus scores at least ``threshold``; a refused merge closes both sides, and everything above a closed side stays closed.
+
+    Average linkage is reducible: nodes that are each other's most similar can merge in any order. So every round merges all such pairs of all runs at once, sums of
+    similarities add up between merged nodes, and what is open moves up as rows; neither a run nor its tree has to fit a task. Equal similarities go by the smaller, then the larger name.
     """
-    n = values.shape[1]
-    if len(n_loci) != n:
-        raise ValueError("every cluster needs its number of loci")
-    state: dict[int, tuple[list[int], np.ndarray, float] | None] = {i: ([i], values[:, i], float(n_loci[i])) for i in range(n)}
-    done = []
-    close = lambda s: done.append((s[0], s[1], clean_score(s[1])))
-    for k, (i, j, _) in enumerate(average_linkage(pairwise_r2(values))):
-        left, right = state.pop(i), state.pop(j)
-        state[n + k] = None
-        if left is None or right is None:
-            for s in (left, right):
-                if s is not None:
-                    close(s)
-            continue
-        r2 = _corr(left[1], right[1]) ** 2
-        merged = merge_pair(left[1], right[1], left[2], right[2])
-        if r2 >= min_r2 and clean_score(merged) >= threshold:
-            state[n + k] = (left[0] + right[0], merged, left[2] + right[2])
-        else:
-            close(left)
-            close(right)
-    for s in state.values():
-        if s is not None:
-            close(s)
-    return done
-
-
-def cut_runs(cons: DataFrame, runs: DataFrame, threshold: float, min_r2: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """Dynamic cut within every run of ``runs (chr, run, cluster, n_loci)`` over ``cons (cluster, ind_id, value)``: ``chr, run, piece, cluster`` and the
-    consensus ``chr, run, piece, ind_id, value`` with ``score``. A run, bounded by the distance gap, is one task's work; a run of one cluster skips the tree."""
-    rows = cons.join(broadcast_if_small(runs.select("chr", "run", "cluster", "n_loci")), "cluster")
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="ind_id", columns="cluster", values="value").sort_index()
-        loci = pdf.drop_duplicates("cluster").set_index("cluster")["n_loci"]
-        names = list(wide.columns)
-        groups = dynamic_cut(wide.to_numpy(dtype=float), loci.loc[names].to_numpy(dtype=float), threshold, min_r2)
-        out = []
-        for k, (members, values, score) in enumerate(sorted(groups, key=lambda g: min(g[0])), 1):
-            out.append(pd.DataFrame({"chr": pdf["chr"].iloc[0], "run": pdf["run"].iloc[0], "piece": k, "clusters": [[str(names[m]) for m in members]] * len(wide), "ind_id": wide.index, "value": values, "score": score}))
-        return pd.concat(out, ignore_index=True)
-
-    out = rows.select("chr", "run", F.col("cluster").cast("string").alias("cluster"), "n_loci", "ind_id", "value").groupBy("chr", "run").applyInPandas(cut, "chr string, run bigint, piece int, clusters array<string>, ind_id bigint, value double, score double")
-    return out.select("chr", "run", "piece", F.explode("clusters").alias("cluster")).distinct(), out.drop("clusters")
+    tables = Tables(rows.sparkSession, "cut")
+    open_ = tables.cut(rows.select("chr", "run", F.col("cluster").alias("node"), F.col("n_loci").cast("double").alias("w"), "inds", "vals"))
+    live = tables.cut(sims.select("chr", "run", F.struct(F.col("u").alias("name"), F.lit(1).cast("long").alias("n")).alias("a"), F.struct(F.col("v").alias("name"), F.lit(1).cast("long").alias("n")).alias("b"), "s"))
+    clusters, done, forest = open_.select(F.col("node").alias("cluster")), [], []
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                inds = np.union1d(np.asarray(r.inds), np.asarray(r.inds2))
+                left, right = _aligned(np.asarray(r.inds), np.asarray(r.vals, dtype=float), inds), _aligned(np.asarray(r.inds2), np.asarray(r.vals2, dtype=float), inds)
+                merged = merge_pair(left, right, r.w, r.w2)
+                ok = _corr(left, right) ** 2 >= min_r2 and clean_score(merged) >= threshold
+                out.append((r.chr, r.run, r.node, r.node2, r.w + r.w2, inds, merged, bool(ok)))
+            yield pd.DataFrame(out, columns=["chr", "run", "node", "node2", "w", "inds", "vals", "ok"])
+
+    kinds = "chr string, run bigint, node string, node2 string, w double, inds array<bigint>, vals array<double>, ok boolean"
+    while figure(live) and figure(open_):
+        mean = F.col("s") / F.col("a.n") / F.col("b.n")
+        ends = live.select("chr", "run", F.struct((-mean).alias("k"), "a", "b").alias("e")).withColumn("w", F.explode(F.array("e.a.name", "e.b.name")))
+        best = ends.groupBy("chr", "run", "w").agg(F.min("e").alias("e")).groupBy("chr", "run", "e").agg(F.count(F.lit(1)).alias("c")).where("c = 2")
+        pairs = tables.cut(best.select("chr", "run", F.col("e.a.name").alias("node"), F.col("e.b.name").alias("node2"), (F.col("e.a.n") + F.col("e.b.n")).alias("n")))
+        taken = broadcast_if_small(pairs.select(F.explode(F.array("node", "node2")).alias("w"), F.col("node").alias("name"), "n"), within=pairs)
+        # both sides open: try the merge; a side whose partner is closed closes too
+        two = open_.select(*[F.col(c).alias(f"{c}2") for c in ("node", "w", "inds", "vals")])
+        tried = tables.cut(broadcast_if_small(pairs.drop("n"), within=pairs).join(open_, ["chr", "run", "node"]).join(two, "node2").mapInPandas(merge, kinds))
+        won = tried.where("ok")
+        forest.append(won.select(F.col("node2").alias("w"), F.col("node").alias("p")))
+        paired = open_.join(taken.select(F.col("w").alias("node")), "node", "left_semi")
+        done.append(paired.join(broadcast_if_small(won.select(F.explode(F.array("node", "node2")).alias("node")), within=pairs), "node", "left_anti"))
+        side = lambda c: live.join(taken.withColumnRenamed("w", f"{c}_"), F.col(f"{c}.name") == F.col(f"{c}_"), "left").withColumn(c, F.when(F.col(f"{c}_").isNotNull(), F.struct("name", "n")).otherwise(F.col(c))).drop(f"{c}_", "name", "n")  # noqa: B023, E731
+        live_ = live
+        live = side("a")
+        live = side("b")
+        after = tables.cut(live.where("a.name <> b.name").groupBy("chr", "run", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s")))
+        tables.drop(live_)
+        live = after
+        rest = open_.join(taken.select(F.col("w").alias("node")), "node", "left_anti")
+        open_ = tables.cut(rest.select("chr", "run", "node", "w", "inds", "vals").unionByName(won.select("chr", "run", "node", "w", "inds", "vals")))
+    pieces = reduce(DataFrame.unionByName, [d.select("chr", "run", "node", "inds", "vals") for d in [*done, open_]])
+
+    @F.pandas_udf("double")
+    def score(vals: pd.Series) -> pd.Series:
+        return pd.Series([clean_score(np.asarray(v, dtype=float)) for v in vals])
+
+    pieces = tables.cut(pieces.select("chr", "run", F.col("node").alias("piece"), "inds", "vals", finite(score("vals")).alias("score")))
+    if not forest:
+        return pieces, clusters.select(F.col("cluster").alias("piece"), "cluster")
+    up = roots(reduce(DataFrame.unionByName, forest), tables)
+    return pieces, clusters.join(up, clusters["cluster"] == up["w"], "left").select(F.coalesce("p", "cluster").alias("piece"), "cluster")
 
 
 @dataclass
@@ -141,20 +206,19 @@ class Stage2:
     params: dict
 
 
-def pick_representative(cons: DataFrame, members: DataFrame) -> DataFrame:
-    """``group_id, cluster`` for ``members (group_id, cluster)``: the cluster with the highest median r2 of its consensus to the others', the first of equals."""
-    left = cons.join(members, "cluster")
-    pairs = left.select("group_id", "ind_id", F.col("cluster").alias("c1"), F.col("value").alias("v1")).join(left.select("group_id", "ind_id", F.col("cluster").alias("c2"), F.col("value").alias("v2")), ["group_id", "ind_id"]).where("c1 <> c2")
-    r = correlations(pairs, ["group_id", "c1", "c2"], "v1", "v2").groupBy("group_id", "c1").agg(F.round(F.percentile(F.coalesce(F.col("r") * F.col("r"), F.lit(0.0)), 0.5), 12).alias("m"))
-    best = r.groupBy("group_id").agg(F.min(F.struct((-F.col("m")).alias("k"), F.col("c1"))).alias("b")).select("group_id", F.col("b.c1").alias("cluster"))
-    single = members.groupBy("group_id").agg(F.min("cluster").alias("first"))
-    return single.join(best, "group_id", "left").select("group_id", F.coalesce("cluster", "first").alias("cluster"))
+def pick_representative(sims: DataFrame, members: DataFrame) -> DataFrame:
+    """``piece, cluster`` for ``members (piece, cluster)``: the cluster with the highest median r2 of its consensus to the others', the first of equals."""
+    end = lambda c: members.select(F.col("cluster").alias(c), F.col("piece").alias(f"p{c}"))
+    inside = sims.join(end("u"), "u").join(end("v"), "v").where("pu = pv")
+    medians = inside.select(F.col("pu").alias("piece"), "s", F.explode(F.array("u", "v")).alias("cluster")).groupBy("piece", "cluster").agg(F.round(F.percentile("s", 0.5), 12).alias("m"))
+    best = medians.groupBy("piece").agg(F.min(F.struct((-F.col("m")).alias("k"), "cluster")).alias("b")).select("piece", F.col("b.cluster").alias("best"))
+    return members.groupBy("piece").agg(F.min("cluster").alias("first")).join(best, "piece", "left").select("piece", F.coalesce("best", "first").alias("cluster"))
 
 
 def stage2(geno: DataFrame, clustered: DataFrame, ld_w: str, ld_w_threshold: float, params: DataFrame | None = None, rho: float | None = 0.95, score_threshold: float = 0.8, min_r2: float = 0.2, distance_threshold: float | None = None, genetic_map: DataFrame | None = None, cm_threshold: float | None = None, compute_unflagged: bool = True, min_n_loci_emlg: int = 1, min_n_loci_flag: float = float("inf")) -> Stage2:
     """Groups, consensus and pruned markers from ``geno (ind_id, marker, dosage)`` and ``clustered (marker, chr, pos, cluster, core, is_core, <ld_w>)``.
 
-    Clusters that are not flagged pass through as ``U<cluster>``; flagged ones are cut within distance runs and come out as ``F<chr>:<run>:<piece>``.
+    Clusters that are not flagged pass through as ``U<cluster>``; flagged ones are cut within distance runs and come out as ``F<chr>:<run>:<first cluster>``.
     """
     flags = flag_clusters(clustered, ld_w, ld_w_threshold, min_n_loci_flag)
     flagged, start, end = gaps(flags.where("flagged"), params, rho, distance_threshold, genetic_map, cm_threshold)
@@ -162,15 +226,17 @@ def stage2(geno: DataFrame, clustered: DataFrame, ld_w: str, ld_w_threshold: flo
     calls = geno.join(broadcast_if_small(clustered.select("marker", "cluster", F.struct("pos", "marker").alias("ord"))), "marker").select("cluster", "ord", "ind_id", "dosage")
     tables = Tables(geno.sparkSession, "stage2")
     cons = tables.cut(consensus(calls))
-    cut, merged = cut_runs(cons, runs.select("chr", "run", F.col("cluster").cast("string").alias("cluster"), "n_loci"), score_threshold, min_r2)
-    cut, merged = tables.cut(cut), tables.cut(merged)
-    named = cut.select("cluster", F.concat(F.lit("F"), F.concat_ws(":", "chr", F.col("run").cast("string"), F.col("piece").cast("string"))).alias("group_id"), "chr")
+    own = tables.cut(runs.select("chr", "run", F.col("cluster").cast("string").alias("cluster"), "n_loci"))
+    rows = tables.cut(vectors(cons).join(broadcast_if_small(own), "cluster").select("chr", "run", "cluster", "n_loci", "inds", "vals"))
+    sims = tables.cut(similarities(rows.drop("n_loci")))
+    pieces, members = dynamic_cut(rows, sims, score_threshold, min_r2)
+    members = tables.cut(members)
+    group = F.concat(F.lit("F"), F.concat_ws(":", "chr", F.col("run").cast("string"), "piece")).alias("group_id")
     heads = clustered.where("is_core").select(F.col("cluster").cast("string").alias("cluster"), "core")
     sizes = flags.select(F.col("cluster").cast("string").alias("cluster"), "n_loci", "flagged", "chr")
-    best = pick_representative(cons.withColumn("cluster", F.col("cluster").cast("string")), named.select("group_id", "cluster")).join(heads, "cluster").select("group_id", F.col("core").alias("representative"))
-    f = named.join(sizes.drop("chr"), "cluster").groupBy("group_id", "chr").agg(F.sum("n_loci").alias("n_loci"))
-    fscore = merged.select(F.concat(F.lit("F"), F.concat_ws(":", "chr", F.col("run").cast("string"), F.col("piece").cast("string"))).alias("group_id"), "score").distinct()
-    f = f.join(best, "group_id").join(fscore, "group_id").withColumn("has_emlg", F.col("n_loci") >= min_n_loci_emlg)
+    best = pick_representative(sims, members).join(heads, "cluster").select("piece", F.col("core").alias("representative"))
+    f = members.join(own.select("cluster", "n_loci"), "cluster").groupBy("piece").agg(F.sum("n_loci").alias("n_loci"))
+    f = pieces.select("chr", "run", "piece", "score").join(f, "piece").join(best, "piece").select(group, "chr", "representative", "n_loci", "score", (F.col("n_loci") >= min_n_loci_emlg).alias("has_emlg"))
     quiet = sizes.where("NOT flagged")
     has = F.lit(bool(compute_unflagged)) & (F.col("n_loci") >= min_n_loci_emlg)
     u_scores = scores(cons).select(F.col("cluster").cast("string").alias("cluster"), "score")
@@ -178,6 +244,6 @@ def stage2(geno: DataFrame, clustered: DataFrame, ld_w: str, ld_w_threshold: flo
     cols = ["group_id", "chr", "representative", "n_loci", "score", "has_emlg"]
     groups = u.select(*cols).unionByName(f.select(*cols))
     u_values = cons.select(F.concat(F.lit("U"), F.col("cluster").cast("string")).alias("group_id"), "ind_id", "value")
-    f_values = merged.select(F.concat(F.lit("F"), F.concat_ws(":", "chr", F.col("run").cast("string"), F.col("piece").cast("string"))).alias("group_id"), "ind_id", "value")
+    f_values = pieces.select(group, F.explode(F.arrays_zip("inds", "vals")).alias("x")).select("group_id", F.col("x.inds").alias("ind_id"), finite(F.col("x.vals")).alias("value"))
     emlg = u_values.unionByName(f_values).join(groups.where("has_emlg").select("group_id"), "group_id", "left_semi")
     return Stage2(groups, emlg, groups.select(F.col("representative").alias("marker"), "chr", "group_id"), {"ld_w": ld_w, "ld_w_threshold": ld_w_threshold, "min_n_loci_flag": min_n_loci_flag, "score_threshold": score_threshold, "min_r2": min_r2})

@@ -6,13 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ldmill.functions.numerics import average_linkage, f_tail, pairwise_r2
+from ldmill.functions.numerics import f_tail
 from ldmill.functions.ordered import bh_adjust, blocks_of, quantiles, ranked, running_sum
 from ldmill.functions.scalar import d_from_rho, ld_from_rho
 from ldmill.operators import assoc, cluster, decay, emlg, genmap, genotypes, graph, ldw, outlier, pairs, plotdata, popgen, prune
 from ldmill.plans import reference_queries
 from ldmill.sources import tables
 
+from brute_cut import average_linkage, dynamic_cut, pairwise_r2
+
 
 def long_calls(spark, matrix, chrs=None, pos=None):
     m = len(matrix[0])
@@ -303,8 +305,8 @@ def test_dynamic_cut_gate(spark):
     a, b = np.zeros(200), np.full(200, 2.0)
     a[0], b[1] = 1, 1
     x = np.column_stack([a, b])
-    assert len(prune.dynamic_cut(x, np.array([1, 1]), 0.8, 0.2)) == 2
-    assert len(prune.dynamic_cut(x, np.array([1, 1]), 0.8, 0.0)) == 1
+    assert len(dynamic_cut(x, np.array([1, 1]), 0.8, 0.2)) == 2
+    assert len(dynamic_cut(x, np.array([1, 1]), 0.8, 0.0)) == 1
 
 
 def test_dynamic_cut_keeps_every_column_once_and_weighs(spark):
@@ -312,13 +314,39 @@ def test_dynamic_cut_keeps_every_column_once_and_weighs(spark):
     base = rng.integers(0, 3, (100, 4)).astype(float)
     x = np.column_stack([base[:, i % 4] for i in range(12)])
     x[rng.random(x.shape) < 0.02] = np.nan
-    groups = prune.dynamic_cut(x, np.ones(12), 0.8)
+    groups = dynamic_cut(x, np.ones(12), 0.8)
     assert sorted(m for g in groups for m in g[0]) == list(range(12)) and len(groups) == 4
-    assert prune.dynamic_cut(x[:, :1], np.ones(1), 0.8)[0][0] == [0]
+    assert dynamic_cut(x[:, :1], np.ones(1), 0.8)[0][0] == [0]
     got = prune.merge_pair(np.array([0.0, 2.0]), np.array([1.0, 2.0]), 100, 1)
     assert got == pytest.approx([1 / 101, 2.0])
     with pytest.raises(ValueError):
-        prune.dynamic_cut(x, np.ones(3), 0.8)
+        dynamic_cut(x, np.ones(3), 0.8)
+
+
+@pytest.mark.parametrize(("threshold", "min_r2", "block"), [(0.8, 0.2, 7), (0.5, 0.2, 1000), (0.9, 0.0, 7)])
+def test_distributed_cut_is_the_textbook_one(spark, threshold, min_r2, block):
+    rng = np.random.default_rng(21)
+    rows, want = [], set()
+    for run, n in ((1, 40), (2, 1), (3, 17)):
+        base = rng.integers(0, 3, (90, 6)).astype(float)
+        x = np.column_stack([base[:, i % 6] for i in range(n)])
+        noise = rng.random(x.shape)
+        x = np.where(noise < 0.08, rng.integers(0, 3, x.shape), x)
+        x[noise > 0.98] = np.nan
+        names = [f"c{run}_{i:02d}" for i in range(n)]
+        loci = rng.integers(1, 9, n)
+        rows += [("A", run, names[i], int(loci[i]), list(range(90)), [None if np.isnan(v) else float(v) for v in x[:, i]]) for i in range(n)]
+        for members, values, score in dynamic_cut(x, loci, threshold, min_r2):
+            want.add((min(names[m] for m in members), tuple(sorted(names[m] for m in members)), None if np.isnan(score) else round(score, 6), round(float(np.nansum(values)), 5)))
+    df = spark.createDataFrame(rows, "chr string, run bigint, cluster string, n_loci int, inds array<bigint>, vals array<double>")
+    sims = prune.similarities(df.drop("n_loci"), block)
+    assert sims.count() == 40 * 39 // 2 + 17 * 16 // 2
+    pieces, members = prune.dynamic_cut(df, sims, threshold, min_r2)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r["piece"], []).append(r["cluster"])
+    got = {(r["piece"], tuple(sorted(of[r["piece"]])), None if r["score"] is None else round(r["score"], 6), round(float(np.nansum(np.array(r["vals"], dtype=float))), 5)) for r in pieces.collect()}
+    assert got == want and sum(len(m) for m in of.values()) == 58
 
 
 def test_average_linkage_order():
