@@ -74,6 +74,30 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     return out
 
 
+def linkage_order(edges: DataFrame) -> DataFrame:
+    """``v, tree, place``: the leaves of the single-linkage trees of ``edges (u, v, s)`` in the order of a dendrogram, for who sorts by tree, then place.
+
+    Single linkage is reducible too: every round merges all clusters that are each other's nearest and keeps the strongest edge between clusters. A round writes one digit in
+    front of every leaf's place: 1 for those of the cluster that joined another, 0 for all else, so that members of a cluster stand together. ``tree`` is its smallest vertex.
+    """
+    tables = Tables(edges.sparkSession, "order")
+    live = tables.cut(edges.where("u <> v AND s IS NOT NULL").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("s").alias("s")))
+    leaves = tables.cut(live.select(F.explode(F.array("u", "v")).alias("v")).distinct().select("v", F.col("v").alias("tree"), F.lit("").alias("place")))
+    while figure(live):
+        rank = F.struct((-F.col("s")).alias("k"), "u", "v")
+        seen = live.select(F.explode(F.array("u", "v")).alias("w"), rank.alias("e")).groupBy("w").agg(F.min("e").alias("e"))
+        pairs = tables.cut(seen.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(F.col("e.v").alias("old"), F.col("e.u").alias("new")))
+        moves = broadcast_if_small(pairs)
+        to = lambda c: moves.select(F.col("old").alias(c), F.col("new").alias(f"{c}2"))  # noqa: B023, E731
+        moved = live.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("u2", "u").alias("a"), F.coalesce("v2", "v").alias("b"), "s").where("a <> b")
+        after = tables.cut(moved.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.max("s").alias("s")))
+        placed = leaves.join(moves, leaves["tree"] == moves["old"], "left").select("v", F.coalesce("new", "tree").alias("tree"), F.concat(F.when(F.col("new").isNull(), "0").otherwise("1"), "place").alias("place"))
+        placed = tables.cut(placed)
+        tables.drop(live, leaves)
+        live, leaves = after, placed
+    return leaves
+
+
 def complete_linkage(edges: DataFrame) -> DataFrame:
     """``v, cluster``: complete-linkage clusters of ``edges (u, v, s)`` with similarity s, where absent pairs never join; ``cluster`` is its smallest vertex.
 

@@ -161,11 +161,18 @@ class OutlierClusters:
         return f"OutlierClusters(threshold={self.threshold:.4g}, pcut={self.pcut}, null={self.null}, B={self.b}, {self.diagnostics})"
 
 
+def reading_order(scored: DataFrame) -> DataFrame:
+    """``scored`` with ``rank`` (1.., equal ones alike): significant clusters first, then by emp_p with untested ones first, then by n_sig from the largest down."""
+    like = scored.groupBy("significant", F.coalesce("emp_p", F.lit(-1.0)).alias("p_"), "n_sig").agg(F.count(F.lit(1)).alias("c_"))
+    placed = ranked(like.withColumn("o_", F.when(F.col("significant"), 0).otherwise(4) + F.col("p_")), [], "o_", [F.desc("n_sig")], "rk_")
+    first = running_sum(placed, [], "rk_", "c_", "upto_").select("significant", "p_", "n_sig", (F.col("upto_") - F.col("c_") + 1).alias("rank"))
+    return scored.withColumn("p_", F.coalesce("emp_p", F.lit(-1.0))).join(broadcast_if_small(first), ["significant", "p_", "n_sig"]).drop("p_")
+
+
 def outlier_clusters(rows: DataFrame, edges: DataFrame, threshold: float | None = None, fdr: float = 0.05, r2_link: float = 0.5, r2_by_chr: DataFrame | None = None, gap: float | None = None, gap_by_chr: DataFrame | None = None, min_cluster_sig: int = 1, null: str = "background_exact", cluster_fdr: float = 0.05, b: int = 1000, grid: list[float] | None = None, geno: DataFrame | None = None, model: NullModel | dict[str, NullModel] | None = None, seed: int = 0) -> OutlierClusters:
     """Clusters of candidate markers with more significant ones than chance gives clusters of their size.
 
-    ``rows (marker, chr, pos, pval, ld_w)``; ``threshold``: a quantile of ld_w, chosen on the discovery curve if null. Sorted for reading: significant first, then by
-    emp_p with untested ones first, then by n_sig.
+    ``rows (marker, chr, pos, pval, ld_w)``; ``threshold``: a quantile of ld_w, chosen on the discovery curve if null. Sorted by ``rank``, see ``reading_order``.
     """
     if null not in ("background_exact", "background", "permutation"):
         raise ValueError(f"unknown null {null}")
@@ -195,10 +202,9 @@ def outlier_clusters(rows: DataFrame, edges: DataFrame, threshold: float | None
             p = (background_exact if null == "background_exact" else background_sampled)(quiet, tested, pcut, b)
         scored = counts.join(p.select("cluster", "emp_p"), "cluster", "left")
     scored = bh_adjust(scored, "emp_p", "emp_q").withColumn("significant", F.coalesce(F.col("emp_q") < cluster_fdr, F.lit(False)))
-    scored = tables.cut(scored.select("chr", "cluster", "n", "n_sig", "start", "end", "emp_p", "emp_q", "significant"))
+    scored = tables.cut(reading_order(scored.select("chr", "cluster", "n", "n_sig", "start", "end", "emp_p", "emp_q", "significant")))
     n_chr = r.select("chr").distinct().count()
     chr_sig = scored.where("significant").select("chr").distinct().count()
     rate = quiet.where("pval IS NOT NULL").agg(F.avg((F.col("pval") <= F.lit(pcut)).cast("double")).alias("x")).first()["x"] if pcut is not None else None
     found = {"no_elbow": bool(choice["no_elbow"]) and threshold is None, "peak_rejections": choice["peak"], "background_rate": rate, "chr_with_signal": chr_sig, "all_chr_flagged": n_chr > 1 and chr_sig == n_chr}
-    ordered = scored.orderBy(F.desc("significant"), F.asc_nulls_first("emp_p"), F.desc("n_sig"))
-    return OutlierClusters(ordered, clustered, curve, level, choice["q_star"] if threshold is None else threshold, pcut, null, b, found)
+    return OutlierClusters(scored.orderBy("rank"), clustered, curve, level, choice["q_star"] if threshold is None else threshold, pcut, null, b, found)

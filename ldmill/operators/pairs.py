@@ -70,7 +70,7 @@ def edge_list(geno: DataFrame, slide: int = 1000, method: str = "corr", by_chr:
     vectors = Tables(geno.sparkSession, "vectors").cut(packed(geno))
     markers = ranked_markers(vectors)
     rows = vectors.join(broadcast_if_small(markers), ["chr", "snp_idx", "pos"])
-    block = max(1, slide) if slide > 0 else block
+    block = max(slide, block)  # a narrow band has tiles of a block all the same
     own = F.floor(F.col("rk") / block).cast("int")
     if slide > 0:
         # tile k holds block k and block k + 1

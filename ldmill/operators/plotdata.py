@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ldmill.functions.ordered import blocks_of, ranked, running_sum
 from ldmill.functions.scalar import decayed, palette_index
 from ldmill.operators.emlg import polarized
+from ldmill.operators.graph import linkage_order
 from ldmill.session import broadcast_if_small
 
 #: Twelve distinguishable colours (fixed values).
@@ -71,22 +72,16 @@ def heatmap_cells(geno: DataFrame, annotation: DataFrame | None = None, polarize
     return cells.join(annotation, "ind_id", "left")
 
 
-def display_order(edges: DataFrame) -> list:
-    """Markers in the order of a single-linkage tree on 1 - r2 (missing is 0), for one figure of at most a few thousand: neighbours in the tree stand together."""
-    pairs = edges.select("snp1", "snp2", F.coalesce("r2", F.lit(0.0)).alias("r2")).orderBy(F.desc("r2"), "snp1", "snp2").limit(2_000_000).collect()
-    group: dict = {}
-    for r in pairs:
-        a, b = group.setdefault(r["snp1"], [r["snp1"]]), group.setdefault(r["snp2"], [r["snp2"]])
-        if a is not b:
-            a.extend(b)
-            for x in b:
-                group[x] = a
-    seen, out = set(), []
-    for g in group.values():
-        if id(g) not in seen:
-            seen.add(id(g))
-            out += g
-    return out
+def display_order(edges: DataFrame) -> DataFrame:
+    """``marker, tree, place``: markers in the order of a single-linkage tree on 1 - r2 (missing is 0), sorted by tree, then place: neighbours in the tree stand together."""
+    e = edges.select(F.col("snp1").alias("u"), F.col("snp2").alias("v"), F.coalesce("r2", F.lit(0.0)).alias("s"))
+    return linkage_order(e).withColumnRenamed("v", "marker")
+
+
+def group_kinds(groups: DataFrame, prefix: str = "F") -> DataFrame:
+    """``chr, flagged, n_groups, n_loci, largest`` of Stage-2 ``groups (group_id, chr, n_loci)``, flagged where the identifier starts with ``prefix``."""
+    flagged = F.startswith(F.col("group_id"), F.lit(prefix)).alias("flagged")
+    return groups.groupBy("chr", flagged).agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_loci").cast("bigint").alias("n_loci"), F.max("n_loci").alias("largest"))
 
 
 def rolling_median(rows: DataFrame, value: str, half: int = 100) -> DataFrame:

@@ -736,7 +736,8 @@ def background_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     te AS (SELECT tab.*, CASE WHEN n_sig >= 1 THEN (1 + 1000 * frac) / 1001 END AS emp_p FROM tab LEFT JOIN fr USING (chr, n, n_sig)),
     rk AS (SELECT cluster, emp_p, count(*) OVER (ORDER BY emp_p) AS rk, count(*) OVER () AS m FROM te WHERE emp_p IS NOT NULL),
     ad AS (SELECT cluster, least(1, min(emp_p * m / rk) OVER (ORDER BY emp_p DESC)) AS emp_q FROM rk)
-    SELECT chr, cluster, n, n_sig, "start", "end", round(emp_p, 9) AS emp_p, round(emp_q, 9) AS emp_q, coalesce(emp_q < 0.05e0, false) AS significant FROM te LEFT JOIN ad USING (cluster)""")
+    SELECT chr, cluster, n, n_sig, "start", "end", round(emp_p, 9) AS emp_p, round(emp_q, 9) AS emp_q, coalesce(emp_q < 0.05e0, false) AS significant,
+        rank() OVER (ORDER BY coalesce(emp_q < 0.05e0, false) DESC, emp_p NULLS FIRST, n_sig DESC) AS rank FROM te LEFT JOIN ad USING (cluster)""")
 def outlier_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(outlier.outlier_clusters(pvalues(spark, sf_dir), edges(spark, sf_dir), gap=500_000).clusters, "emp_p", "emp_q", places=9)
 
@@ -769,6 +770,39 @@ def plot_stage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plotdata.stage_points(m, groups, None, "ld_w", 0.4)
 
 
+@query(SQL["plot_stage_points"].replace("(chr, cl_id) IN (", "(chr, cl_id) NOT IN ("))
+def plot_stage_points_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``plot_stage_points``, of the clusters without strong support."""
+    m = markers(spark, sf_dir, "chr", "pos", "ld_w", "cl_id").where("cl_id IS NOT NULL").withColumnRenamed("cl_id", "cluster")
+    groups = table(spark, sf_dir, "ld_groups").select("group_id", F.transform("members", F.upper).alias("members"))
+    return plotdata.stage_points(m, groups, None, "ld_w", 0.4, direction="low")
+
+
+@query("SELECT chr, starts_with(group_id, 'F') AS flagged, count(*) AS n_groups, CAST(sum(n_loci) AS BIGINT) AS n_loci, max(n_loci) AS largest FROM ld_groups GROUP BY ALL")
+def group_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plotdata.group_kinds(table(spark, sf_dir, "ld_groups"))
+
+
+@query(f"""
+    WITH RECURSIVE {GENO_FIXTURE}, t AS (SELECT * FROM g WHERE dosage IS NOT NULL),
+    p AS (SELECT a.snp_idx AS u, b.snp_idx AS v, {R2_SUMS} FROM (SELECT *, dosage AS x FROM t) a JOIN (SELECT *, dosage AS y FROM t) b ON a.chr = b.chr AND a.ind_id = b.ind_id AND a.snp_idx < b.snp_idx GROUP BY ALL),
+    rounds(k, kind, u, v, s) AS (
+        SELECT 0, 0, u, v, round(r2, 9) FROM (SELECT *, {R2} AS r2 FROM p) WHERE r2 IS NOT NULL
+        UNION ALL
+        (WITH live AS (SELECT k, u, v, s FROM rounds WHERE kind = 0), ends AS (SELECT k, u AS w, u, v, s FROM live UNION ALL SELECT k, v, u, v, s FROM live),
+         best AS (SELECT k, w, arg_min((u, v), (-s, u, v)) AS e FROM ends GROUP BY k, w), merges AS (SELECT k, e[2] AS old, e[1] AS new FROM best GROUP BY k, e HAVING count(*) = 2),
+         moved AS (SELECT live.k, coalesce(a.new, u) AS x, coalesce(b.new, v) AS y, s FROM live LEFT JOIN merges a ON a.old = u LEFT JOIN merges b ON b.old = v)
+         SELECT k + 1, 0, least(x, y), greatest(x, y), max(s) FROM moved WHERE x <> y GROUP BY 1, 3, 4 UNION ALL SELECT k + 1, 1, old, new, NULL FROM merges)),
+    m AS MATERIALIZED (SELECT k, u AS old, v AS new FROM rounds WHERE kind = 1), top AS (SELECT max(k) AS k FROM m),
+    climb(marker, tree, k, place) AS (
+        SELECT marker, marker, 0, '' FROM (SELECT DISTINCT unnest([u, v]) AS marker FROM rounds WHERE k = 0)
+        UNION ALL SELECT marker, coalesce(m.new, tree), climb.k + 1, (CASE WHEN m.old IS NULL THEN '0' ELSE '1' END) || place FROM climb JOIN top ON climb.k < top.k LEFT JOIN m ON m.k = climb.k + 1 AND m.old = tree)
+    SELECT marker, tree, place FROM climb JOIN top USING (k)""")
+def plot_heatmap_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of a heatmap's columns within each chromosome, from the r2 of all its pairs."""
+    return plotdata.display_order(rounded(pairs.edge_list(fixture(spark, sf_dir), slide=0, block=64), "r2", places=9))
+
+
 @query(" UNION ALL ".join(f"SELECT '{p}' AS panel, chr, CAST(chr_size AS DOUBLE) AS x, CAST({c} AS DOUBLE) AS y FROM decay_sum WHERE chr IS NOT NULL AND {c} IS NOT NULL AND NOT isnan({c})" for p, c in (("rate", "a"), ("predicted_rate", "a_pred"), ("start", "c"), ("reached", "rho_slide_pred"))))
 def plot_decay_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plotdata.decay_panels(table(spark, sf_dir, "decay_sum"))

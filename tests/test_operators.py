@@ -473,6 +473,43 @@ def test_emmax_with_unrelated_individuals_is_regression(spark):
     assert step[0] <= 0.1 and max(step.values()) > 0.5
 
 
+def test_display_order_keeps_clusters_together(spark):
+    rng = np.random.default_rng(31)
+    names = [f"m{i:02d}" for i in rng.permutation(30)]
+    e = [(names[i], names[j], float(0.9 - 0.01 * rng.random() if i // 6 == j // 6 else 0.1 * rng.random())) for i in range(30) for j in range(i)]
+    rows = plotdata.display_order(spark.createDataFrame(e + [("x", "y", 0.5)], "snp1 string, snp2 string, r2 double")).orderBy("tree", "place").collect()
+    order = [r["marker"] for r in rows if r["marker"] in names]
+    block = [names.index(m) // 6 for m in order]
+    assert len(order) == 30 and sum(a != b for a, b in zip(block, block[1:], strict=False)) == 4 and len({r["tree"] for r in rows}) == 2
+
+
+def test_kinship_by_chromosome(spark):
+    rng = np.random.default_rng(32)
+    x = rng.binomial(2, 0.4, (50, 30))
+    chrs = ["A"] * 12 + ["B"] * 10 + ["C"] * 8
+    g = long_calls(spark, x.tolist(), chrs)
+    inds = np.arange(50)
+    got = assoc.kinship_by_chromosome(g, inds)
+    for c in "ABC":
+        v = x[:, [k for k in range(30) if chrs[k] != c]].astype(float)
+        v -= v.mean(axis=0)
+        want = v @ v.T
+        assert got[c] == pytest.approx(want / np.mean(np.diag(want)))
+    y = x[:, 3] + rng.normal(size=50)
+    models = assoc.null_models(inds, y, got)
+    f = {r["snp_idx"]: r["f"] for r in assoc.emmax(g, models).collect()}
+    alone = {r["snp_idx"]: r["f"] for r in assoc.emmax(g.where("chr = 'A'"), models["A"]).collect()}
+    assert len(f) == 30 and all(f[k] == pytest.approx(alone[k]) for k in alone) and max(f, key=f.get) == 3
+    nulls = assoc.null_statistics(g, models, 5)
+    assert nulls.count() == 150 and nulls.where("chr = 'B'").select("snp_idx").distinct().count() == 10
+
+
+def test_reading_order(spark):
+    rows = [("a", True, 0.001, 3), ("b", True, 0.001, 5), ("c", False, None, 1), ("d", False, 0.2, 2), ("e", False, 0.2, 2), ("f", False, None, 4)]
+    got = {r["cluster"]: r["rank"] for r in outlier.reading_order(spark.createDataFrame(rows, "cluster string, significant boolean, emp_p double, n_sig int")).collect()}
+    assert got == {"b": 1, "a": 2, "f": 3, "c": 4, "d": 5, "e": 5}
+
+
 @pytest.mark.parametrize("name", ["ld_edges_default", "ld_edges_gametic"])
 def test_edge_queries_reach_far_markers(spark, monkeypatch, name):
     x = np.random.default_rng(9).integers(0, 3, (50, 40))
@@ -626,5 +663,5 @@ def test_heatmap(spark):
     with pytest.raises(ValueError):
         plotdata.heatmap_cells(g, spark.createDataFrame([(0, "x")], "ind_id bigint, note string"))
     e = spark.createDataFrame([("a", "b", 0.1), ("c", "b", 0.9), ("c", "a", None)], "snp1 string, snp2 string, r2 double")
-    order = plotdata.display_order(e)
+    order = [r["marker"] for r in plotdata.display_order(e).orderBy("tree", "place").collect()]
     assert sorted(order) == ["a", "b", "c"] and abs(order.index("b") - order.index("c")) == 1
