@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ldmill.operators.graph import hashed
-from ldmill.session import Tables
+from ldmill.session import Tables, figure
 
 BLANKS = " \t\r\n\xa0"
 
@@ -38,7 +38,7 @@ def seed_tree_components(edges: DataFrame, tables: Tables) -> DataFrame:
     graph = tables.cut(edges.where("u <> v").select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").distinct())
     forest: list[DataFrame] = []
     first = graph
-    while not graph.isEmpty():
+    while figure(graph):
         # min selection: u tells its whole neighbourhood, itself included, the smallest vertex in it
         low = graph.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         told = graph.join(low, "u").select(F.col("v").alias("w"), "m").unionByName(low.select(F.col("u").alias("w"), "m"))
