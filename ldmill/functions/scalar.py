@@ -59,3 +59,10 @@ def pearson_r2(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy:
     top = n * sxy - sx * sy
     bottom = (n * sxx - sx * sx) * (n * syy - sy * sy)
     return F.when(bottom > 0, (top * top).cast("double") / bottom.cast("double"))
+
+
+def marker_parts(name: Column) -> tuple[Column, Column]:
+    """Chromosome (without its prefix) and position of a marker name ``CHR<chromosome>:<position>``; null for any other form."""
+    pattern = "^CHR([0-9]+|[XYM]):([0-9]+)$"
+    part = lambda i: F.regexp_extract(name, pattern, i)
+    return F.when(part(1) != "", part(1)), F.when(part(2) != "", part(2)).try_cast("bigint")
