@@ -39,7 +39,6 @@ ENTER_UTF8, ENTER_SINGLE, LEAVE = -7.0, -14.0, -4.0
 #: The share of a bigram's count that one pair may have misread, with one non-ASCII character and with two: before anything was repaired (of a third of all texts
 #: misread one way, half as often as right), and for what a first repair left.
 EXPLAINED, EXPLAINED_AFTER = (0.6, 0.6), (0.1, 0.5)
-RARE = -9.0  # a text all of whose bigrams are likelier than this is clean
 STRANGE, SEEN = -6.0, 2e-6  # for a decoded character that clean text hardly has: less than this share of its counted bigrams
 UNKNOWN = -10.0  # for the character itself where the alphabet only has "another"
 _SCATTER = np.random.default_rng(0).integers(1, 2**63, 4096, dtype=np.uint64)  # fixed random numbers to tell runs apart by
@@ -243,19 +242,13 @@ def blocks(texts: pd.Series) -> Iterator[tuple[list[str], list[int]]]:
 
 
 def run_gains(codes: np.ndarray, lp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every run of non-ASCII characters in texts with a rare bigram, the text it is in, and the log probability that each
-    state gives it above the clean state's."""
+    """Start and end of every run of non-ASCII characters, the text it is in, and the log probability that each state gives it above the clean state's."""
     a = alphabet()
     ids = a.ids[codes]
     wide = codes >= 128
-    near = np.flatnonzero(wide[1:] | wide[:-1])
-    rare = near[lp[ids[near], ids[near + 1]] < RARE]
-    hot = np.zeros(len(starts), dtype=bool)
-    hot[np.searchsorted(starts, rare, side="right") - 1] = True
     edge = np.flatnonzero(np.diff(wide.astype(np.int8)))
     begin, end = edge[::2] + 1, edge[1::2] + 1  # a block starts and ends with a line end
     piece = np.searchsorted(starts, begin, side="right") - 1
-    begin, end, piece = begin[hot[piece]], end[hot[piece]], piece[hot[piece]]
     if not len(begin):
         return begin, end, piece, np.zeros((0, len(STATES)), dtype=np.float32)
     # each run with the character before and after it, one after the other; equal ones are scored once
