@@ -92,5 +92,3 @@ def fill_best(geno: DataFrame, cons: DataFrame, best: DataFrame, round_fill: boo
 def fill_counts(filled: DataFrame) -> DataFrame:
     """``cluster, n_ind, n_obs, n_filled, n_resid_na``, which add up."""
     return filled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_ind"), F.count("observed").alias("n_obs"), (F.count("filled") - F.count("observed")).alias("n_filled"), (F.count(F.lit(1)) - F.count("filled")).alias("n_resid_na"))
-
-

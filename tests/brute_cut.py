@@ -2,8 +2,7 @@
 
 import numpy as np
 
-from ldmill.operators.prune import clean_score, merge_pair
-from ldmill.operators.prune import _corr
+from ldmill.operators.prune import _corr, clean_score, merge_pair
 
 
 def average_linkage(similarity: np.ndarray) -> list[tuple[int, int, float]]:
