@@ -102,6 +102,16 @@ def test_several_blocks_give_the_same(spark, monkeypatch):
     assert set(run(spark, docs, items)) == one == {(i, i % 12) for i in range(30)}
 
 
+def test_many_passages_and_a_long_text(spark, monkeypatch):
+    items = [(i, passage(i // 2)) for i in range(6000)]  # every passage twice
+    long = " ".join(passage(50_000 + i) for i in range(900)) + " " + passage(7) + " " + passage(2999)
+    assert len(long) > 100_000
+    docs = [(i, f"before {passage(i * 29)} after") for i in range(100)] + [(1000, long)]
+    want = {(i, 2 * i * 29 + k) for i in range(100) for k in (0, 1)} | {(1000, 14 + k) for k in (0, 1)} | {(1000, 5998 + k) for k in (0, 1)}
+    monkeypatch.setattr(C, "BLOCK_CHARS", 100_000)  # four blocks
+    assert set(run(spark, docs, items, coverage=2.0)) == want
+
+
 @pytest.mark.parametrize("k", [1, 3, 8])
 def test_running_hashes(k):
     w = S.words_of(["aa bb cc aa bb cc dd", "", "bb cc"])

@@ -2,7 +2,6 @@ import math
 from datetime import datetime, timedelta
 
 import numpy as np
-import pytest
 
 from ldmill.llm import percentiles as P
 from ldmill.llm import queries
