@@ -1,7 +1,8 @@
 """Mixed-model association of markers with a phenotype.
 
 The cohort's n x n work (kinship eigen pairs) happens once on the driver; markers stay distributed and are tested in batches, and null phenotypes get their variance
-components in tasks. One kinship may serve all chromosomes, or each has that of all others, so that a marker doesn't stand against its own signal.
+components in tasks. One kinship may serve all chromosomes, or each has that of all others, so that a marker doesn't stand against its own signal; these models, as many as
+there are chromosomes and scaffolds, are fitted in tasks and never gathered.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from ldmill.functions.numerics import centred_eigen, f_tail, normalized_kinship,
 from ldmill.functions.ordered import running_max
 from ldmill.operators.genotypes import packed
 from ldmill.operators.pairs import matrix
+from ldmill.session import Tables, broadcast_if_small, figure
 
 MAX_COHORT = 20_000  # individuals whose n x n matrix the driver and every task can hold
+BLOCK = 1_000  # markers that a task takes at once, at least
 
 
 def simple_association(geno: DataFrame, pheno: DataFrame) -> DataFrame:
@@ -51,32 +54,45 @@ def _calls(pdf: pd.DataFrame, inds: np.ndarray) -> np.ndarray:
     return np.where(m > 0, x, x.sum(axis=1, keepdims=True) / np.maximum(n, 1))
 
 
+_SUMS = "key string, i int, row array<double>"
+
+
+def _products(x: np.ndarray) -> np.ndarray:
+    x = x - x.mean(axis=1, keepdims=True)
+    return x.T @ x
+
+
+def _add(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row a task, added up."""
+    return pd.DataFrame({"key": pdf["key"].iloc[:1], "i": pdf["i"].iloc[:1], "row": [np.sum(np.stack(pdf["row"].to_list()), axis=0)]})
+
+
+def _square(rows: pd.DataFrame, n: int) -> np.ndarray:
+    m = np.zeros((n, n))
+    m[rows["i"]] = np.stack(rows["row"].to_list())
+    return m
+
+
 def kinship_sums(geno: DataFrame, inds: np.ndarray, by_chr: bool = False) -> dict[str | None, np.ndarray]:
     """Centred products X'X over the markers, of all of them (key null) or of each chromosome. Tasks add up their markers, then rows are added; the driver gets n rows a key."""
-    shared = geno.sparkSession.sparkContext.broadcast(inds)
+    key = F.coalesce("chr", F.lit("")) if by_chr else F.lit("")
+    out = _key_sums(packed(geno).select(key.alias("key"), "inds", "calls"), inds)
+    return out if by_chr and out else {None: out.get("", np.zeros((len(inds), len(inds))))}
+
+
+def _key_sums(vectors: DataFrame, inds: np.ndarray) -> dict[str, np.ndarray]:
+    shared = vectors.sparkSession.sparkContext.broadcast(inds)
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
         for b in batches:
             for key, own in b.groupby("key", dropna=False):
-                x = _calls(own, shared.value)
-                x = x - x.mean(axis=1, keepdims=True)
-                total[key] = total.get(key, 0) + x.T @ x
+                total[key] = total.get(key, 0) + _products(_calls(own, shared.value))
         for key, k in total.items():
             yield pd.DataFrame({"key": key, "i": np.arange(len(k)), "row": list(k)})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:  # one row a task
-        return pd.DataFrame({"key": pdf["key"].iloc[:1], "i": pdf["i"].iloc[:1], "row": [np.sum(np.stack(pdf["row"].to_list()), axis=0)]})
-
-    key = F.coalesce("chr", F.lit("")) if by_chr else F.lit("")
-    rows = packed(geno).select(key.alias("key"), "inds", "calls").mapInPandas(part, "key string, i int, row array<double>")
-    sums = rows.groupBy("key", "i").applyInPandas(add, "key string, i int, row array<double>").toPandas()
-    out = {}
-    for k, own in sums.groupby("key"):
-        m = np.zeros((len(inds), len(inds)))
-        m[own["i"]] = np.stack(own["row"].to_list())
-        out[k if by_chr else None] = m
-    return out or {None: np.zeros((len(inds), len(inds)))}
+    sums = vectors.mapInPandas(part, _SUMS).groupBy("key", "i").applyInPandas(_add, _SUMS).toPandas()
+    return {k: _square(own, len(inds)) for k, own in sums.groupby("key")}
 
 
 def _scaled(k: np.ndarray) -> np.ndarray:
@@ -88,11 +104,17 @@ def kinship(geno: DataFrame, inds: np.ndarray) -> np.ndarray:
     return _scaled(kinship_sums(geno, inds)[None])
 
 
+def _others(total: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Relationship by all markers but a chromosome's own; where these leave nothing but rounding, nobody is related."""
+    k = total - own
+    return _scaled(k) if np.trace(k) > 1e-12 * np.trace(total) else np.eye(len(k))
+
+
 def kinship_by_chromosome(geno: DataFrame, inds: np.ndarray) -> dict[str, np.ndarray]:
-    """For each chromosome the relationship matrix over the markers of all others, each scaled to a mean diagonal of 1."""
+    """For each chromosome the relationship matrix over the markers of all others, each scaled to a mean diagonal of 1. The driver gets all of them: for a few chromosomes."""
     own = kinship_sums(geno, inds, by_chr=True)
     total = sum(own.values())
-    return {c: _scaled(total - k) for c, k in own.items() if c is not None}
+    return {c: _others(total, k) for c, k in own.items() if c is not None}
 
 
 def residuals(y: np.ndarray, covariate: np.ndarray | None) -> np.ndarray:
@@ -143,7 +165,7 @@ def f_statistics(rotated: np.ndarray, y: np.ndarray, one: np.ndarray, w: np.ndar
 
 
 def null_models(inds: np.ndarray, y: np.ndarray, kinships: dict[str, np.ndarray], covariate: np.ndarray | None = None) -> dict[str, NullModel]:
-    """A null model for each chromosome."""
+    """A null model for each chromosome, on the driver: for a few chromosomes, as ``null_statistics`` takes them; ``emmax_by_chromosome`` takes any number."""
     return {c: null_model(inds, y, k, covariate) for c, k in kinships.items()}
 
 
@@ -154,6 +176,15 @@ def _by_model(geno: DataFrame, model: NullModel | dict[str, NullModel], f: Calla
     return reduce(DataFrame.unionByName, [f(geno.where(F.coalesce("chr", F.lit("")) == c), m) for c, m in model.items()])
 
 
+def _tested(b: pd.DataFrame, rotated: np.ndarray, y: np.ndarray, ones: np.ndarray, w: np.ndarray) -> pd.DataFrame:
+    f = f_statistics(rotated, y, ones, w)
+    return pd.DataFrame({"chr": b["chr"], "snp_idx": b["snp_idx"], "f": f, "p": f_tail(f, 1, len(y) - 2), "r2": f / (f + len(y) - 2)})
+
+
+def _without_nan(tested: DataFrame) -> DataFrame:
+    return tested.select("chr", "snp_idx", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("f", "p", "r2")])
+
+
 def emmax(geno: DataFrame, model: NullModel | dict[str, NullModel]) -> DataFrame:
     """``chr, snp_idx, f, p, r2`` per marker under a null model, or under its chromosome's. One marker gives one row; constant markers have null."""
     kind = geno.schema["snp_idx"].dataType.simpleString()
@@ -164,13 +195,59 @@ def emmax(geno: DataFrame, model: NullModel | dict[str, NullModel]) -> DataFrame
         def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             inds, basis, y, ones, w = shared.value
             for b in batches:
-                f = f_statistics(_calls(b, inds) @ basis, y, ones, w)
-                yield pd.DataFrame({"chr": b["chr"], "snp_idx": b["snp_idx"], "f": f, "p": f_tail(f, 1, len(y) - 2), "r2": f / (f + len(y) - 2)})
+                yield _tested(b, _calls(b, inds) @ basis, y, ones, w)
 
         return packed(g).select("chr", "snp_idx", "inds", "calls").mapInPandas(test, f"chr string, snp_idx {kind}, f double, p double, r2 double")
 
-    out = _by_model(geno, model, one)
-    return out.select("chr", "snp_idx", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("f", "p", "r2")])
+    return _without_nan(_by_model(geno, model, one))
+
+
+def emmax_by_chromosome(geno: DataFrame, inds: np.ndarray, y: np.ndarray, covariate: np.ndarray | None = None, block: int | None = None) -> DataFrame:
+    """As ``emmax``, each chromosome's markers under a null model with the kinship of all others. The driver gets n rows, the products over all markers, whatever the number of chromosomes.
+
+    A chromosome of up to ``block`` markers is one group: it takes its own products off the shared ones, gets its model and is tested. A longer one adds up its products by blocks,
+    gets its model in one task, and its blocks are tested against that. A block has as many markers as individuals at least, so models sent to blocks are no more than the calls.
+    """
+    spark, n = geno.sparkSession, len(inds)
+    block = block or max(BLOCK, n)
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # models take time, not bytes, so adaptive execution would join their tasks
+    tables, result = Tables(spark, "emmax"), f"chr string, snp_idx {geno.schema['snp_idx'].dataType.simpleString()}, f double, p double, r2 double"
+    vectors = tables.cut(packed(geno).select(F.coalesce("chr", F.lit("")).alias("key"), "chr", "snp_idx", "inds", "calls"))
+    sizes = tables.cut(vectors.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), most=F.max("blocks"))
+    total = _key_sums(vectors.select(F.lit("").alias("key"), "inds", "calls"), inds).get("", np.zeros((n, n)))
+    shared = spark.sparkContext.broadcast((inds, y, covariate, total))
+
+    def fitted(own: np.ndarray) -> NullModel:
+        inds, y, covariate, total = shared.value
+        return null_model(inds, y, _others(total, own), covariate)
+
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _calls(pdf, shared.value[0])
+        m = fitted(_products(x))
+        return _tested(pdf, x @ m.basis, *m.whitened(m.y, m.vg, m.ve))
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = _products(_calls(pdf, shared.value[0]))
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "i": np.arange(len(k)), "row": list(k)})
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = fitted(_square(pdf, len(shared.value[0])))
+        y, ones, w = m.whitened(m.y, m.vg, m.ve)
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "i": np.arange(len(w)), "row": list(m.basis), "y": y, "one": ones, "w": w})
+
+    def test(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        model = model.sort_values("i")
+        return _tested(pdf, _calls(pdf, shared.value[0]) @ np.stack(model["row"].to_list()), *[model[c].to_numpy() for c in ("y", "one", "w")])
+
+    rows = vectors.join(broadcast_if_small(sizes), "key")
+    out = rows.where("blocks = 1").select(vectors.columns).repartition(tasks, "key").groupBy("key").applyInPandas(alone, result)
+    if (figure(sizes, "most") or 1) > 1:
+        long = rows.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("snp_idx"), F.col("blocks")).cast("int")).drop("blocks")
+        own = long.repartition(tasks, "key", "block").groupBy("key", "block").applyInPandas(part, _SUMS).groupBy("key", "i").applyInPandas(_add, _SUMS)
+        models = own.repartition(tasks, "key").groupBy("key").applyInPandas(fit, f"{_SUMS}, y double, one double, w double")
+        models = models.join(broadcast_if_small(tables.cut(long.select("key", "block").distinct())), "key")  # of the blocks that have markers
+        out = out.unionByName(long.groupBy("key", "block").cogroup(models.groupBy("key", "block")).applyInPandas(test, result))
+    return _without_nan(out)
 
 
 def null_draws(spark: SparkSession, model: NullModel, b: int, seed: int = 0, how: str = "permute", binary: bool = False) -> pd.DataFrame:

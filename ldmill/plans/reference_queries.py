@@ -646,9 +646,8 @@ def emmax_unrelated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def emmax_by_chromosome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chromosome's markers against the kinship of all others."""
-    who, g = assoc.cohort(phenotype(spark, sf_dir)), Tables(spark, "calls").cut(calls(spark, sf_dir))
-    inds = who["ind_id"].to_numpy()
-    return assoc.emmax(g, assoc.null_models(inds, who["y"].to_numpy(), assoc.kinship_by_chromosome(g, inds)))
+    who = assoc.cohort(phenotype(spark, sf_dir))
+    return assoc.emmax_by_chromosome(calls(spark, sf_dir), who["ind_id"].to_numpy(), who["y"].to_numpy())
 
 
 @query()

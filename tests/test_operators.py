@@ -504,6 +504,43 @@ def test_kinship_by_chromosome(spark):
     assert nulls.count() == 150 and nulls.where("chr = 'B'").select("snp_idx").distinct().count() == 10
 
 
+@pytest.mark.parametrize("block", [None, 4])
+def test_emmax_by_chromosome_is_each_under_its_own_model(spark, block):
+    rng = np.random.default_rng(33)
+    x = rng.binomial(2, 0.4, (50, 40)).astype(object)
+    x[rng.random((50, 40)) < 0.1] = None
+    x[:, 5] = 1  # constant
+    chrs = ["A"] * 17 + ["B"] * 11 + [None] * 4 + [f"s{k}" for k in range(8)]
+    g = long_calls(spark, x.tolist(), chrs)
+    inds = np.arange(2, 50)  # two individuals have no phenotype
+    y, z = rng.normal(size=48) + inds % 2, inds % 3
+    got = {r["snp_idx"]: r for r in assoc.emmax_by_chromosome(g, inds, y, z, block=block).collect()}
+    want = assoc.emmax(g, assoc.null_models(inds, y, assoc.kinship_by_chromosome(g, inds), z)).collect()
+    assert len(got) == len(want) == 40 and got[5]["f"] is None
+    for r in want:
+        assert got[r["snp_idx"]]["chr"] == r["chr"] and all(got[r["snp_idx"]][c] == (None if r[c] is None else pytest.approx(r[c], rel=1e-7)) for c in ("f", "p", "r2"))
+
+
+@pytest.mark.parametrize("block", [None, 4])
+def test_emmax_by_chromosome_of_a_single_one_is_regression(spark, block):
+    rng = np.random.default_rng(34)
+    x = rng.binomial(2, 0.4, (50, 12))
+    y = x[:, 1] + rng.normal(size=50)
+    g = long_calls(spark, x.tolist())
+    got = {r["snp_idx"]: r["f"] for r in assoc.emmax_by_chromosome(g, np.arange(50), y, block=block).collect()}
+    plain = {r["snp_idx"]: r["f"] for r in assoc.simple_association(g, spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "ind_id bigint, y double")).collect()}
+    assert len(got) == 12 and all(got[k] == pytest.approx(plain[k], rel=1e-6) for k in plain)
+    assert assoc.emmax_by_chromosome(g.where("false"), np.arange(50), y, block=block).count() == 0
+
+
+def test_emmax_by_chromosome_query_plan_does_not_grow_with_chromosomes(spark, monkeypatch):
+    x = np.random.default_rng(35).binomial(2, 0.4, (30, 60))
+    monkeypatch.setattr(reference_queries, "calls", lambda spark, sf_dir: long_calls(spark, x.tolist(), [f"s{k}" for k in range(60)]))
+    monkeypatch.setattr(reference_queries, "phenotype", lambda spark, sf_dir: spark.createDataFrame([(i, i % 2) for i in range(30)], "ind_id bigint, y int"))
+    found = reference_queries.emmax_by_chromosome(spark, "")
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("InPandas") < 10 and found.count() == 60
+
+
 def test_reading_order(spark):
     rows = [("a", True, 0.001, 3), ("b", True, 0.001, 5), ("c", False, None, 1), ("d", False, 0.2, 2), ("e", False, 0.2, 2), ("f", False, None, 4)]
     got = {r["cluster"]: r["rank"] for r in outlier.reading_order(spark.createDataFrame(rows, "cluster string, significant boolean, emp_p double, n_sig int")).collect()}
